@@ -1,3 +1,4 @@
 """Imports every query module so that its registrations run."""
 
 from . import cube_queries  # noqa: F401
+from . import profile_queries  # noqa: F401

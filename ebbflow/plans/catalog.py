@@ -2,3 +2,4 @@
 
 from . import cube_queries  # noqa: F401
 from . import profile_queries  # noqa: F401
+from . import feature_queries  # noqa: F401

@@ -104,6 +104,22 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def _backtest_sql(by: str) -> str:
+    return f"""
+  SELECT {by}, order_date, actual, forecast FROM (
+    SELECT *, sum(n_rows) OVER (PARTITION BY {by}) AS grp_rows,
+           row_number() OVER (PARTITION BY {by} ORDER BY order_date) - 1 AS idx,
+           avg(actual) OVER (PARTITION BY {by} ORDER BY order_date
+                             ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS forecast
+    FROM (SELECT {by}, order_date, sum(total_demand_qty) AS actual, count(*) AS n_rows
+          FROM demand_history GROUP BY ALL))
+  WHERE grp_rows >= 5 AND idx >= 3 AND actual IS NOT NULL AND forecast > 0"""
+
+
+VIEWS["backtest"] = (("demand_history",), _backtest_sql("forecast_version_name"))
+VIEWS["sku_backtest"] = (("demand_history",), _backtest_sql("sku_id"))
+
+
 def r(x: str, digits: int = 6) -> str:
     """SQL twin of ``functions.columns.round_to``."""
     return f"(floor(({x}) * 1e{digits} + 0.5) / 1e{digits})"

@@ -237,3 +237,9 @@ def dirty_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m == 12, F.lit(None).cast("double")).otherwise(F.col("price")).alias("price"),
         "discount_percent", "is_promotional", "_m")
     return dirty.unionByName(dirty.where(m == 13)).drop("_m")
+
+
+def backtest(spark: SparkSession, sf_dir: str, by: str = "forecast_version_name") -> DataFrame:
+    """G14 applied to daily totals per ``by``: (by, order_date, actual, forecast)."""
+    from ..operators.forecast import ma_backtest
+    return ma_backtest(demand_history(spark, sf_dir), [by])

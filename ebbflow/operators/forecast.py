@@ -177,22 +177,33 @@ def rollup_forecast(agg: DataFrame, k: Sequence[str], ds: str = "order_date",
                     r6("trend_slope").alias("trend_slope"))
 
 
-def current_forecast(df: DataFrame, k=None, ds: str = DS, q: str = Q) -> DataFrame:
-    """One forecast for the day after each series' last date, by the
-    first rule that applies: weekday mean with trend clipped 0.5..2 (>= 3
-    rows of that weekday); monthly seasonality (>= 5 rows of that month);
-    7-vs-7 trend clipped 0.7..1.5 (>= 14 rows); mean of the last 30."""
+def current_forecast(df: DataFrame, k=None, ds: str = DS, q: str = Q,
+                     targets: DataFrame | None = None) -> DataFrame:
+    """One forecast per (series, target date) -- by default the day after
+    the series' last date -- by the first rule that applies: weekday mean
+    with trend clipped 0.5..2 (>= 3 rows of that weekday); monthly
+    seasonality (>= 5 rows of that month); 7-vs-7 trend clipped 0.7..1.5
+    (>= 14 rows); mean of the last 30.
+
+    The rules depend on a target only through its weekday and month, so the
+    history is joined to the distinct (series, weekday, month) probes -- at
+    most 84 per series whatever the number of targets."""
     keys = _k(k)
-    target = F.date_add(F.max(ds).over(W.partitionBy(*keys)), 1)
-    x = (df.withColumn("_t", target)
-           .withColumn("_rd", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ds))))
+    if targets is None:
+        t = df.groupBy(*keys).agg(F.date_add(F.max(ds), 1).alias("target_date"))
+    else:
+        t = targets.select(*keys, "target_date").distinct()
+    probes = t.select(*keys, F.weekday("target_date").alias("_tdow"),
+                      F.month("target_date").alias("_tmon")).distinct()
+    x = (df.withColumn("_rd", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ds))))
            .withColumn("_rdd", F.row_number().over(
-               W.partitionBy(*keys, F.weekday(ds)).orderBy(F.desc(ds)))))
-    same_dow = F.weekday(ds) == F.weekday("_t")
-    same_month = F.month(ds) == F.month("_t")
+               W.partitionBy(*keys, F.weekday(ds)).orderBy(F.desc(ds))))
+           .join(probes, keys))
+    same_dow = F.weekday(ds) == F.col("_tdow")
+    same_month = F.month(ds) == F.col("_tmon")
     r = F.col("_rd")
-    g = x.groupBy(*keys).agg(
-        F.max("_t").alias("target_date"), F.count(F.lit(1)).alias("n"), F.avg(q).alias("mean_all"),
+    g = x.groupBy(*keys, "_tdow", "_tmon").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(q).alias("mean_all"),
         F.count_if(same_dow).alias("n_dow"),
         F.avg(F.when(same_dow & (F.col("_rdd") <= 6), F.col(q))).alias("recent_dow"),
         F.avg(F.when(same_dow & (F.col("_rdd") > 6), F.col(q))).alias("older_dow"),
@@ -209,8 +220,10 @@ def current_forecast(df: DataFrame, k=None, ds: str = DS, q: str = Q) -> DataFra
                 F.col("m7") * _clip(F.col("m7") / F.col("m8_14"), 0.7, 1.5))
     method = (F.when(c1.isNotNull(), "day_of_week").when(c2.isNotNull(), "monthly")
                .when(c3.isNotNull(), "trend").otherwise("recent_average"))
-    return g.select(*keys, "target_date", r6(F.coalesce(c1, c2, c3, F.col("m30"))).alias("forecast"),
-                    method.alias("method"))
+    res = g.select(*keys, "_tdow", "_tmon", r6(F.coalesce(c1, c2, c3, F.col("m30"))).alias("forecast"),
+                   method.alias("method"))
+    tt = t.withColumn("_tdow", F.weekday("target_date")).withColumn("_tmon", F.month("target_date"))
+    return tt.join(res, keys + ["_tdow", "_tmon"], "left").drop("_tdow", "_tmon")
 
 
 def statistical_baseline(df: DataFrame, k=None, ds: str = DS, q: str = Q, days: int = 30,

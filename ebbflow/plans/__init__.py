@@ -17,12 +17,41 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
+def _half_even_sql(sql: str) -> str:
+    """Rewrite ``round_even(x, 0)`` as an exact half-even rounding of the
+    double ``x``: only a true .5 tie goes to the even neighbour (DuckDB's
+    ``round_even`` also treats values just above a tie as ties, unlike
+    Spark's ``bround`` and Python's ``round``)."""
+    key = "round_even("
+    while key in sql:
+        i = sql.index(key)
+        depth, j = 0, i + len(key)
+        comma = None
+        while True:
+            ch = sql[j]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = j
+            j += 1
+        arg = sql[i + len(key):comma].strip()
+        e = f"({arg})"
+        rep = (f"(CASE WHEN {e} - floor({e}) = 0.5 THEN CASE WHEN floor({e}) % 2 = 0 THEN floor({e}) "
+               f"ELSE floor({e}) + 1 END ELSE round({e}) END)")
+        sql = sql[:i] + rep + sql[j + 1:]
+    return sql
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn`` under ``name`` with its DuckDB oracle ``sql``."""
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, sql)
+        REGISTRY[name] = (fn, _half_even_sql(sql) if sql else sql)
         return fn
     return deco
 

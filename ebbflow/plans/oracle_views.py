@@ -67,8 +67,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
          cast(p_size AS DOUBLE) AS discount
   FROM part"""),
     "adjustments": ((), """
-  SELECT event_id AS adjustment_id, cast(user_id AS VARCHAR) AS sku_id,
+  SELECT event_id AS adjustment_id, 'P' || cast(user_id AS VARCHAR) AS sku_id,
          cast(ts AS DATE) AS target_date, value AS current_value,
+         CASE WHEN event_id % 7 = 0 THEN value * 2 END AS new_forecast_value,
          CASE event_id % 3 WHEN 0 THEN 'absolute' WHEN 1 THEN 'percentage' ELSE 'multiplier' END
            AS adjustment_type,
          cast(json_extract_string(props, '$.k') AS DOUBLE) AS adjustment_value,

@@ -187,9 +187,10 @@ def adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.lit(ADJUSTMENT_TYPES[2])))
     return e.select(
         F.col("event_id").alias("adjustment_id"),
-        F.col("user_id").cast("string").alias("sku_id"),
+        F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("sku_id"),
         F.to_date("ts").alias("target_date"),
         F.col("value").alias("current_value"),
+        F.when(F.col("event_id") % 7 == 0, F.col("value") * 2).alias("new_forecast_value"),
         kind.alias("adjustment_type"),
         F.get_json_object("props", "$.k").cast("double").alias("adjustment_value"),
         F.col("event_type").alias("reason_category"),

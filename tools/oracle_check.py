@@ -107,8 +107,9 @@ def main(argv):
         b = _rows(dcols, drows, 6)
         if len(a) != len(b) or a != b:
             print(f"FAIL  {name}: rows spark={len(a)} duckdb={len(b)}")
-            diff_a = [r for r in a if r not in set(b)][:3]
-            diff_b = [r for r in b if r not in set(a)][:3]
+            sa, sb = set(a), set(b)
+            diff_a = [r for r in a if r not in sb][:3]
+            diff_b = [r for r in b if r not in sa][:3]
             print("   spark-only:", diff_a)
             print("   duckdb-only:", diff_b)
             print("   cols:", sorted(scols))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as fc
+from ..session import cut_lineage
 from . import clean, features as fe
 
 K = ["customer_id", "product_id"]
@@ -139,7 +140,9 @@ def train_counts(train: DataFrame, features: Sequence[str], max_iter: int = 50)
     """Order counts with a Poisson GLM (log link)."""
     glm = GeneralizedLinearRegression(family="poisson", link="log", maxIter=max_iter, regParam=0.01,
                                       labelCol="label", featuresCol="features")
-    return Pipeline(stages=[_assembler(features), glm]).fit(train)
+    # IRLS re-reads the training rows every iteration: materialise them once
+    # (reliable checkpoint, so the long window-feature lineage is cut)
+    return Pipeline(stages=[_assembler(features), glm]).fit(cut_lineage(train))
 
 
 def train_gbt(train: DataFrame, features: Sequence[str], label: str = "label", max_iter: int = 30,
@@ -147,7 +150,7 @@ def train_gbt(train: DataFrame, features: Sequence[str], label: str = "label", m
     """Gradient-boosted regression trees."""
     gbt = GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
                        seed=seed, subsamplingRate=0.8, stepSize=0.1)
-    return Pipeline(stages=[_assembler(features), gbt]).fit(train)
+    return Pipeline(stages=[_assembler(features), gbt]).fit(cut_lineage(train))
 
 
 def predict(model: PipelineModel, df: DataFrame, clip: bool = True) -> DataFrame:

@@ -7,3 +7,4 @@ from . import join_queries  # noqa: F401
 from . import quality_queries  # noqa: F401
 from . import forecast_queries  # noqa: F401
 from . import scenario_queries  # noqa: F401
+from . import source_queries  # noqa: F401

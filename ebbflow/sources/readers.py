@@ -15,33 +15,50 @@ from pyspark.sql import types as T
 
 from . import schema as S
 
-ENCODINGS = ("utf-8", "latin1", "cp1252")
+ENCODINGS = ("utf-8", "iso-8859-1")   # Spark CSV charset names; latin-1 decodes any byte
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*.csv", depth: int = 1) -> list[str]:
-    """File paths under ``root`` and ``depth`` levels of subfolders (names only:
-    the binary content column is pruned, no file is read)."""
-    globs = [f"{root.rstrip('/')}/{'*/' * d}{pattern}" for d in range(depth + 1)]
-    paths = []
-    for g in globs:
-        try:
-            df = spark.read.format("binaryFile").load(g).select("path", "length")
-            paths += [r["path"] for r in df.collect()]
-        except Exception:  # noqa: BLE001 -- an empty glob is not an error here
-            continue
-    return sorted(set(paths))
+def list_files(spark: SparkSession, root: str, pattern: str = "*.csv", depth: int = 1,
+               with_length: bool = False):
+    """File paths under ``root`` and ``depth`` levels of subfolders, through the
+    Hadoop FileSystem glob (any cluster filesystem; unlike Spark's file
+    index it also lists zero-length files).  Only names are read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for d in range(depth + 1):
+        g = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{'*/' * d}{pattern}")
+        fs = g.getFileSystem(conf)
+        for st in fs.globStatus(g) or []:
+            if st.isFile():
+                out[st.getPath().toString()] = st.getLen()
+    return sorted(out.items()) if with_length else sorted(out)
 
 
 def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Per file: size and whether its bytes are valid UTF-8
     (``is_valid_utf8``); others are read as latin-1 (which decodes any byte)."""
+    sch = "path string, length long, encoding string"
     if not paths:
-        return spark.createDataFrame([], "path string, length long, encoding string")
+        return spark.createDataFrame([], sch)
+    # zero-length files never reach Spark's file index: they are reported here
     b = spark.read.format("binaryFile").load(list(paths))
-    return b.select("path", "length",
-                    F.when(F.col("length") == 0, F.lit(None))
-                     .when(F.is_valid_utf8(F.col("content").cast("string")), F.lit("utf-8"))
-                     .otherwise(F.lit("latin1")).alias("encoding"))
+    found = b.select("path", "length",
+                     F.when(F.col("length") == 0, F.lit(None))
+                      .when(F.is_valid_utf8(F.col("content").cast("string")), F.lit("utf-8"))
+                      .otherwise(F.lit("iso-8859-1")).alias("encoding"))
+    seen = {r["path"] for r in found.select("path").collect()}
+    missing = [(p, 0, None) for p in paths if _qualify(spark, p) not in seen and p not in seen]
+    if missing:
+        found = found.unionByName(spark.createDataFrame(missing, sch))
+    return found
+
+
+def _qualify(spark: SparkSession, p: str) -> str:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(p)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toString()
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8",

@@ -179,7 +179,7 @@ def apply_crosswalk(df: DataFrame, cw: DataFrame, col: str = "product_id") -> Da
 def asof_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
               right_keys: Sequence[str] | None = None, left_ds: str = "ds",
               right_ds: str = "snapshot_date", tolerance_days: int | None = 90,
-              payload: Sequence[str] | None = None) -> DataFrame:
+              payload: Sequence[str] | None = None, left_unique: bool = False) -> DataFrame:
     """For every left row, the latest right row with the same keys and
     date <= the left date, no older than ``tolerance_days``.
 
@@ -191,9 +191,12 @@ def asof_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     right_keys = list(right_keys or left_keys)
     payload = list(payload or [c for c in right.columns if c not in right_keys + [right_ds]])
     kn = [f"_k{i}" for i in range(len(left_keys))]
-    probes = (left.select(*[F.col(c).alias(k) for c, k in zip(left_keys, kn)],
-                          F.col(left_ds).alias("_d")).distinct()
-                  .withColumn("_f", F.lit(1))
+    probes = left.select(*[F.col(c).alias(k) for c, k in zip(left_keys, kn)],
+                         F.col(left_ds).alias("_d"),
+                         *([F.struct(*left.columns).alias("_l")] if left_unique else []))
+    if not left_unique:
+        probes = probes.distinct()
+    probes = (probes.withColumn("_f", F.lit(1))
                   .withColumn("_p", F.lit(None).cast(
                       T.StructType([T.StructField("_rd", T.DateType())]
                                    + [right.schema[c] for c in payload]))))
@@ -201,6 +204,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
                       F.col(right_ds).alias("_d"), F.lit(0).alias("_f"),
                       F.struct(F.col(right_ds).cast("date").alias("_rd"),
                                *[F.col(c) for c in payload]).alias("_p"))
+    if left_unique:
+        rs = rs.withColumn("_l", F.lit(None).cast(probes.schema["_l"].dataType))
     part = list(kn)
     if tolerance_days:
         bucket = F.floor(F.date_diff(F.col("_d"), F.lit(EPOCH).cast("date")) / tolerance_days)
@@ -218,6 +223,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     out_cols = [F.col("_m._rd").alias(right_ds if right_ds not in left.columns else f"{right_ds}_r")]
     for c in payload:
         out_cols.append(F.col(f"_m.{c}").alias(c if c not in left.columns else f"{c}_r"))
+    if left_unique:
+        return m.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *out_cols)
     m = m.select(*kn, "_d", *out_cols)
     cond = [F.col(c) == F.col(k) for c, k in zip(left_keys, kn)] + [F.col(left_ds) == F.col("_d")]
     return left.join(m, cond, "left").drop(*kn, "_d")
@@ -239,7 +246,8 @@ def _collapse_right(right: DataFrame, keys: Sequence[str], right_ds: str,
 
 def asof_cascade(left: DataFrame, right: DataFrame, candidates: Sequence[tuple],
                  left_ds: str = "ds", right_ds: str = "snapshot_date",
-                 tolerance_days: int = 90, payload: Sequence[str] = ()) -> DataFrame:
+                 tolerance_days: int = 90, payload: Sequence[str] = (),
+                 left_unique: bool = False) -> DataFrame:
     """Run D06 for each candidate (left keys, right keys) -- right side
     summed to that grain -- and keep the result with the best match rate
     (first candidate on ties).  The choice is an argmax over a handful of
@@ -247,7 +255,7 @@ def asof_cascade(left: DataFrame, right: DataFrame, candidates: Sequence[tuple],
     best, best_rate = None, -1.0
     for lk, rk in candidates:
         r = _collapse_right(right, rk, right_ds, payload)
-        j = asof_join(left, r, lk, rk, left_ds, right_ds, tolerance_days, payload)
+        j = asof_join(left, r, lk, rk, left_ds, right_ds, tolerance_days, payload, left_unique)
         rate = match_rate(j, payload).first()["rate"] or 0.0
         if rate > best_rate:
             best, best_rate = j, rate
@@ -256,7 +264,8 @@ def asof_cascade(left: DataFrame, right: DataFrame, candidates: Sequence[tuple],
 
 def asof_coalesce(left: DataFrame, right: DataFrame, candidates: Sequence[tuple],
                   left_ds: str = "ds", right_ds: str = "snapshot_date",
-                  tolerance_days: int = 90, payload: Sequence[str] = ()) -> DataFrame:
+                  tolerance_days: int = 90, payload: Sequence[str] = (),
+                  left_unique: bool = False) -> DataFrame:
     """Per row, the first non-null match over the ordered key sets."""
     out = left
     names = []
@@ -264,7 +273,7 @@ def asof_coalesce(left: DataFrame, right: DataFrame, candidates: Sequence[tuple]
         r = _collapse_right(right, rk, right_ds, payload)
         r = r.select(*rk, right_ds, *[F.col(c).alias(f"{c}__{i}") for c in payload])
         out = asof_join(out, r, lk, rk, left_ds, right_ds, tolerance_days,
-                        [f"{c}__{i}" for c in payload])
+                        [f"{c}__{i}" for c in payload], left_unique)
         out = out.drop(right_ds if right_ds not in left.columns else f"{right_ds}_r")
         names.append(i)
     return out.select(*left.columns, *[F.coalesce(*[F.col(f"{c}__{i}") for i in names]).alias(c)

@@ -46,23 +46,28 @@ def split_chronological(df: DataFrame, ds: str = DS, test_ratio: float = 0.2, ga
     """Split on the date at position int(D * 0.8) of the D distinct dates,
     with a gap of ``gap_days`` before it (rows inside the gap are dropped);
     without the gap when a side would be empty; by position (date, then
-    keys) when fewer than ``min_dates`` dates exist.  Adds ``split``."""
-    dates = df.select(F.col(ds).alias("_d")).where(F.col("_d").isNotNull()).distinct()
-    n_dates = dates.count()          # one scalar: picks the strategy
+    keys) when fewer than ``min_dates`` dates exist.  Adds ``split``.
+
+    One aggregate gives the row count per distinct date -- a table bounded by
+    the calendar, not by the data -- from which the split date and the cut
+    are chosen; they enter the final filter as literals (so a scan of a
+    date-partitioned table prunes partitions)."""
+    per_date = sorted((r[0], r[1]) for r in
+                      df.where(F.col(ds).isNotNull()).groupBy(ds).count().collect())
+    n_dates = len(per_date)
     if n_dates < min_dates:
         order = [ds] + [c for c in keys if c in df.columns]
         x = _positional_labels(df, order, 1 - test_ratio, keys=order)
         return x.withColumnRenamed("_pos_split", "split")
-    # distinct dates are bounded by the calendar: ranking them is small
-    ranked = dates.withColumn("_i", F.row_number().over(W.orderBy("_d")) - 1)
     ix = max(1, min(int(n_dates * (1 - test_ratio)), n_dates - 1))
-    split_date = ranked.where(F.col("_i") == ix).select("_d").scalar()
-    train_end = F.date_sub(split_date, gap_days)
-    n_train_gap = df.where(F.col(ds) < train_end).agg(F.count(F.lit(1))).scalar()
-    n_test = df.where(F.col(ds) >= split_date).agg(F.count(F.lit(1))).scalar()
-    cut = F.when((n_train_gap == 0) | (n_test == 0), split_date).otherwise(train_end)
-    by_date = (F.when(F.col(ds) < cut, F.lit("train"))
-                .when(F.col(ds) >= split_date, F.lit("test")))
+    split_date = per_date[ix][0]
+    import datetime as _dt
+    train_end = split_date - _dt.timedelta(days=gap_days)
+    n_train_gap = sum(c for d, c in per_date if d < train_end)
+    n_test = sum(c for d, c in per_date if d >= split_date)
+    cut = split_date if (n_train_gap == 0 or n_test == 0) else train_end
+    by_date = (F.when(F.col(ds) < F.lit(cut), F.lit("train"))
+                .when(F.col(ds) >= F.lit(split_date), F.lit("test")))
     return df.withColumn("split", by_date).where(F.col("split").isNotNull())
 
 

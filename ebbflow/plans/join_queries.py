@@ -77,7 +77,8 @@ FROM daily_series s ASOF LEFT JOIN {right} r ON {keys_on} AND s.ds >= r.snapshot
     _asof_sql("s.product_id = r.product_id AND s.customer_id = r.city"), "daily_series", "inventory"))
 def asof_join(spark, sf_dir):
     return jn.asof_join(fx.daily_series(spark, sf_dir), _inv(spark, sf_dir),
-                        ["product_id", "customer_id"], ["product_id", "city"], "ds", "snapshot_date", 90)
+                        ["product_id", "customer_id"], ["product_id", "city"], "ds", "snapshot_date", 90,
+                        left_unique=True)
 
 
 _CANDS = [(["product_id", "customer_id"], ["product_id", "city"]), (["product_id"], ["product_id"])]
@@ -96,7 +97,7 @@ UNION ALL
 SELECT * FROM j2 WHERE (SELECT v FROM r2) > (SELECT v FROM r1)""", "daily_series", "inventory"))
 def asof_cascade(spark, sf_dir):
     return jn.asof_cascade(fx.daily_series(spark, sf_dir), _inv(spark, sf_dir), _CANDS,
-                           payload=["warehouse_inventory_qty"])
+                           payload=["warehouse_inventory_qty"], left_unique=True)
 
 
 @query("asof_coalesce", with_views(f"""
@@ -108,7 +109,7 @@ SELECT j1.* EXCLUDE (snapshot_date, warehouse_inventory_qty),
 FROM j1 JOIN j2 USING ({KEYS}, ds)""", "daily_series", "inventory"))
 def asof_coalesce(spark, sf_dir):
     return jn.asof_coalesce(fx.daily_series(spark, sf_dir), _inv(spark, sf_dir), _CANDS,
-                            payload=["warehouse_inventory_qty"])
+                            payload=["warehouse_inventory_qty"], left_unique=True)
 
 
 def _inv_dates(spark, sf_dir):
@@ -248,7 +249,8 @@ SELECT {KEYS}, ds, order_qty, on_hand_qty, {r('roll14')} AS qty_roll14,
 FROM x""", "daily_series", "inventory"))
 def supply_position(spark, sf_dir):
     j = jn.asof_join(fx.daily_series(spark, sf_dir), _inv(spark, sf_dir),
-                     ["product_id", "customer_id"], ["product_id", "city"], "ds", "snapshot_date", 90)
+                     ["product_id", "customer_id"], ["product_id", "city"], "ds", "snapshot_date", 90,
+                     left_unique=True)
     roll = fe.past_mean_col()
     x = j.select("customer_id", "product_id", "ds", "order_qty",
                  F.coalesce("warehouse_inventory_qty", F.lit(0.0)).alias("on_hand_qty"),

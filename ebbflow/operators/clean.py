@@ -21,8 +21,9 @@ from ..session import cut_lineage
 def scalars(one_row: DataFrame) -> dict[str, Column]:
     """Columns of a one-row DataFrame as scalar-subquery expressions.
 
-    All fields come from a single subquery (one struct), so the aggregate
-    runs once however many fields are used."""
+    Every field reads the same one-struct subquery; the copies are identical
+    plans, which adaptive execution reuses (``ReusedSubquery`` in the final
+    plan), so the aggregate runs once however many fields are used."""
     s = one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
     return {c: s.getField(c) for c in one_row.columns}
 

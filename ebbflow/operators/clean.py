@@ -125,6 +125,27 @@ def label_codes(df: DataFrame, col: str, partitions: int | None = None) -> DataF
                   .select("value", (F.col("_off") + local).cast("int").alias("code")))
 
 
+def running_offsets(blocks: DataFrame, order: Sequence[str], weight: str,
+                    partitions: int | None = None) -> DataFrame:
+    """``blocks`` plus ``_off`` = sum of ``weight`` over all rows strictly
+    before each row in ``order`` (rows must be unique on ``order``).
+
+    Same layout as ``label_codes``: rows are range-partitioned on ``order``
+    and checkpointed, so partition ids follow the order; a partition's offset
+    is a running total over one row per partition, a row's offset inside it a
+    window over that partition only -- no task sees more than one range."""
+    order = list(order)
+    n = partitions or max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut_lineage(blocks.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    totals = ranged.groupBy("_pid").agg(F.sum(weight).alias("_t"))
+    pid_off = totals.select("_pid", F.coalesce(F.sum("_t").over(
+        W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_poff"))
+    inner = F.coalesce(F.sum(weight).over(W.partitionBy("_pid").orderBy(*order)
+                                          .rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return (ranged.join(F.broadcast(pid_off), "_pid")          # <= n rows: bounded broadcast
+                  .withColumn("_off", F.col("_poff") + inner).drop("_pid", "_poff"))
+
+
 def label_encode(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """``{col}_enc`` integer codes plus the mapping table per column."""
     maps = {c: label_codes(df, c) for c in cols}

@@ -82,10 +82,10 @@ def _positional_labels(df: DataFrame, order: Sequence[str], ratio: float, keys:
     n = df.agg(F.count(F.lit(1))).scalar()
     counts = df.groupBy(*lead).agg(F.count(F.lit(1)).alias("_c"))
     # offsets: running total over the distinct leading keys (one row per key
-    # block, far fewer than rows; the only unpartitioned window here)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        W.orderBy(*lead).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    x = df.join(offs.drop("_c"), list(lead))
+    # block), computed range by range -- no single-task window
+    offs = clean.running_offsets(counts, lead, "_c")
+    o = offs.select(*[F.col(c).alias(f"_k_{c}") for c in lead], "_off")
+    x = df.join(o, [df[c].eqNullSafe(o[f"_k_{c}"]) for c in lead]).drop(*[f"_k_{c}" for c in lead])
     w = W.partitionBy(*lead).orderBy(*(rest or lead))
     pos = F.col("_off") + F.row_number().over(w)
     return x.withColumn("_pos_split", F.when(pos <= F.floor(n * ratio), "train").otherwise("test")) \

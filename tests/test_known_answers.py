@@ -169,3 +169,31 @@ def test_point_errors_rules(spark):
     assert rows[2].absolute_percentage_error == pytest.approx(20.0)
     s = ac.error_summary(df.withColumn("g", F.lit(1)), ["g"]).collect()[0]
     assert s.mape == pytest.approx(10.0)     # x/0 left out, 0/0 counted as 0
+
+
+def test_positional_split_matches_sorted_rows(spark):
+    """G22 without a global sort equals 'first 80 % of the sorted rows',
+    null keys included, with blocks spread over several range partitions."""
+    from ebbflow.operators import models as md
+    rnd = random.Random(11)
+    rows = [(rnd.choice([None, "a", "b", "c", "d", "e"]), rnd.choice([None, "x", "y", "z"]),
+             dt.date(2024, 1, 1) + dt.timedelta(days=i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "customer_id string, product_id string, ds date")
+    got = {(r.customer_id, r.product_id, r.ds): r.split
+           for r in md.split_fraction(df).collect()}
+    assert len(got) == len(rows)
+    key = lambda r: tuple((v is not None, v) for v in r)          # nulls first, as Spark sorts
+    ordered = sorted(rows, key=key)
+    cut = int(len(rows) * 0.8)
+    want = {r: ("train" if i < cut else "test") for i, r in enumerate(ordered)}
+    assert got == want
+
+
+def test_running_offsets_over_ranges(spark):
+    blocks = spark.createDataFrame([(i, (i * 7) % 5 + 1) for i in range(200)], "k int, w int")
+    got = {r.k: r._off for r in cl.running_offsets(blocks, ["k"], "w", partitions=7).collect()}
+    run, want = 0, {}
+    for i in range(200):
+        want[i] = run
+        run += (i * 7) % 5 + 1
+    assert got == want

@@ -75,8 +75,8 @@ def _positional_labels(df: DataFrame, order: Sequence[str], ratio: float, keys:
     """'train' for the first int(n * ratio) rows in ``order``, else 'test'.
 
     Rows are numbered without a global sort: cumulative counts over the
-    distinct leading keys (few rows) give each key block its offset, a
-    per-block ``row_number`` gives the position inside it."""
+    distinct key blocks (one row per block, summed range by range) give each
+    block its offset, a per-block ``row_number`` gives the position inside it."""
     lead = list(keys) or [order[0]]
     rest = [c for c in order if c not in lead]
     n = df.agg(F.count(F.lit(1))).scalar()
@@ -97,7 +97,9 @@ def split_fraction(df: DataFrame, order: Sequence[str] = ("customer_id", "produc
     """First 80 % of rows in (customer, product, date) order -- the
     reference's positional split, which therefore splits by customer."""
     order = list(order)
-    x = _positional_labels(df, order, ratio, keys=order[:-1])
+    # blocks are whole order keys: a row's window only holds its exact ties,
+    # however many rows one (customer, product) pair has
+    x = _positional_labels(df, order, ratio, keys=order)
     return x.withColumnRenamed("_pos_split", "split")
 
 

@@ -132,7 +132,8 @@ for _n in _SINGLE:
     _register_single(_n)
 
 
-@query("tail_features", _ds(
+# E20 in SQL (also a building block of the E17 oracle)
+TAIL_SQL = (
     f"WITH x AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY ds DESC) AS rd, "
     f"lead(order_qty) OVER (PARTITION BY {KEYS} ORDER BY ds DESC) AS nxt FROM daily_series), "
     f"g AS (SELECT {KEYS}, count(*) AS n, avg(order_qty) AS mean, max(ds) AS last_date, "
@@ -146,7 +147,10 @@ for _n in _SINGLE:
     + ", ".join(f"{r(f'CASE WHEN n >= {n} THEN m{n} ELSE mean END')} AS rolling_mean_{n}, "
                 f"{r(f'CASE WHEN n >= {n} THEN coalesce(s{n}, 0.0) ELSE 0.0 END')} AS rolling_std_{n}, "
                 f"{r(f'CASE WHEN n >= {n} THEN coalesce(d{n}, 0.0) / {n} ELSE 0.0 END')} AS rolling_trend_{n}"
-                for n in (3, 7, 14)) + " FROM g"))
+                for n in (3, 7, 14)) + " FROM g")
+
+
+@query("tail_features", _ds(TAIL_SQL))
 def tail_features(spark, sf_dir):
     return fe.tail_features(fx.daily_series(spark, sf_dir))
 

@@ -14,6 +14,8 @@ from ..operators import forecast as fcst
 from ..operators import models as md
 from ..sources import fixtures as fx
 from . import query
+from .feature_queries import TAIL_SQL
+from .join_queries import _GRID
 from .oracle_views import r, with_views
 
 KEYS = "customer_id, product_id"
@@ -523,7 +525,14 @@ def feature_matrix(spark, sf_dir):
     return md.feature_matrix(x, _E15_FEATURES, keep=["customer_id", "product_id", "ds"])
 
 
-@query("future_features")
+@query("future_features", with_views(f"""
+WITH {_GRID}, t AS ({TAIL_SQL})
+SELECT g.*, t.* EXCLUDE (customer_id, product_id),
+       year(g.ds) AS order_year, month(g.ds) AS order_month, day(g.ds) AS order_day,
+       isodow(g.ds) - 1 AS order_day_of_week, quarter(g.ds) AS quarter,
+       cast(day(g.ds) = 1 AS INTEGER) AS is_month_start, cast(g.ds = last_day(g.ds) AS INTEGER) AS is_month_end,
+       cast(isodow(g.ds) - 1 >= 5 AS INTEGER) AS is_weekend
+FROM g LEFT JOIN t USING (customer_id, product_id)""", "daily_series"))
 def future_features(spark, sf_dir):
     d = fx.daily_series(spark, sf_dir)
     last = d.agg(F.max("ds")).scalar()

@@ -46,7 +46,7 @@ def impute_ids(df: DataFrame, order_id: str = "order_id", product_id: str = "sku
 def impute_median_date(df: DataFrame, ds: str = "order_date") -> DataFrame:
     """Null dates take the median date (midpoint of the two middle days
     rounded down to a day)."""
-    med = df.agg(F.percentile(F.unix_date(F.col(ds).cast("date")), 0.5).alias("m")).scalar()
+    med = quantiles(df, {"m": F.unix_date(F.col(ds).cast("date"))}, [0.5]).select(F.col("m")[0]).scalar()
     fill = F.date_from_unix_date(F.floor(med).cast("int"))
     return df.withColumn(ds, F.coalesce(F.col(ds).cast("date"), fill))
 
@@ -83,13 +83,70 @@ def impute_constant(df: DataFrame, fills: Mapping[str, object] | None = None,
     return df.withColumns(out)
 
 
+def quantiles(df: DataFrame, cols, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """For every column an array of its exact linear percentiles at ``probs``
+    (Spark's ``percentile`` values; null when the column is all null): one
+    row, or one row per group of ``by``.  ``cols`` is a list of names or a
+    dict name -> Column.
+
+    Spark's exact ``percentile`` merges one counter per distinct value in a
+    single task per group -- unbounded for continuous columns or a hot group.
+    Here the values of all columns are stacked as (group, column, value),
+    counted per distinct value (partial aggregation), and ranked with
+    ``running_offsets`` range by range; the two values around each
+    percentile position are picked by a filter on those ranks.  No task holds
+    more than one range of distinct values."""
+    by = list(by)
+    items = list(cols.items()) if isinstance(cols, dict) else [(c, F.col(c)) for c in cols]
+    stacked = (df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), e.cast("double").alias("v"))
+                                                  for i, (_, e) in enumerate(items)])).alias("s"))
+                 .select(*by, "s._i", "s.v").where(F.col("v").isNotNull()))
+    g = by + ["_i"]
+    cnt = stacked.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
+    offs = running_offsets(cnt, g + ["v"], "c")
+    tot = offs.groupBy(*g).agg(F.min("_off").alias("_base"), F.sum("c").alias("_n"))
+    if by:      # one row per (group, column): a join (AQE splits a hot group's side)
+        t = tot.select(*[F.col(c).alias(f"_t_{c}") for c in g], "_base", "_n")
+        x = offs.join(t, [offs[c].eqNullSafe(t[f"_t_{c}"]) for c in g]).drop(*[f"_t_{c}" for c in g])
+    else:       # one row per column: bounded broadcast
+        x = offs.join(F.broadcast(tot), "_i")
+    x = x.withColumn("_lo", F.col("_off") - F.col("_base")).withColumn("_hi", F.col("_lo") + F.col("c"))
+    aggs = []
+    for j, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        for side, rank in (("a", F.floor(pos)), ("b", F.ceil(pos))):
+            aggs.append(F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("v")))
+                        .alias(f"_{side}{j}"))
+        aggs.append(F.max(pos).alias(f"_p{j}"))
+    per = x.groupBy(*g).agg(*aggs)
+
+    def value(j):
+        a, b, pos = F.col(f"_a{j}"), F.col(f"_b{j}"), F.col(f"_p{j}")
+        lo, hi = F.floor(pos), F.ceil(pos)
+        return F.when((lo == hi) | (a == b), a).otherwise((hi - pos) * a + (pos - lo) * b)
+
+    per = per.select(*g, F.array(*[value(j) for j in range(len(probs))]).alias("q"))
+    out = [F.first(F.when(F.col("_i") == i, F.col("q")), ignorenulls=True).alias(name)
+           for i, (name, _) in enumerate(items)]
+    if not by:
+        return per.agg(*out)
+    # groups whose columns are all null have no stacked rows: keep them (null arrays)
+    groups = df.select(*by).distinct()
+    got = per.groupBy(*by).agg(*out)
+    r = got.select(*[F.col(c).alias(f"_g_{c}") for c in by], *[n for n, _ in items])
+    return (groups.join(r, [groups[c].eqNullSafe(r[f"_g_{c}"]) for c in by], "left")
+                  .drop(*[f"_g_{c}" for c in by]))
+
+
 def medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """One row: the median of every column (null when all null).
 
-    Exact medians keep one counter per distinct value; pass ``approx=True``
-    for continuous columns at scale (bounded sketch)."""
-    f = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else (lambda c: F.percentile(c, 0.5))
-    return df.agg(*[f(F.col(c).cast("double")).alias(c) for c in cols])
+    Exact medians are ranked range by range (``quantiles``); ``approx=True``
+    uses bounded sketches instead."""
+    if approx:
+        return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c) for c in cols])
+    q = quantiles(df, list(cols), [0.5])
+    return q.select(*[F.col(c)[0].alias(c) for c in cols])
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None,

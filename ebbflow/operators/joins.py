@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions.columns import canon_id, norm_text
+from . import clean
 
 EPOCH = "1970-01-01"
 
@@ -314,7 +315,8 @@ def static_median_join(left: DataFrame, right: DataFrame, left_keys: Sequence[st
                        right_keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Per-key medians of right columns joined as ``{col}_static``
     (not leakage-safe: uses the whole right history)."""
-    med = right.groupBy(*right_keys).agg(*[F.median(c).alias(f"{c}_static") for c in cols])
+    q = clean.quantiles(right, list(cols), [0.5], by=right_keys)    # exact, hot keys split by range
+    med = q.select(*right_keys, *[F.col(c)[0].alias(f"{c}_static") for c in cols])
     cond = [F.col(f"l.{a}") == F.col(f"r.{b}") for a, b in zip(left_keys, right_keys)]
     return (left.alias("l").join(med.alias("r"), cond, "left")
                 .select("l.*", *[F.col(f"r.{c}_static") for c in cols]))

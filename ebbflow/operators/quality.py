@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions.columns import MISSING_TOKENS, r6
+from . import clean
 
 # Name fragments used to classify columns.
 METRIC_HINTS_STRUCTURE = ("qty", "amount", "price", "total", "count")
@@ -117,7 +118,7 @@ def schema_drift(old: DataFrame, new: DataFrame, expected: Sequence[str] | None
 
 
 def _fences(df: DataFrame, col: str, m: float):
-    q = df.agg(F.percentile(col, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).scalar()
+    q = clean.quantiles(df, [col], [0.25, 0.75]).select(F.col(col).alias("q")).scalar()
     q1, q3 = q[0], q[1]
     iqr = q3 - q1
     return q1 - m * iqr, q3 + m * iqr
@@ -138,7 +139,7 @@ def iqr_remove(df: DataFrame, col: str, m: float = 1.5) -> DataFrame:
 def iqr_summary(df: DataFrame, cols: Sequence[str], m: float = 1.5) -> DataFrame:
     """Outlier count per column: one pass for all quantiles, one pass
     for all counts."""
-    qs = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols])
+    qs = clean.quantiles(df, list(cols), [0.25, 0.75])
     q = qs.select(F.struct(*cols)).scalar()
     counts = []
     for c in cols:

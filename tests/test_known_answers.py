@@ -197,3 +197,29 @@ def test_running_offsets_over_ranges(spark):
         want[i] = run
         run += (i * 7) % 5 + 1
     assert got == want
+
+
+def test_quantiles_equal_spark_percentile(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, rnd.randint(0, 30)]), rnd.random() * 100 if rnd.random() > 0.1 else None, None)
+            for _ in range(997)]
+    df = spark.createDataFrame(rows, "a int, b double, c double")
+    ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]
+    got = cl.quantiles(df, ["a", "b", "c"], ps).collect()[0]
+    want = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in ps])).alias(c)
+                    for c in "abc"]).collect()[0]
+    assert got == want
+    assert cl.quantiles(df.where("false"), ["a"], [0.5]).collect()[0]["a"] is None
+
+
+def test_grouped_quantiles_equal_spark_median(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["h", "h", "h", "a", "b", None]), rnd.choice([None, rnd.randint(0, 9)]),
+             rnd.random() if rnd.random() > 0.2 else None) for _ in range(800)]
+    rows.append(("allnull", None, None))
+    df = spark.createDataFrame(rows, "k string, a int, b double")
+    got = {r.k: (r.a, r.b) for r in cl.quantiles(df, ["a", "b"], [0.5, 0.9], by=["k"]).collect()}
+    want = {r.k: (r.a, r.b) for r in df.groupBy("k").agg(
+        F.percentile(F.col("a").cast("double"), F.array(F.lit(0.5), F.lit(0.9))).alias("a"),
+        F.percentile("b", F.array(F.lit(0.5), F.lit(0.9))).alias("b")).collect()}
+    assert got == want

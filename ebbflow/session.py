@@ -40,8 +40,10 @@ def get_session(app: str = "ebbflow", cores: int | str = "*",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared filesystem and is used as is.
-    Only when it is unset (local tests) is a fresh scratch folder chosen.
+    On a cluster this setting names a shared filesystem and is used as is;
+    a cluster session without it is refused (a machine-local folder would not
+    survive the loss of the executor that wrote it).  Only a local-mode
+    session without it (tests, the bench) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
         conf_dir = tempfile.mkdtemp(prefix="ebbflow-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ebbflow.sources import readers as rd
@@ -82,3 +84,16 @@ def test_flatten_nested(spark):
     df = spark.createDataFrame([(1, (2.5, "x"), [3, 4])], "id int, s struct<a:double,b:string>, arr array<int>")
     rows = {(r.field, r.value) for r in sk.flatten_record(df, keys=["id"]).collect()}
     assert rows == {("s.a", "2.5"), ("s.b", "x"), ("arr[0]", "3"), ("arr[1]", "4")}
+
+
+def test_cluster_session_needs_shared_checkpoint_dir():
+    """Outside local mode an unset spark.checkpoint.dir is refused rather than
+    replaced by a machine-local folder."""
+    from types import SimpleNamespace
+
+    from ebbflow.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://cluster:7077",
+                         setCheckpointDir=lambda d: (_ for _ in ()).throw(AssertionError(d)))
+    fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(fake)

@@ -223,3 +223,13 @@ def test_grouped_quantiles_equal_spark_median(spark):
         F.percentile(F.col("a").cast("double"), F.array(F.lit(0.5), F.lit(0.9))).alias("a"),
         F.percentile("b", F.array(F.lit(0.5), F.lit(0.9))).alias("b")).collect()}
     assert got == want
+
+
+def test_sample_rows_prefilter_equals_direct_top_k(spark):
+    from ebbflow.sources import readers as rd
+    df = spark.range(0, 20000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("v"))
+    key = lambda rows: sorted((r.k, r.v) for r in rows)
+    direct = key(rd.sample_rows(df, 3000, ["k"], seed=7, direct_limit=10 ** 9).collect())
+    cut = key(rd.sample_rows(df, 3000, ["k"], seed=7, direct_limit=100).collect())
+    assert len(direct) == 3000 and direct == cut
+    assert rd.sample_rows(df, 30000, ["k"], direct_limit=100).count() == 20000

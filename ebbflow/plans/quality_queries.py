@@ -16,6 +16,11 @@ from .oracle_views import r, with_views
 KEYS = "customer_id, product_id"
 DIRTY_COLS = ["order_id", "line_number", "order_date", "sku_id", "category", "city", "customer",
               "channel", "location", "order_qty", "price", "discount_percent", "is_promotional"]
+# columns of the canonical demand_history view, in order
+DEMAND_COLS = ["order_id", "line_number", "order_date", "sku_id", "product_name", "brand", "category",
+               "location", "city", "channel", "customer_id", "customer", "order_qty", "total_demand_qty",
+               "revenue", "price", "discount_percent", "is_promotional", "promotional_demand_qty",
+               "base_demand_qty", "is_late", "forecast_version_name"]
 DIRTY_TYPES = {"order_id": "string", "line_number": "int", "order_date": "date", "sku_id": "string",
                "category": "string", "city": "string", "customer": "string", "channel": "string",
                "location": "string", "order_qty": "double", "price": "double",
@@ -59,11 +64,34 @@ def table_profile(spark, sf_dir):
     return qa.table_profile(fx.dirty_history(spark, sf_dir))
 
 
-@query("type_check")
+def _spark_type(expr: str) -> str:
+    """DuckDB type name -> Spark ``simpleString`` (for the schema oracles)."""
+    return (f"CASE {expr} WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' "
+            f"WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower({expr}) END")
+
+
+def _types_sql(view: str, cols) -> str:
+    """(column_name, type) of every listed column, read over the whole view."""
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {_spark_type(f'any_value(typeof({c}))')} AS t "
+                              f"FROM {view}" for c in cols)
+
+
+_TYPE_SCHEMA = {"order_qty": "float", "line_number": "int", "order_date": "datetime",
+                "sku_id": "string", "price": "int", "city": "float"}
+_ACCEPT_SQL = {"float": "('double', 'float', 'int', 'bigint', 'smallint', 'tinyint')",
+               "int": "('int', 'bigint', 'smallint', 'tinyint')",
+               "datetime": "('timestamp', 'timestamp_ntz', 'date')", "string": "('string')"}
+
+
+@query("type_check", _dirty(
+    "WITH a AS (" + _types_sql("dirty_history", _TYPE_SCHEMA) + "), "
+    "e AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS expected" for c, t in _TYPE_SCHEMA.items())
+    + ") SELECT e.column_name, e.expected, a.t AS actual, "
+    "CASE e.expected " + " ".join(f"WHEN '{k}' THEN a.t IN {v}" for k, v in _ACCEPT_SQL.items())
+    + " ELSE a.t = e.expected END OR (a.t LIKE 'decimal%' AND e.expected = 'float') AS ok "
+    "FROM e JOIN a USING (column_name)"))
 def type_check(spark, sf_dir):
-    schema = {"order_qty": "float", "line_number": "int", "order_date": "datetime",
-              "sku_id": "string", "price": "int", "city": "float"}
-    return qa.type_check(fx.dirty_history(spark, sf_dir), schema)
+    return qa.type_check(fx.dirty_history(spark, sf_dir), _TYPE_SCHEMA)
 
 
 _REQ = ["order_id", "sku_id", "order_date", "order_qty", "city", "customer"]
@@ -77,7 +105,16 @@ def required_nulls(spark, sf_dir):
     return qa.required_nulls(fx.dirty_history(spark, sf_dir), _REQ)
 
 
-@query("schema_drift")
+@query("schema_drift", with_views(
+    "WITH a AS (" + _types_sql("demand_history", DEMAND_COLS) + "), "
+    "b AS (" + _types_sql("dirty_history", DIRTY_COLS) + "), "
+    "j AS (SELECT coalesce(a.column_name, b.column_name) AS column_name, a.t AS old_type, b.t AS new_type "
+    "      FROM a FULL OUTER JOIN b ON a.column_name = b.column_name), "
+    "k AS (SELECT *, CASE WHEN old_type IS NULL THEN 'added' WHEN new_type IS NULL THEN 'removed' "
+    "                     WHEN old_type <> new_type THEN 'changed' END AS change, "
+    "             NOT list_contains(" + "[" + ", ".join(f"'{c}'" for c in DIRTY_COLS[:-1]) + "], column_name) "
+    "             AND new_type IS NOT NULL AS unexpected FROM j) "
+    "SELECT * FROM k WHERE change IS NOT NULL OR unexpected", "demand_history", "dirty_history"))
 def schema_drift(spark, sf_dir):
     return qa.schema_drift(fx.demand_history(spark, sf_dir), fx.dirty_history(spark, sf_dir),
                            expected=DIRTY_COLS[:-1])

@@ -84,18 +84,26 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_log(df: DataFrame, path: str, ts: str = "created_at", id_col: str = "log_id") -> None:
+def append_log(df: DataFrame, path: str, ts: str = "created_at", id_col: str = "log_id",
+               batch_id: int | None = None) -> None:
     """Append records with an id and creation time, partitioned by day.
 
     Append-only (the reference rewrites the whole file each time).  The id is
-    a hash of the record, so a retried batch writes the same ids."""
+    a hash of the record, so a retried batch writes the same ids.  With a
+    ``batch_id`` (a streaming epoch) the rows go to (day, batch) partitions
+    written with dynamic partition overwrite: a micro-batch replayed after a
+    failure replaces its own partitions instead of appending twice."""
     x = df
     if ts not in x.columns:
         x = x.withColumn(ts, F.current_timestamp())
     if id_col not in x.columns:
         x = x.withColumn(id_col, F.sha2(F.to_json(F.struct(*[c for c in df.columns])), 256).substr(1, 16))
     x = x.withColumn("log_day", F.to_date(ts))
-    x.write.mode("append").partitionBy("log_day").parquet(path)
+    if batch_id is None:
+        x.write.mode("append").partitionBy("log_day").parquet(path)
+        return
+    (x.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).write.mode("overwrite")
+      .option("partitionOverwriteMode", "dynamic").partitionBy("log_day", "batch_id").parquet(path))
 
 
 def export_series(fc: DataFrame, keys: Sequence[str], ds: str = "ds",

@@ -4,7 +4,9 @@ Adjustment events arrive as files; each micro-batch is resolved (J01) and
 appended to the day-partitioned log with ``foreachBatch`` -- the only
 continuous write of the reference.  With ``trigger(availableNow=True)`` the
 same code runs as an incremental batch job; the checkpoint location (a
-shared folder) makes it restartable after executor or driver loss.
+shared folder) makes it restartable after executor or driver loss, and each
+micro-batch writes its own (day, batch) partitions by dynamic overwrite, so a
+batch replayed after a failure is not appended twice.
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ def start_adjustment_log(spark: SparkSession, source: str, sink: str, checkpoint
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = apply_adjustments(events_to_adjustments(r.parquet(source)))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        append_log(batch, sink, ts="created_at", id_col="adjustment_id")
+    def write(batch: DataFrame, epoch: int) -> None:
+        # idempotent per epoch: a replayed micro-batch overwrites its own partitions
+        append_log(batch, sink, ts="created_at", id_col="adjustment_id", batch_id=epoch)
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -104,7 +104,10 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by: Sequence[str] = (
     g = by + ["_i"]
     cnt = stacked.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
     offs = running_offsets(cnt, g + ["v"], "c")
-    tot = offs.groupBy(*g).agg(F.min("_off").alias("_base"), F.sum("c").alias("_n"))
+    # where each (group, column) starts in the global order: running offsets of
+    # the per-(group, column) totals (a far smaller table than the values)
+    tot = running_offsets(offs.groupBy(*g).agg(F.sum("c").alias("_n")), g, "_n") \
+        .withColumnRenamed("_off", "_base")
     if by:      # one row per (group, column): a join (AQE splits a hot group's side)
         t = tot.select(*[F.col(c).alias(f"_t_{c}") for c in g], "_base", "_n")
         x = offs.join(t, [offs[c].eqNullSafe(t[f"_t_{c}"]) for c in g]).drop(*[f"_t_{c}" for c in g])

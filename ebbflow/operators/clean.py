@@ -53,17 +53,17 @@ def impute_median_date(df: DataFrame, ds: str = "order_date") -> DataFrame:
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Most frequent non-null value per column (ties: smallest value), one
-    row with one column per input column.  Counting runs as a grouped
-    aggregate per column (partial aggregation absorbs a hot value)."""
-    parts = []
-    for c in cols:
-        cnt = df.where(F.col(c).isNotNull()).groupBy(c).count()
-        parts.append(cnt.agg(F.min_by(F.col(c).cast("string"),
-                                      F.struct(-F.col("count"), F.col(c).cast("string"))).alias(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.select("*", *[v.alias(k) for k, v in scalars(p).items()])
-    return out
+    row with one column per input column.  All columns in one scan: values
+    are stacked as (column, value) and counted in one grouped aggregate
+    (partial aggregation absorbs a hot value)."""
+    cols = list(cols)
+    stacked = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("string").alias("v"))
+                                             for i, c in enumerate(cols)])).alias("s"))
+                 .select("s._i", "s.v").where(F.col("v").isNotNull()))
+    cnt = stacked.groupBy("_i", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = cnt.groupBy("_i").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("m"))
+    return best.agg(*[F.first(F.when(F.col("_i") == i, F.col("m")), ignorenulls=True).alias(c)
+                      for i, c in enumerate(cols)])
 
 
 def impute_mode(df: DataFrame, cols: Sequence[str], default: str = "Unknown") -> DataFrame:

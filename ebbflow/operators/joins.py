@@ -15,6 +15,7 @@ equi-joins after a rewrite:
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -122,12 +123,18 @@ def fuzzy_candidates(left_ids: DataFrame, right_ids: DataFrame, min_ratio: float
         keep = F.greatest(n_grams - t + 1, F.lit(1))
         return x.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("_id", "gram")
 
-    pa = prefix(ga).withColumnRenamed("_id", "canon_orders_pid")
-    pb = prefix(gb).withColumnRenamed("_id", "canon_inv_pid")
     lo = min_ratio / (2 - min_ratio)
+    # length bands of width -ln(lo) in log space: lengths that can pair
+    # (min/max >= lo) lie in the same or a neighbouring band, so the left side
+    # is copied into its three bands and blocks are (gram, band), not gram
+    width = -math.log(lo) * (1 + 1e-9)        # margin: float error cannot skip a band
+    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.lit(width)).cast("int")
+    pa = (prefix(ga).withColumnRenamed("_id", "canon_orders_pid")
+                    .withColumn("_b", F.explode(F.array(*[band("canon_orders_pid") + d for d in (-1, 0, 1)]))))
+    pb = prefix(gb).withColumnRenamed("_id", "canon_inv_pid").withColumn("_b", band("canon_inv_pid"))
     la, lb = F.length("canon_orders_pid"), F.length("canon_inv_pid")
-    return (pa.join(pb, "gram").select("canon_orders_pid", "canon_inv_pid").distinct()
-              .where(F.least(la, lb) >= F.greatest(la, lb) * lo))
+    return (pa.join(pb, ["gram", "_b"]).where(F.least(la, lb) >= F.greatest(la, lb) * lo)
+              .select("canon_orders_pid", "canon_inv_pid").distinct())
 
 
 def crosswalk_fuzzy(unmatched: DataFrame, right: DataFrame, right_col: str = "right_id",

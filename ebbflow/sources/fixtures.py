@@ -11,10 +11,11 @@ These are the inputs every operator consumes (see FIXTURES.md section 2):
 * ``ids_left`` / ``ids_right``  noisy vs clean product names (crosswalk)
 * ``dirty_history``   demand_history with missing-like values and repeats
 
-Scale notes: nation/region are fixed-size dimensions; the order-grain side
-of the line-item join is broadcast only below a checked row count
-(``ORDER_BROADCAST_ROWS``); everything else is left to Catalyst/AQE, which
-picks broadcast only from measured sizes.
+Scale notes: nation/region are fixed-size dimensions; orders are broadcast
+to the line items only below a checked row count (``ORDER_BROADCAST_ROWS``),
+beyond it orders meet customers at order grain and the line items are
+shuffled once; everything else is left to Catalyst/AQE, which picks
+broadcast only from measured sizes.
 ``daily_series`` pre-aggregates line items to (nation, part, day) before the
 part join, so the part join and the final group-by see day grain, not
 line grain.
@@ -32,8 +33,8 @@ PROMO_DISCOUNT = 0.08          # discount at or above which a line is promotiona
 DENSE_DAYS = 400               # calendar length of daily_series_dense
 LATE_DAYS = 90                 # ship later than this many days = late
 SERIES_KEYS = ["customer_id", "product_id"]
-# order-grain rows (orders x customer x geography, ~110 bytes each) up to which
-# that side is broadcast to the line items; override: ebbflow.orderBroadcastRows
+# orders rows (4 columns, ~40 bytes each) up to which orders are broadcast to
+# the line items; override: ebbflow.orderBroadcastRows
 ORDER_BROADCAST_ROWS = 1_000_000
 
 
@@ -55,15 +56,16 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
                                              "c_mktsegment")
     cust = c.join(geography(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-    # orders meet customers at order grain first, so the line items are
-    # shuffled once (on the order key) instead of twice (order key, then customer)
-    oc = o.join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    # size check: the order-grain side is broadcast (no line-item shuffle at
-    # all) only when its row count -- read from parquet footers -- is at most
-    # ORDER_BROADCAST_ROWS; beyond that the sort-merge join above applies
+    # size check on the orders row count (parquet footers)
     limit = int(spark.conf.get("ebbflow.orderBroadcastRows", str(ORDER_BROADCAST_ROWS)))
     if _t(spark, sf_dir, "orders").count() <= limit:
-        oc = F.broadcast(oc)
+        # small: orders are broadcast to the line items (no line-item shuffle);
+        # customers follow as a broadcast Spark picks from their measured size
+        return (li.join(F.broadcast(o), li.l_orderkey == o.o_orderkey)
+                  .join(cust, F.col("o_custkey") == F.col("c_custkey")))
+    # large: orders meet customers at order grain first, so the line items are
+    # shuffled once (on the order key) instead of twice (order key, then customer)
+    oc = o.join(cust, F.col("o_custkey") == F.col("c_custkey"))
     return li.join(oc, li.l_orderkey == oc.o_orderkey)
 
 

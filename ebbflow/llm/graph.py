@@ -40,8 +40,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         small = (large.join(least, F.col("u") == F.col("n"))
-                 .select(F.explode(F.array(F.struct("v", "m"), F.struct("u", "m"))).alias("s"))
-                 .select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
+                 .select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         e = settled(small)
         before, mark = mark, _mark(e)
         if mark == before:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.session import cut_lineage
+from ebbflow.session import ensure_checkpoint_dir
 
 #: A word of the contracts: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder of
-    ``spark.checkpoint.dir``; survives the loss of executors."""
-    return cut_lineage(df)
+    """``df`` computed once and written as Parquet to the shared folder of
+    ``spark.checkpoint.dir``: later steps read it from there, also after the
+    loss of executors.  The table goes when the application ends."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(folder)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

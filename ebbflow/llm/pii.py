@@ -96,11 +96,13 @@ _ODD = re.compile("[" + re.escape("".join(_LOOK) + "".join(_SIGN)) + "！-～٠-
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT_SIGN = re.compile(_OPEN + r"(?:at|@)" + _CLOSE, re.I)
 _DOT_SIGN = re.compile(_OPEN + r"(?:dot|punkt|\.)" + _CLOSE, re.I)
-_SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\.)[A-Za-z0-9-]+)", re.I)
+#: A spoken "at" before one of these words is the preposition.
+_SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?!(?:an?|the|this|that|my|your|our|their|his|her|its)\b)"
+                        r"(?=[A-Za-z0-9-]+(?:\s+dot\s+|\.)[A-Za-z0-9-]+)", re.I)
 _SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?{_DIGIT}(?:(?:[\s-]+|\s+dot\s+){_DIGIT})+\b", re.I)
 _PART = re.compile(rf"plus|dot|{_DIGIT}", re.I)
-_HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\sat\s+[a-z0-9-]+(?:\s+dot\s|\.[a-z0-9])|\b{_DIGIT}[\s-]+{_DIGIT}[\s-]")
+_HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\sat\s+[a-z0-9-]+(?:\s+dot\s|\.[a-z0-9])|@[a-z0-9.-]+\s+dot\s|\b{_DIGIT}[\s-]+{_DIGIT}[\s-]")
 
 
 class _Tape:
@@ -168,12 +170,12 @@ def _disguised(text: str) -> list[tuple[int, int, int]]:
 
 def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     """(kind, begin, end, plain) in code points, end exclusive, by begin and
-    then kind.  Plain identifiers always stay; a disguised one is added where
-    no plain one overlaps it.  Null is empty."""
+    then kind.  Plain identifiers always stay; a disguised one is added unless
+    a plain one of its kind covers it.  Null is empty."""
     if not text:
         return []
     plain = _plain(text)
-    more = [s for s in _disguised(text) if not any(a < s[2] and s[0] < b for a, _, b in plain)]
+    more = [s for s in _disguised(text) if not any(a <= s[0] and s[2] <= b and k == s[1] for a, k, b in plain)]
     both = sorted([(*s, True) for s in plain] + [(*s, False) for s in dict.fromkeys(more)])
     return [(KINDS[k], a, b, p) for a, k, b, p in both]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, minhash, mixing, pii, quality, simhash, urls
+from . import decontaminate, licenses, lm, minhash, mixing, pii, quality, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHINGLE, MAX_BITS = 3, 2
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), SHINGLE, MAX_BITS)
 
@@ -49,7 +53,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_simhash_near_duplicates, op3_benchmark_decontamination, op4_mix_sources, op5_quality_classifier,
+    op1_lm_scores, op2_simhash_near_duplicates, op3_benchmark_decontamination, op4_mix_sources, op5_quality_classifier,
     op7_minhash_fingerprints, op8_url_filter, op9_license_scan, op10_personal_data)}
 
-SQL: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL, "op8_url_filter": urls.URL_SQL}
+SQL: dict[str, str] = {"op1_lm_scores": lm.LM_SQL, "op4_mix_sources": mixing.MIX_SQL, "op8_url_filter": urls.URL_SQL}

@@ -105,3 +105,15 @@ def round_to(c, digits: int = 6) -> Column:
 
 def r6(c) -> Column:
     return round_to(c, 6)
+
+
+#: Date forms tried in order on text that is not ISO (month before day, as in
+#: the raw order files); a value takes the first that fits.
+DATE_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d")
+
+
+def parse_timestamp(c, formats=DATE_FORMATS) -> Column:
+    """Text to timestamp: ISO first, then ``formats`` in order; null when no
+    form fits."""
+    text = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])

@@ -20,13 +20,13 @@ def apply_adjustments(adj: DataFrame, current: str = "current_value", kind: str
                       value: str = "adjustment_value", supplied: str = "new_forecast_value") -> DataFrame:
     """Absolute -> value; percentage -> current x (1 + v/100); multiplier
     -> current x v (v itself when current is 0 in the last two); a supplied
-    new value that differs by more than 1 wins; change and change %."""
+    new value is what is stored; change and change %."""
     cur, v = F.col(current), F.col(value)
     expected = (F.when(F.col(kind) == "absolute", v)
                  .when(F.col(kind) == "percentage", F.when(cur != 0, cur * (1 + v / 100)).otherwise(v))
                  .when(F.col(kind) == "multiplier", F.when(cur != 0, cur * v).otherwise(v)))
     sup = F.col(supplied) if supplied in adj.columns else F.lit(None).cast("double")
-    final = F.when(sup.isNotNull() & (F.abs(expected - sup) > 1), sup).otherwise(expected)
+    final = F.coalesce(sup, expected)
     x = adj.withColumn("new_value", final)
     return x.withColumns({
         "change": r6(F.col("new_value") - cur),

@@ -238,23 +238,24 @@ def scale_standard(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], max_levels: int = 100) -> DataFrame:
-    """Indicator columns (first level dropped) for columns with at most
-    ``max_levels`` distinct values; wider ones get integer codes (C07).
-
-    The level list defines output columns, so it is read on the driver --
-    bounded by ``max_levels`` (checked with ``limit(max_levels + 1)``)."""
+def one_hot(df: DataFrame, cols: Sequence[str], codes: Sequence[str] = (),
+            levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Indicator columns (first level dropped) for ``cols``; integer codes
+    (C07) for the wide columns named in ``codes``.  The caller says which is
+    which, so the data never decides the output columns by its size.
+
+    ``levels`` lists a column's values; where it is missing they are read,
+    sorted, once while the plan is made (they name the output columns)."""
     out = df
     for c in cols:
-        levels = [r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull())
-                  .distinct().orderBy(1).limit(max_levels + 1).collect()]
-        if len(levels) <= max_levels:
-            out = out.withColumns({f"{c}_{v}": (F.col(c).cast("string") == v).cast("int")
-                                   for v in levels[1:]}).drop(c)
-        else:
-            m = label_codes(df, c)
-            out = (out.join(m.withColumnRenamed("value", "_v"), F.col(c).cast("string") == F.col("_v"),
-                            "left").drop(c, "_v").withColumnRenamed("code", c))
+        known = (levels or {}).get(c)
+        if known is None:
+            known = [r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().orderBy(1).collect()]
+        out = out.withColumns({f"{c}_{v}": (F.col(c).cast("string") == v).cast("int") for v in known[1:]}).drop(c)
+    for c in codes:
+        m = label_codes(df, c)
+        out = (out.join(m.withColumnRenamed("value", "_v"), F.col(c).cast("string") == F.col("_v"),
+                        "left").drop(c, "_v").withColumnRenamed("code", c))
     return out
 
 

@@ -263,14 +263,18 @@ def recent_combos(df: DataFrame, days: int = 28, k=None, ds: str = DS) -> DataFr
 
 
 def recent_signal_window(df: DataFrame, k=None, ds: str = DS, q: str = Q,
-                         max_rows: int = 100_000, min_nonzero: int = 50,
+                         max_rows: int | None = None, min_nonzero: int = 50,
                          blocks: Sequence[int] = (100_000, 60_000, 40_000, 20_000, 10_000,
                                                   5_000, 2_000)) -> DataFrame:
     """Per series, rows up to the last non-zero row; of those, the largest
-    block (from ``blocks``, clipped to the rows available) ending there with
-    at least ``min_nonzero`` non-zero rows and variance; else the last
-    ``max_rows`` of them.  Series with no signal keep their last max_rows."""
+    block (all of them, or one of ``blocks``) ending there with at least
+    ``min_nonzero`` non-zero rows and variance; else all of them.  Series with
+    no signal keep all rows.  ``max_rows`` bounds blocks where a caller wants
+    the single-machine limit; by default no series loses a row to it."""
     keys = list(K if k is None else k)
+    blocks = [b for b in sorted({min(b, max_rows or b) for b in blocks}, reverse=True)]
+    max_rows = max_rows or 2 ** 31 - 1
+    blocks = [max_rows] + [b for b in blocks if b < max_rows]
     pos = F.row_number().over(_w(k, ds))
     x = df.withColumn("_pos", pos)
     sig = F.max(F.when(F.coalesce(F.col(q), F.lit(0.0)) > 0, F.col("_pos"))) \
@@ -302,16 +306,16 @@ def recent_signal_window(df: DataFrame, k=None, ds: str = DS, q: str = Q,
 
 
 def training_slice(df: DataFrame, k=None, ds: str = DS, q: str = Q, min_rows: int = 200,
-                   recent_rows: int = 100_000) -> DataFrame:
+                   recent_rows: int | None = None) -> DataFrame:
     """Per series, the non-zero rows when there are at least min_rows of
-    them; else the last ``recent_rows`` rows when they vary and number at
-    least min_rows; else all rows."""
+    them; else the last ``recent_rows`` rows (by default all) when they vary
+    and number at least min_rows; else all rows."""
     keys = list(K if k is None else k)
     val = F.coalesce(F.col(q), F.lit(0.0))
     part = W.partitionBy(*keys)
     x = (df.withColumn("_nz", F.count_if(val > 0).over(part))
            .withColumn("_rd", F.row_number().over(_rev(k, ds))))
-    recent = F.col("_rd") <= recent_rows
+    recent = F.col("_rd") <= (recent_rows or 2 ** 31 - 1)
     x = (x.withColumn("_rsd", F.stddev_samp(F.when(recent, val)).over(part))
           .withColumn("_rn", F.count_if(recent).over(part)))
     use_nz = F.col("_nz") >= min_rows

@@ -189,10 +189,13 @@ def asof_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
               right_ds: str = "snapshot_date", tolerance_days: int | None = 90,
               payload: Sequence[str] | None = None, left_unique: bool = False) -> DataFrame:
     """For every left row, the latest right row with the same keys and
-    date <= the left date, no older than ``tolerance_days``.
+    date <= the left date, no older than ``tolerance_days``.  A null key or
+    date matches nothing; such left rows stay, unmatched.
 
     Only distinct (keys, date) probes go through the window, so repeated left
-    rows (a hot key) cost nothing extra there.  With a tolerance, time is cut
+    rows (a hot key) cost nothing extra there, and are joined back.  Where left
+    rows are unique on keys and date (``left_unique``) whole rows go through it
+    and the join back is saved.  With a tolerance, time is cut
     into buckets of that width; each right row is also copied into the next
     bucket, so a (key, bucket) window partition sees every candidate and a
     key's history is spread over many tasks."""
@@ -202,8 +205,11 @@ def asof_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     probes = left.select(*[F.col(c).alias(k) for c, k in zip(left_keys, kn)],
                          F.col(left_ds).alias("_d"),
                          *([F.struct(*left.columns).alias("_l")] if left_unique else []))
+    complete = F.col("_d").isNotNull()
+    for name in kn:
+        complete = complete & F.col(name).isNotNull()
     if not left_unique:
-        probes = probes.distinct()
+        probes = probes.where(complete).distinct()
     probes = (probes.withColumn("_f", F.lit(1))
                   .withColumn("_p", F.lit(None).cast(
                       T.StructType([T.StructField("_rd", T.DateType())]
@@ -211,7 +217,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     rs = right.select(*[F.col(c).alias(k) for c, k in zip(right_keys, kn)],
                       F.col(right_ds).alias("_d"), F.lit(0).alias("_f"),
                       F.struct(F.col(right_ds).cast("date").alias("_rd"),
-                               *[F.col(c) for c in payload]).alias("_p"))
+                               *[F.col(c) for c in payload]).alias("_p")).where(complete)
     if left_unique:
         rs = rs.withColumn("_l", F.lit(None).cast(probes.schema["_l"].dataType))
     part = list(kn)
@@ -248,40 +254,56 @@ def match_rate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _collapse_right(right: DataFrame, keys: Sequence[str], right_ds: str,
                     payload: Sequence[str]) -> DataFrame:
-    """Right side at a coarser key: quantities summed per (keys, date)."""
+    """Right side at a coarser key: quantities summed per (keys, date), so
+    that a product's stock is the total of its places.  Only for additive
+    columns; others are to be joined at their own grain."""
     return right.groupBy(*keys, right_ds).agg(*[F.sum(c).alias(c) for c in payload])
 
 
 def asof_cascade(left: DataFrame, right: DataFrame, candidates: Sequence[tuple],
                  left_ds: str = "ds", right_ds: str = "snapshot_date",
-                 tolerance_days: int = 90, payload: Sequence[str] = (),
-                 left_unique: bool = False) -> DataFrame:
-    """Run D06 for each candidate (left keys, right keys) -- right side
-    summed to that grain -- and keep the result with the best match rate
-    (first candidate on ties).  The choice is an argmax over a handful of
-    scalars on the driver; each candidate is a full distributed join."""
-    best, best_rate = None, -1.0
-    for lk, rk in candidates:
-        r = _collapse_right(right, rk, right_ds, payload)
-        j = asof_join(left, r, lk, rk, left_ds, right_ds, tolerance_days, payload, left_unique)
-        rate = match_rate(j, payload).first()["rate"] or 0.0
-        if rate > best_rate:
-            best, best_rate = j, rate
-    return best
+                 tolerance_days: int = 90, payload: Sequence[str] = ()) -> DataFrame:
+    """D06 for each candidate (left keys, right keys) -- right side summed
+    to that grain -- and of these the one with the best match rate (first
+    candidate on ties).  ``payload`` must be additive.
+
+    One pass: every candidate's match is joined to the left rows (distinct
+    probes only, so a product's many customers do not meet in one window),
+    the rates are one aggregate over them, and the best candidate's columns
+    are picked per row by that scalar.  No job runs before an action."""
+    date_out = right_ds if right_ds not in left.columns else f"{right_ds}_r"
+    out = left
+    for i, (lk, rk) in enumerate(candidates):
+        r = _collapse_right(right, rk, right_ds, payload).select(
+            *rk, F.col(right_ds).alias(f"{right_ds}__{i}"), *[F.col(c).alias(f"{c}__{i}") for c in payload])
+        out = asof_join(out, r, lk, rk, left_ds, f"{right_ds}__{i}", tolerance_days, [f"{c}__{i}" for c in payload])
+    rates = []
+    for i in range(len(candidates)):
+        some = F.lit(False)
+        for c in payload:
+            some = some | F.col(f"{c}__{i}").isNotNull()
+        rates.append(F.avg(some.cast("double")))
+    # the greatest (rate, earlier place) names the candidate
+    best = out.agg(F.array_max(F.array(*[F.struct(F.coalesce(r, F.lit(0.0)).alias("rate"), F.lit(-i).alias("place"))
+                                         for i, r in enumerate(rates)])).alias("b")).select(-F.col("b.place")).scalar()
+    pick = lambda c: F.element_at(F.array(*[F.col(f"{c}__{i}") for i in range(len(candidates))]), best + 1)
+    return out.select(*left.columns, pick(right_ds).alias(date_out),
+                      *[pick(c).alias(c if c not in left.columns else f"{c}_r") for c in payload])
 
 
 def asof_coalesce(left: DataFrame, right: DataFrame, candidates: Sequence[tuple],
                   left_ds: str = "ds", right_ds: str = "snapshot_date",
-                  tolerance_days: int = 90, payload: Sequence[str] = (),
-                  left_unique: bool = False) -> DataFrame:
-    """Per row, the first non-null match over the ordered key sets."""
+                  tolerance_days: int = 90, payload: Sequence[str] = ()) -> DataFrame:
+    """Per row, the first non-null match over the ordered key sets, the
+    right side summed to each (``payload`` must be additive).  Distinct probes
+    only go through the windows."""
     out = left
     names = []
     for i, (lk, rk) in enumerate(candidates):
         r = _collapse_right(right, rk, right_ds, payload)
         r = r.select(*rk, right_ds, *[F.col(c).alias(f"{c}__{i}") for c in payload])
         out = asof_join(out, r, lk, rk, left_ds, right_ds, tolerance_days,
-                        [f"{c}__{i}" for c in payload], left_unique)
+                        [f"{c}__{i}" for c in payload])
         out = out.drop(right_ds if right_ds not in left.columns else f"{right_ds}_r")
         names.append(i)
     return out.select(*left.columns, *[F.coalesce(*[F.col(f"{c}__{i}") for i in names]).alias(c)
@@ -337,7 +359,8 @@ def promo_days(promo: DataFrame, product: str = "product_id", start: str = "star
     """Promotion intervals exploded to one row per (product[, channel], day)
     with the largest discount of that day."""
     keys = [norm_text(product).alias("_pk")] + ([norm_text(channel).alias("_ch")] if channel else [])
-    x = promo.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+    # an interval that ends before it starts has no day (``sequence`` would count down)
+    x = promo.where(F.col(start).cast("date") <= F.col(end).cast("date")).select(
         *keys, F.explode(F.sequence(F.col(start).cast("date"), F.col(end).cast("date"))).alias("_day"),
         F.coalesce(F.col(discount).cast("double"), F.lit(0.0)).alias("_disc"))
     return x.groupBy(*[c for c in ("_pk", "_ch") if c in x.columns], "_day") \
@@ -360,8 +383,9 @@ def promo_join(df: DataFrame, promo: DataFrame, ds: str = "ds", product: str = "
 
 def active_promotions(dates: DataFrame, promo: DataFrame, ds: str = "ds",
                       product: str = "product_id") -> DataFrame:
-    """Every (row, promotion) pair whose interval covers the row's date."""
-    days = promo.select(norm_text("product_id").alias("_pk"), "promo_id", "start_date", "end_date",
+    """Every (row, promotion) pair whose interval covers the row's date
+    (none for an interval that ends before it starts)."""
+    days = promo.where(F.col("start_date") <= F.col("end_date")).select(norm_text("product_id").alias("_pk"), "promo_id", "start_date", "end_date",
                         "discount",
                         F.explode(F.sequence("start_date", "end_date")).alias("_day"))
     return (dates.join(days, (norm_text(product) == F.col("_pk")) & (F.col(ds) == F.col("_day")))
@@ -380,10 +404,11 @@ def latest_attributes(grid: DataFrame, hist: DataFrame, keys: Sequence[str], col
 
 
 def future_grid(combos: DataFrame, start, end, ds: str = "ds") -> DataFrame:
-    """Every combo x every day of [start, end] (start/end may be columns)."""
+    """Every combo x every day of [start, end] (start/end may be columns);
+    no day when end is before start."""
     s = F.lit(start).cast("date") if isinstance(start, str) else start
     e = F.lit(end).cast("date") if isinstance(end, str) else end
-    return combos.withColumn(ds, F.explode(F.sequence(s, e)))
+    return combos.withColumn(ds, F.explode(F.when(s <= e, F.sequence(s, e))))
 
 
 def sku_lookup(df: DataFrame, master: DataFrame, key: str = "sku_id",

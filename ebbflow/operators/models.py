@@ -27,7 +27,8 @@ DS = "ds"
 Q = "order_qty"
 # Columns describing the same day as the target (leak guard).
 SAME_DAY_COLUMNS = ("order_qty", "revenue", "base_demand_qty", "promotional_demand_qty",
-                    "total_demand_qty", "n_lines")
+                    "total_demand_qty", "n_lines", "price", "discount_percent")
+# Features of the count model.
 COUNT_FEATURES = ["order_year", "order_month", "order_day", "order_day_of_week", "quarter",
                   "is_month_start", "is_month_end", "is_weekend",
                   "qty_lag_1", "qty_lag_7", "revenue_lag_1", "revenue_lag_7",
@@ -201,13 +202,14 @@ def future_features(hist: DataFrame, start, end, k=None, ds: str = DS, q: str =
 def score_range(model: PipelineModel, hist: DataFrame, start, end, features: Sequence[str],
                 k=None, ds: str = DS, q: str = Q, max_days: int = 180,
                 customers: Sequence[str] | None = None, products: Sequence[str] | None = None) -> DataFrame:
-    """Predictions for every recent series over [start, end] (at most
-    ``max_days``), optional customer / product lists, clipped at 0, sorted by
-    date then keys."""
+    """Predictions for every recent series over [start, end], optional
+    customer / product lists, clipped at 0, sorted by date then keys.  A range
+    of more than ``max_days`` days is refused, never shortened."""
     keys = list(K if k is None else k)
     s = F.lit(start).cast("date") if isinstance(start, str) else start
     e = F.lit(end).cast("date") if isinstance(end, str) else end
-    e = F.least(e, F.date_add(s, max_days - 1))
+    too_long = F.raise_error(F.lit(f"the date range is longer than {max_days} days"))
+    e = F.when(F.date_diff(e, s) < max_days, e).otherwise(too_long.cast("date"))
     fut = future_features(hist, s, e, keys, ds, q)
     if customers:
         fut = fut.where(fc.norm_text(keys[0]).isin([c.strip().lower() for c in customers]))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from ..functions.columns import MISSING_TOKENS, r6
+from ..functions.columns import MISSING_TOKENS, parse_timestamp, r6
 from . import clean
 
 # Name fragments used to classify columns.
@@ -44,27 +44,40 @@ def structure_check(df: DataFrame, essential: Sequence[str], max_missing: float
         ((F.lit(ratio) <= max_missing) & (F.col("total_rows") > 0)).alias("validation_passed"))
 
 
-def table_profile(df: DataFrame, cap: int = 100_000, approx: bool = False) -> DataFrame:
-    """Per column type, null count and distinct count (capped); table
-    rows and duplicate rows.  One aggregate pass, then unpivoted.
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: ``d``, the rows that repeat an earlier one.  Rows are counted
+    by a hash first (narrow, partially aggregated); only those whose hash
+    repeats are grouped whole, so equal hashes of different rows count for
+    nothing."""
+    row_hash = F.xxhash64(*df.columns)
+    again = df.groupBy(row_hash.alias("_h")).count().where(F.col("count") > 1).select("_h")
+    return (df.withColumn("_h", row_hash).join(again, "_h", "left_semi").groupBy(*df.columns).count()
+              .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("d")))
 
-    Exact distinct counts of many columns plan as one Expand + aggregate;
-    ``approx=True`` uses HyperLogLog++ sketches instead (one pass, no Expand)."""
+
+def table_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+    """Per column type, null count and distinct count; table rows and
+    duplicate rows.
+
+    Columns are stacked as (column, value) and counted per value, so all
+    distinct counts are one grouped aggregate with partial sums;
+    ``approx=True`` uses HyperLogLog++ sketches instead."""
     cols = df.columns
-    distinct = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    aggs = []
-    for c in cols:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"n__{c}"),
-                 F.least(distinct(c), F.lit(cap)).alias(f"u__{c}")]
-    g = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
-    dups = df.groupBy(*cols).count().agg(F.sum(F.col("count") - 1).alias("d")).select("d").scalar()
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                              F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
-                              F.col(f"n__{c}").alias("n_null"),
-                              F.col(f"u__{c}").alias("n_unique")) for c in cols])
-    return (g.select("_rows", F.explode(rows).alias("c"))
-             .select("c.*", F.col("_rows").alias("total_rows"),
-                     F.coalesce(dups, F.lit(0)).cast("long").alias("duplicate_rows")))
+    dups = duplicate_rows(df).select("d").scalar()
+    total = df.agg(F.count(F.lit(1))).scalar()
+    if approx:
+        g = df.agg(*[x for i, c in enumerate(cols) for x in (F.count_if(F.col(c).isNull()).alias(f"n{i}"),
+                                                             F.approx_count_distinct(c).alias(f"u{i}"))])
+        per = g.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"n{i}").alias("n_null"), F.col(f"u{i}").alias("n_unique"))
+                                           for i in range(len(cols))])).alias("r")).select("r.*")
+    else:
+        stacked = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("string").alias("_v"))
+                                                for i, c in enumerate(cols)])).alias("s")).select("s._i", "s._v")
+        per = (stacked.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_c")).groupBy("_i")
+               .agg(F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("n_null"), F.count("_v").alias("n_unique")))
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_i") + 1)
+    return per.select(at(cols).alias("column_name"), at([df.schema[c].dataType.simpleString() for c in cols]).alias("data_type"),
+                      "n_null", "n_unique", total.alias("total_rows"), dups.alias("duplicate_rows"))
 
 
 def type_check(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
@@ -167,8 +180,9 @@ def valid_transactions(df: DataFrame, order_id: str = "order_id", product_id: st
 
 
 def date_parse_rate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Share of values that parse as a timestamp; fail < 50 %, warn < 80 %."""
-    aggs = [F.avg(F.try_to_timestamp(F.col(c).cast("string")).isNotNull().cast("double")).alias(c)
+    """Share of values that parse as a timestamp (ISO or one of the other
+    known forms); fail < 50 %, warn < 80 %."""
+    aggs = [F.avg(parse_timestamp(F.col(c).cast("string")).isNotNull().cast("double")).alias(c)
             for c in cols]
     g = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("rate")) for c in cols])
@@ -275,7 +289,7 @@ def validate_combinations(requests: DataFrame, hist: DataFrame, master: DataFram
 def dataset_structure(df: DataFrame) -> DataFrame:
     """Classify columns (date / metric / categorical / identifier) from
     name and unique ratio; null %, filter priority."""
-    p = table_profile(df, cap=1 << 62)
+    p = table_profile(df)
     lc = F.lower("column_name")
     ratio = F.col("n_unique") / F.col("total_rows")
 
@@ -294,15 +308,16 @@ def dataset_structure(df: DataFrame) -> DataFrame:
                     cat.alias("category"), prio.alias("filter_priority"), "duplicate_rows")
 
 
-def detect_filters(df: DataFrame) -> DataFrame:
+def detect_filters(df: DataFrame, most: int = 1000) -> DataFrame:
     """Columns usable as filters: not metric- or date-named, with
-    1 < distinct <= min(1000, rows / 2), ordered by distinct count."""
-    p = table_profile(df, cap=1 << 62)
+    1 < distinct <= min(most, rows / 2).  ``most`` is how many values a filter
+    list may offer."""
+    p = table_profile(df)
     lc = F.lower("column_name")
     bad = F.lit(False)
     for h in METRIC_HINTS_FILTER + DATE_HINTS_FILTER:
         bad = bad | lc.contains(h)
-    ok = ~bad & (F.col("n_unique") > 1) & (F.col("n_unique") <= F.least(F.lit(1000.0),
+    ok = ~bad & (F.col("n_unique") > 1) & (F.col("n_unique") <= F.least(F.lit(float(most)),
                                                                          F.col("total_rows") * 0.5))
     return p.where(ok).select("column_name", F.col("n_unique").alias("unique_count"), "data_type")
 

@@ -168,43 +168,21 @@ def recent_combos(spark, sf_dir):
     return fe.recent_combos(fx.daily_series(spark, sf_dir), 28)
 
 
-_BLOCKS = (400, 200, 100, 50)
-_MAXR = 100000
-
-
 def _signal_sql() -> str:
-    aggs = ", ".join(
-        f"count_if(back >= 1 AND back <= least({min(b, _MAXR)}, e) AND coalesce(order_qty, 0) > 0) AS nz{b}, "
-        f"stddev_samp(CASE WHEN back >= 1 AND back <= least({min(b, _MAXR)}, e) THEN coalesce(order_qty, 0) END) AS sd{b}"
-        for b in _BLOCKS)
-    case = " ".join(f"WHEN nz{b} >= 10 AND coalesce(sd{b}, 0) > 0 THEN least({min(b, _MAXR)}, e)"
-                    for b in _BLOCKS)
+    """No series is cut: the largest block with signal is all rows up to the last one."""
     return _dense(f"""
-WITH x AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY ds) AS pos,
-                  count(*) OVER (PARTITION BY {KEYS}) AS tot FROM daily_series_dense),
-y AS (SELECT *, max(CASE WHEN coalesce(order_qty, 0) > 0 THEN pos END) OVER (PARTITION BY {KEYS}) AS e FROM x),
-z AS (SELECT *, e - pos + 1 AS back FROM y),
-g AS (SELECT {KEYS}, max(e) AS e, {aggs} FROM z GROUP BY {KEYS}),
-c AS (SELECT {KEYS}, e AS ce, CASE {case} ELSE least({_MAXR}, e) END AS size FROM g)
-SELECT z.* EXCLUDE (pos, tot, e, back) FROM z JOIN c USING ({KEYS})
-WHERE (c.ce IS NOT NULL AND z.pos <= c.ce AND z.pos > c.ce - c.size)
-   OR (c.ce IS NULL AND z.pos > z.tot - {_MAXR})""")
+WITH x AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY ds) AS pos FROM daily_series_dense),
+e AS (SELECT {KEYS}, max(CASE WHEN coalesce(order_qty, 0) > 0 THEN pos END) AS last_signal FROM x GROUP BY {KEYS})
+SELECT x.* EXCLUDE (pos) FROM x JOIN e USING ({KEYS}) WHERE last_signal IS NULL OR pos <= last_signal""")
 
 
 @query("recent_signal_window", _signal_sql())
 def recent_signal_window(spark, sf_dir):
-    return fe.recent_signal_window(fx.daily_series_dense(spark, sf_dir), min_nonzero=10,
-                                   blocks=_BLOCKS)
+    return fe.recent_signal_window(fx.daily_series_dense(spark, sf_dir))
 
 
 @query("training_slice", _dense(f"""
-WITH x AS (SELECT *, count_if(coalesce(order_qty, 0) > 0) OVER (PARTITION BY {KEYS}) AS nz,
-                  row_number() OVER (PARTITION BY {KEYS} ORDER BY ds DESC) AS rd
-           FROM daily_series_dense),
-y AS (SELECT *, stddev_samp(CASE WHEN rd <= 100000 THEN coalesce(order_qty, 0) END) OVER (PARTITION BY {KEYS}) AS rsd,
-             count_if(rd <= 100000) OVER (PARTITION BY {KEYS}) AS rn FROM x)
-SELECT * EXCLUDE (nz, rd, rsd, rn) FROM y
-WHERE CASE WHEN nz >= 20 THEN coalesce(order_qty, 0) > 0
-           WHEN coalesce(rsd, 0) > 0 AND rn >= 20 THEN rd <= 100000 ELSE true END"""))
+WITH x AS (SELECT *, count_if(coalesce(order_qty, 0) > 0) OVER (PARTITION BY {KEYS}) AS nz FROM daily_series_dense)
+SELECT * EXCLUDE (nz) FROM x WHERE nz < 200 OR coalesce(order_qty, 0) > 0"""))
 def training_slice(spark, sf_dir):
-    return fe.training_slice(fx.daily_series_dense(spark, sf_dir), min_rows=20)
+    return fe.training_slice(fx.daily_series_dense(spark, sf_dir))

@@ -73,10 +73,23 @@ SELECT s.*, CASE WHEN s.ds - r.snapshot_date <= 90 THEN r.snapshot_date END AS s
 FROM daily_series s ASOF LEFT JOIN {right} r ON {keys_on} AND s.ds >= r.snapshot_date"""
 
 
-@query("asof_join", with_views(
-    _asof_sql("s.product_id = r.product_id AND s.customer_id = r.city"), "daily_series", "inventory"))
+def _some_null_keys(df, day, key):
+    """The rows with the key missing on the 13th day (left) or in February (right)."""
+    return df.withColumn(key, F.when(day, F.lit(None)).otherwise(F.col(key)))
+
+
+_NULL_KEYS = """
+ln AS (SELECT * REPLACE (CASE WHEN day(ds) = 13 THEN NULL ELSE product_id END AS product_id) FROM daily_series),
+rn AS (SELECT * REPLACE (CASE WHEN month(snapshot_date) = 2 THEN NULL ELSE product_id END AS product_id) FROM inventory)"""
+
+
+@query("asof_join", with_views(f"WITH {_NULL_KEYS}" + _asof_sql(
+    "s.product_id = r.product_id AND s.customer_id = r.city", "rn").replace("FROM daily_series", "FROM ln"),
+    "daily_series", "inventory"))
 def asof_join(spark, sf_dir):
-    return jn.asof_join(fx.daily_series(spark, sf_dir), _inv(spark, sf_dir),
+    left = _some_null_keys(fx.daily_series(spark, sf_dir), F.dayofmonth("ds") == 13, "product_id")
+    right = _some_null_keys(_inv(spark, sf_dir), F.month("snapshot_date") == 2, "product_id")
+    return jn.asof_join(left, right,
                         ["product_id", "customer_id"], ["product_id", "city"], "ds", "snapshot_date", 90,
                         left_unique=True)
 
@@ -97,7 +110,7 @@ UNION ALL
 SELECT * FROM j2 WHERE (SELECT v FROM r2) > (SELECT v FROM r1)""", "daily_series", "inventory"))
 def asof_cascade(spark, sf_dir):
     return jn.asof_cascade(fx.daily_series(spark, sf_dir), _inv(spark, sf_dir), _CANDS,
-                           payload=["warehouse_inventory_qty"], left_unique=True)
+                           payload=["warehouse_inventory_qty"])
 
 
 @query("asof_coalesce", with_views(f"""
@@ -109,7 +122,7 @@ SELECT j1.* EXCLUDE (snapshot_date, warehouse_inventory_qty),
 FROM j1 JOIN j2 USING ({KEYS}, ds)""", "daily_series", "inventory"))
 def asof_coalesce(spark, sf_dir):
     return jn.asof_coalesce(fx.daily_series(spark, sf_dir), _inv(spark, sf_dir), _CANDS,
-                            payload=["warehouse_inventory_qty"], left_unique=True)
+                            payload=["warehouse_inventory_qty"])
 
 
 def _inv_dates(spark, sf_dir):

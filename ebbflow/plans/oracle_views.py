@@ -47,11 +47,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
          coalesce(d.promotional_demand_qty, 0.0) AS promotional_demand_qty,
          coalesce(d.is_promotional, false) AS is_promotional,
          d.price, d.discount_percent
-  FROM (SELECT DISTINCT customer_id, product_id FROM daily_series) s
-  CROSS JOIN (SELECT cast(unnest(generate_series(max(ds) - 399, max(ds), INTERVAL 1 DAY)) AS DATE) AS ds
-              FROM daily_series) g
+  FROM (SELECT customer_id, product_id, cast(unnest(generate_series(min(ds), (SELECT max(ds) FROM daily_series),
+               INTERVAL 1 DAY)) AS DATE) AS ds FROM daily_series GROUP BY 1, 2) g
+  JOIN (SELECT DISTINCT customer_id, product_id FROM daily_series) s
+    ON s.customer_id = g.customer_id AND s.product_id = g.product_id
   LEFT JOIN daily_series d
-    ON d.customer_id = s.customer_id AND d.product_id = s.product_id AND d.ds = g.ds"""),
+    ON d.customer_id = g.customer_id AND d.product_id = g.product_id AND d.ds = g.ds"""),
     "inventory": ((), """
   SELECT p.p_brand AS product_id, n.n_name AS city,
          cast(date_trunc('month', cast(l.l_shipdate AS DATE)) AS DATE) AS snapshot_date,
@@ -63,7 +64,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "promo_calendar": ((), """
   SELECT p_partkey AS promo_id, p_brand AS product_id,
          DATE '1995-01-01' + cast((p_partkey * 11) % 2400 AS INTEGER) AS start_date,
-         DATE '1995-01-01' + cast((p_partkey * 11) % 2400 AS INTEGER) + cast(p_size % 14 AS INTEGER) AS end_date,
+         DATE '1995-01-01' + cast((p_partkey * 11) % 2400 AS INTEGER)
+           + CASE WHEN p_partkey % 20 = 0 THEN -5 ELSE cast(p_size % 14 AS INTEGER) END AS end_date,
          cast(p_size AS DOUBLE) AS discount
   FROM part"""),
     "adjustments": ((), """

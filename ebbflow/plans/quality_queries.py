@@ -45,10 +45,10 @@ def structure_check(spark, sf_dir):
     return qa.structure_check(fx.dirty_history(spark, sf_dir), _ESSENTIAL)
 
 
-def _profile_sql(src: str, cols: list[str], types: dict[str, str], cap: int = 100000) -> str:
+def _profile_sql(src: str, cols: list[str], types: dict[str, str]) -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, '{types[c]}' AS data_type, count_if({c} IS NULL) AS n_null, "
-        f"least(count(DISTINCT {c}), {cap}) AS n_unique FROM {src}" for c in cols)
+        f"count(DISTINCT {c}) AS n_unique FROM {src}" for c in cols)
     return (f"WITH p AS ({parts}), "
             f"d AS (SELECT coalesce(sum(n - 1), 0) AS dups FROM (SELECT count(*) AS n FROM {src} GROUP BY ALL)) "
             f"SELECT p.*, (SELECT count(*) FROM {src}) AS total_rows, "
@@ -163,13 +163,21 @@ def valid_transactions(spark, sf_dir):
 _PARSE_COLS = ["order_date", "sku_id", "city"]
 
 
-@query("date_parse_rate", _dirty(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, {r(f'avg(CASE WHEN try_cast(cast({c} AS VARCHAR) AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS parse_rate, "
-    f"CASE WHEN avg(CASE WHEN try_cast(cast({c} AS VARCHAR) AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) < 0.5 THEN 'fail' "
-    f"WHEN avg(CASE WHEN try_cast(cast({c} AS VARCHAR) AS TIMESTAMP) IS NOT NULL THEN 1.0 ELSE 0.0 END) < 0.8 THEN 'warn' ELSE 'ok' END AS status "
-    f"FROM dirty_history" for c in _PARSE_COLS)))
+def _parse_rate_sql() -> str:
+    from .source_queries import _DIRTY_TEXT, _PARSED
+
+    def one(c):
+        rate = f"avg(CASE WHEN {_PARSED.replace('order_date', c)} IS NOT NULL THEN 1.0 ELSE 0.0 END)"
+        return (f"SELECT '{c}' AS column_name, {r(rate)} AS parse_rate, CASE WHEN {rate} < 0.5 THEN 'fail' "
+                f"WHEN {rate} < 0.8 THEN 'warn' ELSE 'ok' END AS status FROM dx")
+    return _dirty(f"WITH {_DIRTY_TEXT}, dx AS (SELECT {', '.join(f'cast({c} AS VARCHAR) AS {c}' for c in _PARSE_COLS)} FROM dt) "
+                  + " UNION ALL ".join(one(c) for c in _PARSE_COLS))
+
+
+@query("date_parse_rate", _parse_rate_sql())
 def date_parse_rate(spark, sf_dir):
-    return qa.date_parse_rate(fx.dirty_history(spark, sf_dir), _PARSE_COLS)
+    from .source_queries import _dirty_text
+    return qa.date_parse_rate(_dirty_text(spark, sf_dir), _PARSE_COLS)
 
 
 @query("duplicate_key_rate", _dirty(f"""
@@ -250,7 +258,7 @@ def validate_combinations(spark, sf_dir):
 
 
 def _structure_sql() -> str:
-    prof = _profile_sql("dirty_history", DIRTY_COLS, DIRTY_TYPES, cap=1 << 62).replace(
+    prof = _profile_sql("dirty_history", DIRTY_COLS, DIRTY_TYPES).replace(
         "FROM dirty_history GROUP BY ALL", "FROM dirty_history GROUP BY " + ", ".join(DIRTY_COLS))
     hint = lambda hs: " OR ".join(f"contains(lower(column_name), '{h}')" for h in hs)
     return _dirty(f"""
@@ -273,7 +281,7 @@ def dataset_structure(spark, sf_dir):
 
 
 def _filters_sql() -> str:
-    prof = _profile_sql("dirty_history", DIRTY_COLS, DIRTY_TYPES, cap=1 << 62).replace(
+    prof = _profile_sql("dirty_history", DIRTY_COLS, DIRTY_TYPES).replace(
         "FROM dirty_history GROUP BY ALL", "FROM dirty_history GROUP BY " + ", ".join(DIRTY_COLS))
     bad = " OR ".join(f"contains(lower(column_name), '{h}')"
                       for h in qa.METRIC_HINTS_FILTER + qa.DATE_HINTS_FILTER)
@@ -427,7 +435,7 @@ FROM daily_sku d LEFT JOIN codes ON d.sku_id = codes.v""", "demand_history"))
 def one_hot(spark, sf_dir):
     d = (fx.demand_history(spark, sf_dir).groupBy("sku_id", "channel", "order_date")
          .agg(F.sum("total_demand_qty").alias("qty")))
-    return cl.one_hot(d, ["channel", "sku_id"])
+    return cl.one_hot(d, ["channel"], codes=["sku_id"], levels={"channel": _SEGMENTS})
 
 
 @query("date_to_epoch", with_views("""

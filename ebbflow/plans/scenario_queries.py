@@ -184,8 +184,7 @@ j1 AS (SELECT *, CASE WHEN adjustment_type = 'absolute' THEN adjustment_value
                       WHEN adjustment_type = 'multiplier' THEN CASE WHEN current_value <> 0
                            THEN current_value * adjustment_value ELSE adjustment_value END END AS _e
        FROM adjustments),
-j2 AS (SELECT * EXCLUDE (_e), CASE WHEN new_forecast_value IS NOT NULL AND abs(_e - new_forecast_value) > 1
-                                   THEN new_forecast_value ELSE _e END AS _nv FROM j1),
+j2 AS (SELECT * EXCLUDE (_e), coalesce(new_forecast_value, _e) AS _nv FROM j1),
 j01 AS (SELECT * EXCLUDE (_nv), {r('_nv')} AS new_value, {r('_nv - current_value')} AS change,
                {r('CASE WHEN current_value <> 0 THEN (_nv - current_value) / current_value * 100 END')} AS change_percentage
         FROM j2)"""

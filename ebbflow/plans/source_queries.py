@@ -45,17 +45,25 @@ def map_columns(spark, sf_dir):
 def _dirty_text(spark, sf_dir):
     d = fx.dirty_history(spark, sf_dir)
     return d.withColumn("order_date", F.when(F.col("line_number") == 7, F.lit("not a date"))
+                        .when(F.col("line_number") == 6, F.date_format("order_date", "M/d/yyyy 'X'"))
+                        .when(F.col("line_number") == 5, F.concat(F.date_format("order_date", "M/d/yyyy"), F.lit(" 22:56")))
+                        .when(F.col("line_number") == 4, F.date_format("order_date", "MM-dd-yyyy"))
                         .otherwise(F.col("order_date").cast("string")))
 
 
-_DIRTY_TEXT = ("dt AS (SELECT * REPLACE (CASE WHEN line_number = 7 THEN 'not a date' "
+# lines 4 to 7 carry dates in other forms, the last two of them bad
+_DIRTY_TEXT = ("dt AS (SELECT * REPLACE (CASE line_number WHEN 7 THEN 'not a date' "
+               "WHEN 6 THEN strftime(order_date, '%-m/%-d/%Y X') WHEN 5 THEN strftime(order_date, '%-m/%-d/%Y') || ' 22:56' "
+               "WHEN 4 THEN strftime(order_date, '%m-%d-%Y') "
                "ELSE cast(order_date AS VARCHAR) END AS order_date) FROM dirty_history)")
+_PARSED = ("coalesce(try_cast(order_date AS TIMESTAMP), try_strptime(order_date, ['%m/%d/%Y %H:%M:%S', '%m/%d/%Y %H:%M', "
+           "'%m/%d/%Y', '%m-%d-%Y', '%Y/%m/%d']))")
 
 
 @query("resolve_dates", with_views(f"""
 WITH {_DIRTY_TEXT}
-SELECT * REPLACE (cast(try_cast(order_date AS TIMESTAMP) AS DATE) AS order_date) FROM dt
-WHERE try_cast(order_date AS TIMESTAMP) IS NOT NULL""", "dirty_history"))
+SELECT * REPLACE (cast({_PARSED} AS DATE) AS order_date) FROM dt
+WHERE {_PARSED} IS NOT NULL""", "dirty_history"))
 def resolve_dates(spark, sf_dir):
     x = rd.resolve_dates(_dirty_text(spark, sf_dir))
     return x.withColumn("order_date", F.to_date("order_date"))
@@ -100,8 +108,8 @@ def conform_schema(spark, sf_dir):
 
 @query("load_demand_history", with_views(f"""
 WITH {_DIRTY_TEXT}
-SELECT * REPLACE (cast(try_cast(order_date AS TIMESTAMP) AS DATE) AS order_date) FROM dt
-WHERE try_cast(order_date AS TIMESTAMP) IS NOT NULL""", "dirty_history"))
+SELECT * REPLACE (cast({_PARSED} AS DATE) AS order_date) FROM dt
+WHERE {_PARSED} IS NOT NULL""", "dirty_history"))
 def load_demand_history(spark, sf_dir):
     return rd.load_demand_history(_dirty_text(spark, sf_dir))
 
@@ -140,5 +148,8 @@ WITH {_G02_CTE}
 SELECT {KEYS}, ds, base_forecast, promotional_forecast, base_forecast + promotional_forecast AS total_forecast
 FROM g02""", "daily_series"))
 def export_series(spark, sf_dir):
+    keys = ["customer_id", "product_id"]
     fc = fcst.daily_base_promo(fx.daily_series(spark, sf_dir), days=H)
-    return sk.export_series(fc, ["customer_id", "product_id"], "ds")
+    cols = ["ds", "base_forecast", "promotional_forecast", "total_forecast"]
+    arrays = fc.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("s")).select(*keys, *[F.col("s")[c].alias(c) for c in cols])
+    return sk.export_series(arrays, keys, "ds")

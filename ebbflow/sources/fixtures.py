@@ -4,18 +4,18 @@ These are the inputs every operator consumes (see FIXTURES.md section 2):
 
 * ``demand_history``  line grain, canonical demand columns
 * ``daily_series``    unique on (customer_id, product_id, ds)
-* ``daily_series_dense`` the same on a full 400-day calendar, zero filled
+* ``daily_series_dense`` the same on every day of a series' history, zero filled
 * ``inventory``       monthly warehouse snapshots per (product_id, city)
 * ``promo_calendar``  one promotion interval per part
 * ``adjustments``     planner adjustment log derived from ``events``
 * ``ids_left`` / ``ids_right``  noisy vs clean product names (crosswalk)
 * ``dirty_history``   demand_history with missing-like values and repeats
 
-Scale notes: nation/region are fixed-size dimensions; orders are broadcast
-to the line items only below a checked row count (``ORDER_BROADCAST_ROWS``),
-beyond it orders meet customers at order grain and the line items are
-shuffled once; everything else is left to Catalyst/AQE, which picks
-broadcast only from measured sizes.
+Scale notes: nation/region are fixed-size dimensions; orders meet customers
+at order grain, so the line items are shuffled once, on the order key; AQE
+picks broadcasts from measured sizes, no row count is taken beforehand.
+A view joins only the tables that its columns need (``demand_history(...,
+columns)``).
 ``daily_series`` pre-aggregates line items to (nation, part, day) before the
 part join, so the part join and the final group-by see day grain, not
 line grain.
@@ -30,12 +30,8 @@ from ..functions.columns import r6
 from .tables import read_table
 
 PROMO_DISCOUNT = 0.08          # discount at or above which a line is promotional
-DENSE_DAYS = 400               # calendar length of daily_series_dense
 LATE_DAYS = 90                 # ship later than this many days = late
 SERIES_KEYS = ["customer_id", "product_id"]
-# orders rows (4 columns, ~40 bytes each) up to which orders are broadcast to
-# the line items; override: ebbflow.orderBroadcastRows
-ORDER_BROADCAST_ROWS = 1_000_000
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,15 +52,8 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
                                              "c_mktsegment")
     cust = c.join(geography(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-    # size check on the orders row count (parquet footers)
-    limit = int(spark.conf.get("ebbflow.orderBroadcastRows", str(ORDER_BROADCAST_ROWS)))
-    if _t(spark, sf_dir, "orders").count() <= limit:
-        # small: orders are broadcast to the line items (no line-item shuffle);
-        # customers follow as a broadcast Spark picks from their measured size
-        return (li.join(F.broadcast(o), li.l_orderkey == o.o_orderkey)
-                  .join(cust, F.col("o_custkey") == F.col("c_custkey")))
-    # large: orders meet customers at order grain first, so the line items are
-    # shuffled once (on the order key) instead of twice (order key, then customer)
+    # orders meet customers at order grain first, so the line items are shuffled
+    # once (on the order key) instead of twice (order key, then customer)
     oc = o.join(cust, F.col("o_custkey") == F.col("c_custkey"))
     return li.join(oc, li.l_orderkey == oc.o_orderkey)
 
@@ -138,15 +127,16 @@ def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_series_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """daily_series on every calendar day of the last 400 days, qty 0 when absent.
+    """daily_series on every calendar day from a series' first date to the
+    last date of all series, qty 0 when absent.
 
     The calendar is generated per series with ``explode(sequence)`` (a
-    generator, no join); the end date is a scalar subquery.
+    generator, no join) from one aggregate; the end date is a scalar subquery.
     """
     d = daily_series(spark, sf_dir)
+    first = d.groupBy(*SERIES_KEYS).agg(F.min("ds").alias("_first"))
     last = d.agg(F.max("ds")).scalar()
-    grid = (d.select(*SERIES_KEYS).distinct()
-              .withColumn("ds", F.explode(F.sequence(F.date_sub(last, DENSE_DAYS - 1), last))))
+    grid = first.select(*SERIES_KEYS, F.explode(F.sequence("_first", last)).alias("ds"))
     j = grid.join(d, SERIES_KEYS + ["ds"], "left")
     zero = F.lit(0.0)
     return j.select(
@@ -187,7 +177,9 @@ def promo_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("promo_id"),
         F.col("p_brand").alias("product_id"),
         start.alias("start_date"),
-        F.date_add(start, (F.col("p_size") % 14).cast("int")).alias("end_date"),
+        # every 20th interval ends before it starts: such a promotion is never active
+        F.when(F.col("p_partkey") % 20 == 0, F.date_sub(start, 5))
+         .otherwise(F.date_add(start, (F.col("p_size") % 14).cast("int"))).alias("end_date"),
         F.col("p_size").cast("double").alias("discount"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import parse_timestamp
 from . import schema as S
 
 ENCODINGS = ("utf-8", "iso-8859-1")   # Spark CSV charset names; latin-1 decodes any byte
@@ -41,12 +42,13 @@ def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     sch = "path string, length long, encoding string"
     if not paths:
         return spark.createDataFrame([], sch)
-    # zero-length files never reach Spark's file index: they are reported here
-    b = spark.read.format("binaryFile").load(list(paths))
-    found = b.select("path", "length",
-                     F.when(F.col("length") == 0, F.lit(None))
-                      .when(F.is_valid_utf8(F.col("content").cast("string")), F.lit("utf-8"))
-                      .otherwise(F.lit("iso-8859-1")).alias("encoding"))
+    # lines keep their bytes as they are and no UTF-8 character holds a line
+    # end, so a file is valid if its lines are: large files are read in splits
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+                                                F.is_valid_utf8("value").alias("valid"))
+    found = lines.groupBy("path").agg(F.max("length").alias("length"), F.when(F.bool_and("valid"), F.lit("utf-8"))
+                                      .otherwise(F.lit("iso-8859-1")).alias("encoding"))
+    # zero-length files have no line: they are reported here
     seen = {r["path"] for r in found.select("path").collect()}
     missing = [(p, 0, None) for p in paths if _qualify(spark, p) not in seen and p not in seen]
     if missing:
@@ -103,17 +105,21 @@ def map_columns(df: DataFrame, aliases: Mapping[str, str] = S.RAW_ALIASES) -> Da
 
 def resolve_dates(df: DataFrame, candidates: Sequence[str] = S.DATE_CANDIDATES,
                   target: str = "order_date") -> DataFrame:
-    """The first date candidate present becomes ``target``, parsed with
-    ``try_to_timestamp`` (bad values -> null); rows without a date dropped."""
+    """The first date candidate present becomes ``target``, parsed by
+    ``parse_timestamp`` (ISO and the listed other forms; bad values -> null);
+    rows without a date dropped."""
+    return parsed_dates(df, candidates, target).where(F.col(target).isNotNull())
+
+
+def parsed_dates(df: DataFrame, candidates: Sequence[str] = S.DATE_CANDIDATES,
+                 target: str = "order_date") -> DataFrame:
+    """A04 before its filter: rows with bad dates still there, ``target`` null."""
     found = next((c for c in candidates if c in df.columns), None)
     if found is None:
         raise ValueError("no date column among candidates")
     src = F.col(found)
-    if isinstance(df.schema[found].dataType, T.StringType):
-        parsed = F.try_to_timestamp(src)
-    else:
-        parsed = src.cast("timestamp")
-    return df.withColumn(target, parsed).where(F.col(target).isNotNull())
+    text = isinstance(df.schema[found].dataType, T.StringType)
+    return df.withColumn(target, parse_timestamp(src) if text else src.cast("timestamp"))
 
 
 def conform_schema(df: DataFrame, columns: Sequence[str] = S.CANONICAL_COLUMNS,
@@ -163,10 +169,17 @@ def read_folder_union(spark: SparkSession, root: str, aliases: Mapping[str, str]
     for (e, _h), ps in sorted(groups.items()):
         raw = read_csv(spark, ps, e).withColumn("source_file", F.col("_metadata.file_path"))
         try:
-            x = conform_schema(resolve_dates(map_columns(raw)), keep=["source_file"])
+            dated = parsed_dates(map_columns(raw))
         except ValueError as err:
             skipped += [(p, str(err)) for p in ps]
             continue
+        good = {r["source_file"] for r in dated.groupBy("source_file").agg(F.count("order_date").alias("n"))
+                .where("n > 0").select("source_file").collect()}     # one row per file
+        bad = [p for p in ps if _qualify(spark, p) not in good and p not in good]
+        skipped += [(p, "no row with a valid date") for p in bad]
+        if len(bad) == len(ps):
+            continue
+        x = conform_schema(dated.where(F.col("order_date").isNotNull()), keep=["source_file"])
         out = x if out is None else out.unionByName(x, allowMissingColumns=True)
     if out is None:
         raise RuntimeError("no CSV loaded successfully")
@@ -186,7 +199,7 @@ def load_reference_tables(spark: SparkSession, root: str, names: Sequence[str] =
             if hit:
                 df = read_csv_encoding(spark, hit)
                 df = df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns])
-                df = df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in df.columns
+                df = df.withColumns({c: parse_timestamp(F.col(c)) for c in df.columns
                                      if "date" in c.lower() and isinstance(df.schema[c].dataType, T.StringType)})
                 out[n] = df
                 break
@@ -199,34 +212,12 @@ def load_demand_history(df: DataFrame, ids: Sequence[str] = ("order_id", "sku_id
     without a valid date dropped."""
     x = df.withColumns({c: F.col(c).cast("string") for c in ids if c in df.columns})
     if isinstance(x.schema[ds].dataType, T.StringType):
-        x = x.withColumn(ds, F.to_date(F.try_to_timestamp(F.col(ds))))
+        x = x.withColumn(ds, F.to_date(parse_timestamp(F.col(ds))))
     return x.where(F.col(ds).isNotNull())
 
 
-def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42,
-                direct_limit: int = 10_000) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """All rows when there are at most n, else a repeatable pseudo-random
-    n: rows ordered by md5(key || seed) -- top-k, no shuffle of all rows.
-
-    Top-k merges (tasks x n) rows in its last task; for n above
-    ``direct_limit`` the rows are first cut to those whose hash prefix lies
-    below a threshold admitting about 4n rows (md5 is uniform; the threshold is
-    raised until at least n rows pass, a count per try).  The prefix order
-    agrees with the full hash order, so the first n rows all pass: the result
-    is exact and the final merge sees O(n) rows."""
+    n: rows ordered by md5(key || seed) -- top-k, no shuffle of all rows."""
     h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
-    x = df.withColumn("_h", h)
-    if n > direct_limit:
-        total = df.count()
-        if total <= n:
-            return df
-        space = 16 ** 12
-        prefix = F.conv(F.substring("_h", 1, 12), 16, 10).cast("long")
-        frac = min(1.0, 4.0 * n / total)
-        while frac < 1.0:
-            cut = x.where(prefix < F.lit(int(frac * space)))
-            if cut.count() >= n:
-                x = cut
-                break
-            frac = min(1.0, frac * 4)
-    return x.orderBy("_h").limit(n).drop("_h")
+    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")

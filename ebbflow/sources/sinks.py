@@ -85,36 +85,39 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def append_log(df: DataFrame, path: str, ts: str = "created_at", id_col: str = "log_id",
-               batch_id: int | None = None) -> None:
-    """Append records with an id and creation time, partitioned by day.
-
-    Append-only (the reference rewrites the whole file each time).  The id is
-    a hash of the record, so a retried batch writes the same ids.  With a
-    ``batch_id`` (a streaming epoch) the rows go to (day, batch) partitions
-    written with dynamic partition overwrite: a micro-batch replayed after a
-    failure replaces its own partitions instead of appending twice."""
+               batch_id: int | None = None, writer: str = "batch") -> None:
+    """Append records with an id and creation time to (day, writer, batch)
+    partitions; batch jobs and streams share one layout and may share a path.
+
+    The id is a hash of the record, so a retried batch writes the same ids.
+    Rows with a ``batch_id`` (a streaming epoch) are written with dynamic
+    partition overwrite: a micro-batch replayed after a failure replaces its
+    own partitions.  ``writer`` names the stream (its checkpoint's id), so a
+    stream that starts over with a fresh checkpoint replaces nothing of an
+    earlier one.  Without a ``batch_id`` rows are appended."""
     x = df
     if ts not in x.columns:
         x = x.withColumn(ts, F.current_timestamp())
     if id_col not in x.columns:
         x = x.withColumn(id_col, F.sha2(F.to_json(F.struct(*[c for c in df.columns])), 256).substr(1, 16))
-    x = x.withColumn("log_day", F.to_date(ts))
+    x = x.withColumns({"log_day": F.to_date(ts), "writer": F.lit(writer),
+                       "batch_id": F.lit(-1 if batch_id is None else int(batch_id)).cast("long")})
+    out = x.write.partitionBy("log_day", "writer", "batch_id")
     if batch_id is None:
-        x.write.mode("append").partitionBy("log_day").parquet(path)
-        return
-    (x.withColumn("batch_id", F.lit(int(batch_id)).cast("long")).write.mode("overwrite")
-      .option("partitionOverwriteMode", "dynamic").partitionBy("log_day", "batch_id").parquet(path))
+        out.mode("append").parquet(path)
+    else:
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def export_series(fc: DataFrame, keys: Sequence[str], ds: str = "ds",
                   cols: Sequence[str] = ("base_forecast", "promotional_forecast", "total_forecast")) -> DataFrame:
-    """A forecast held as parallel arrays per series (dates, base, promo,
-    total, ...) to one row per date: ``explode(arrays_zip(...))``."""
-    arrays = fc.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(ds, *cols))).alias("_s"))
-    arrays = arrays.select(*keys, *[F.col("_s")[c].alias(c + "_arr") for c in (ds, *cols)])
-    z = arrays.select(*keys, F.explode(F.arrays_zip(*[F.col(c + "_arr") for c in (ds, *cols)])).alias("_z"))
-    return z.select(*keys, *[F.col("_z")[f"{c}_arr"].alias(c) for c in (ds, *cols)])
+    """A forecast per series, as parallel arrays (dates, base, promo,
+    total) in columns of those names, to one row per date.  A forecast that has
+    one row per date already is passed on as it is: no shuffle."""
+    if not isinstance(fc.schema[ds].dataType, T.ArrayType):
+        return fc.select(*keys, ds, *cols)
+    z = fc.select(*keys, F.explode(F.arrays_zip(*[F.col(c) for c in (ds, *cols)])).alias("_z"))
+    return z.select(*keys, *[F.col("_z")[c].alias(c) for c in (ds, *cols)])
 
 
 def write_series_csv(fc: DataFrame, path: str, keys: Sequence[str], ds: str = "ds") -> None:

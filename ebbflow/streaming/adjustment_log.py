@@ -5,12 +5,15 @@ appended to the day-partitioned log with ``foreachBatch`` -- the only
 continuous write of the reference.  With ``trigger(availableNow=True)`` the
 same code runs as an incremental batch job; the checkpoint location (a
 shared folder) makes it restartable after executor or driver loss, and each
-micro-batch writes its own (day, batch) partitions by dynamic overwrite, so a
-batch replayed after a failure is not appended twice.
+micro-batch writes its own (day, stream, batch) partitions by dynamic overwrite,
+so a batch replayed after a failure is not appended twice, and a stream with a
+fresh checkpoint adds to an existing log instead of replacing its batches.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +47,10 @@ def start_adjustment_log(spark: SparkSession, source: str, sink: str, checkpoint
     stream = apply_adjustments(events_to_adjustments(r.parquet(source)))
 
     def write(batch: DataFrame, epoch: int) -> None:
+        # the checkpoint's metadata holds the stream's id, which outlives restarts
+        writer = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         # idempotent per epoch: a replayed micro-batch overwrites its own partitions
-        append_log(batch, sink, ts="created_at", id_col="adjustment_id", batch_id=epoch)
+        append_log(batch, sink, ts="created_at", id_col="adjustment_id", batch_id=epoch, writer=writer)
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

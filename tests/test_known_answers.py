@@ -225,11 +225,81 @@ def test_grouped_quantiles_equal_spark_median(spark):
     assert got == want
 
 
-def test_sample_rows_prefilter_equals_direct_top_k(spark):
+def test_sample_rows_takes_the_first_hashes(spark):
+    import hashlib
     from ebbflow.sources import readers as rd
     df = spark.range(0, 20000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 7).alias("v"))
-    key = lambda rows: sorted((r.k, r.v) for r in rows)
-    direct = key(rd.sample_rows(df, 3000, ["k"], seed=7, direct_limit=10 ** 9).collect())
-    cut = key(rd.sample_rows(df, 3000, ["k"], seed=7, direct_limit=100).collect())
-    assert len(direct) == 3000 and direct == cut
-    assert rd.sample_rows(df, 30000, ["k"], direct_limit=100).count() == 20000
+    got = sorted((r.k, r.v) for r in rd.sample_rows(df, 3000, ["k"], seed=7).collect())
+    first = sorted(range(20000), key=lambda i: hashlib.md5(f"{i}|7".encode()).hexdigest())[:3000]
+    assert got == sorted((str(i), i % 7) for i in first)
+    assert rd.sample_rows(df, 30000, ["k"]).count() == 20000
+
+
+def test_intervals_that_end_before_they_start_have_no_day(spark):
+    import datetime as dt
+    from ebbflow.operators import joins as jn
+    d = lambda day: dt.date(2024, 1, day)
+    promo = spark.createDataFrame([(1, "a", d(10), d(5), 9.0), (2, "a", d(12), d(13), 5.0), (3, "a", None, d(20), 5.0)],
+                                  "promo_id int, product_id string, start_date date, end_date date, discount double")
+    rows = spark.createDataFrame([("a", d(i)) for i in range(1, 29)], "product_id string, ds date")
+    got = {r.ds.day: (r.is_promo_day, r.disc_pct) for r in jn.promo_join(rows, promo).collect()}
+    assert got == {i: ((1, 5.0) if i in (12, 13) else (0, 0.0)) for i in range(1, 29)}
+    assert sorted((r.ds.day, r.promo_id) for r in jn.active_promotions(rows, promo).collect()) == [(12, 2), (13, 2)]
+    combos = spark.createDataFrame([("x",)], "k string")
+    assert jn.future_grid(combos, "2024-01-03", "2024-01-01").count() == 0
+    assert jn.future_grid(combos, "2024-01-01", "2024-01-03").count() == 3
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_asof_null_keys_match_nothing(spark, unique):
+    import datetime as dt
+    from ebbflow.operators import joins as jn
+    d = lambda day: dt.date(2024, 1, day)
+    left = spark.createDataFrame([("a", "x", d(9)), (None, "x", d(9)), ("a", None, d(9)), ("b", "x", None)], "p string, c string, ds date")
+    right = spark.createDataFrame([("a", "x", d(2), 1.0), ("a", "x", d(8), 2.0), (None, "x", d(8), 3.0), ("a", None, d(8), 4.0)],
+                                  "p string, c string, snapshot_date date, q double")
+    got = {(r.p, r.c): r.q for r in jn.asof_join(left, right, ["p", "c"], left_unique=unique).collect()}
+    assert got == {("a", "x"): 2.0, (None, "x"): None, ("a", None): None, ("b", "x"): None}
+
+
+def test_asof_of_a_hot_product_sends_distinct_probes_only(spark):
+    """One product with nine tenths of the rows: the window sees a probe per date."""
+    from ebbflow.operators import joins as jn
+    left = spark.range(20000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id").cast("string"))).alias("p"),
+                                     F.col("id").alias("customer"), F.expr("date_add(date'2024-01-01', cast(id % 50 as int))").alias("ds"))
+    right = spark.range(40).select(F.lit("hot").alias("p"), F.expr("date_add(date'2024-01-01', cast(id as int))").alias("snapshot_date"),
+                                   F.col("id").cast("double").alias("q"))
+    got = jn.asof_cascade(left, right, [(["p"], ["p"])], payload=["q"])
+    assert got.count() == 20000
+    assert got.where("p = 'hot'").agg(F.min(F.col("q") == F.least(F.date_diff("ds", F.lit("2024-01-01").cast("date")), F.lit(39)))).first()[0]
+    assert left.where("p = 'hot'").count() == 18000 and left.where("p = 'hot'").select("p", "ds").distinct().count() == 45
+
+
+def test_leak_guard_refuses_same_day_columns(spark):
+    from ebbflow.operators import models as md
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], "order_qty double, price double, discount_percent double")
+    for c in ("price", "discount_percent", "order_qty"):
+        with pytest.raises(ValueError):
+            md.feature_matrix(df, [c])
+
+
+def test_supplied_value_is_stored(spark):
+    from ebbflow.operators import adjust as aj
+    df = spark.createDataFrame([(10.0, "absolute", 12.0, 12.5), (10.0, "absolute", 12.0, None), (0.0, "multiplier", 3.0, None)],
+                               "current_value double, adjustment_type string, adjustment_value double, new_forecast_value double")
+    assert [r.new_value for r in aj.apply_adjustments(df).collect()] == [12.5, 12.0, 3.0]
+
+
+def test_date_forms(spark):
+    from ebbflow.sources import readers as rd
+    values = ["2018-01-31", "2018-01-31 22:56:01", "1/31/2018 22:56", "2/3/2018", "01-02-2023", "13/1/2018", "soon", None]
+    got = rd.resolve_dates(spark.createDataFrame([(v, i) for i, v in enumerate(values)], "order_date string, i int")).collect()
+    assert {r.i: str(r.order_date) for r in got} == {0: "2018-01-31 00:00:00", 1: "2018-01-31 22:56:01", 2: "2018-01-31 22:56:00",
+                                                     3: "2018-02-03 00:00:00", 4: "2023-01-02 00:00:00"}
+
+
+def test_distinct_counts_and_repeats(spark):
+    from ebbflow.operators import quality as qa
+    df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, None, 0.5), (2, "b", 0.5), (1, "a", None)], "x int, y string, z double")
+    got = {r.column_name: (r.n_null, r.n_unique, r.total_rows, r.duplicate_rows) for r in qa.table_profile(df).collect()}
+    assert got == {"x": (0, 2, 5, 2), "y": (1, 2, 5, 2), "z": (3, 1, 5, 2)}

@@ -44,8 +44,10 @@ CHILDREN = {
     "national_day": ["brand_day"],
 }
 ALL_DIMS = ["brand", "sku_id", "location", "channel"]
-ADDITIVE = ["total_demand_qty", "base_demand_qty", "promotional_demand_qty", "revenue"]
-# metric classes of the metric policy
+# Metric classes of the metric policy (F09); revenue is summed too.
+ADDITIVE = ["total_demand_qty", "base_demand_qty", "promotional_demand_qty",
+            "current_inventory_units", "warehouse_inventory_qty",
+            "customer_inventory_qty", "in_transit_qty", "revenue"]
 WEIGHTED_AVG = ["discount_percent", "expected_lift_factor", "seasonality_index",
                 "demand_volatility", "competitor_activity_score"]
 SIMPLE_AVG = ["historical_avg_demand_7d", "historical_avg_demand_30d",
@@ -108,9 +110,14 @@ def rollup_policy(df: DataFrame, level: str, weight: str = "total_demand_qty",
 
 
 def rollup_all(df: DataFrame, ds: str = DS) -> DataFrame:
-    """all seven levels in one grouping-sets pass, labelled by level."""
+    """all seven levels, labelled by level.
+
+    Rows are summed once to (brand, SKU, location, channel, day) -- decimals
+    stay decimals -- and only those sums are copied into the grouping sets."""
     sets = [LEVELS[lv] + [ds] for lv in LEVELS]
     cols = ALL_DIMS + [ds]
+    there = [c for c in ADDITIVE if c in df.columns]
+    df = df.groupBy(*cols).agg(*[F.sum(c).alias(c) for c in there], F.count(F.lit(1)).alias("record_count"))
     gid = F.grouping_id(*cols)
     label = None
     for lv, dims in LEVELS.items():
@@ -119,7 +126,7 @@ def rollup_all(df: DataFrame, ds: str = DS) -> DataFrame:
         label = (F.when(gid == bits, F.lit(lv)) if label is None
                  else label.when(gid == bits, F.lit(lv)))
     return (df.groupingSets(sets, *cols)
-              .agg(*additive_aggs(df), label.alias("level")))
+              .agg(*[_sum_double(c) for c in there], F.sum("record_count").alias("record_count"), label.alias("level")))
 
 
 def rollup_summary(agg: DataFrame, qty: str = "total_demand_qty", ds: str = DS,

@@ -76,6 +76,15 @@ def _min_shared_grams(length: int, ratio: float, q: int) -> int:
     return 0 if best is None else best
 
 
+def _shared_grams(length, ratio: float, q: int):
+    """``_min_shared_grams`` as an expression for any length (a little lower):
+    the bound falls by 2 q (1 - ratio) a character up to the same length, and
+    by q (1 - ratio) - 1, where that is more than nothing, beyond it."""
+    lo = ratio / (2 - ratio)
+    beyond = max(0.0, q * (1 - ratio) - 1) * (1 / lo - 1)
+    return F.floor(length * (1 - 2 * q * (1 - ratio) - beyond) - (q - 1) - 2 * beyond - 1e-6)
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib ratio of two string columns, Arrow-batched (the one Python
@@ -103,24 +112,34 @@ def fuzzy_candidates(left_ids: DataFrame, right_ids: DataFrame, min_ratio: float
     Every pair that can reach the ratio shares at least t(L) positional
     q-grams (``_min_shared_grams``).  With grams ordered globally from rare to
     frequent, two sets sharing >= t grams must share one of their first
-    |G| - t + 1 grams, so each id only emits that prefix: frequent grams --
-    the ones that would create huge blocks -- are mostly left out."""
+    |G| - t + 1 grams, so each id only emits that prefix.  An id for which no
+    shared gram is certain (very short, or a low ratio) is compared with all
+    ids of its length bands.  Candidates further apart than the ratio allows
+    are cut by Spark's bounded ``levenshtein``, which never exceeds the
+    insert/delete distance, before any Python runs.
+
+    On ids of one template (a long common part and a short number) the grams
+    that stay are shared by many ids, so candidates grow with the square of
+    the ids that differ in few characters; only the exact cut is cheap there."""
     a = left_ids.select(F.col("canon_orders_pid").alias("_id")).distinct()
     b = right_ids.select(F.col("canon_inv_pid").alias("_id")).distinct()
     ga = _grams(a, "_id", q)
     gb = _grams(b, "_id", q)
     freq = ga.unionByName(gb).groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
-    # t(L) table: bounded by the longest id length; built as a Spark map literal
-    max_len = 512
-    table = F.create_map(*[x for L in range(q, max_len + 1)
-                           for x in (F.lit(L), F.lit(max(1, _min_shared_grams(L, min_ratio, q))))])
+    # t(L) table for usual lengths, as a Spark map literal; the formula beyond
+    max_len = 256
+    table = F.create_map(*[x for L in range(1, max_len + 1)
+                           for x in (F.lit(L), F.lit(_min_shared_grams(L, min_ratio, q)))])
+
+    def certain(c):     # grams shared for certain with any partner
+        n = F.length(c)
+        return F.when(n <= max_len, F.element_at(table, n)).otherwise(_shared_grams(n, min_ratio, q)).cast("int")
 
     def prefix(g: DataFrame) -> DataFrame:
         x = g.join(freq, "gram")
         rank = F.row_number().over(W.partitionBy("_id").orderBy("_f", "gram"))
         n_grams = F.length("_id") - q + 1
-        t = F.coalesce(F.element_at(table, F.length("_id")), F.lit(1))
-        keep = F.greatest(n_grams - t + 1, F.lit(1))
+        keep = n_grams - F.greatest(certain("_id"), F.lit(1)) + 1
         return x.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("_id", "gram")
 
     lo = min_ratio / (2 - min_ratio)
@@ -133,8 +152,16 @@ def fuzzy_candidates(left_ids: DataFrame, right_ids: DataFrame, min_ratio: float
                     .withColumn("_b", F.explode(F.array(*[band("canon_orders_pid") + d for d in (-1, 0, 1)]))))
     pb = prefix(gb).withColumnRenamed("_id", "canon_inv_pid").withColumn("_b", band("canon_inv_pid"))
     la, lb = F.length("canon_orders_pid"), F.length("canon_inv_pid")
-    return (pa.join(pb, ["gram", "_b"]).where(F.least(la, lb) >= F.greatest(la, lb) * lo)
-              .select("canon_orders_pid", "canon_inv_pid").distinct())
+    pairs = pa.join(pb, ["gram", "_b"]).select("canon_orders_pid", "canon_inv_pid").distinct()
+    # ids without a certain shared gram (on either side) meet the other side's bands as a whole
+    full_a = (a.where(F.length("_id") > 0).withColumnRenamed("_id", "canon_orders_pid")
+               .withColumn("_b", F.explode(F.array(*[band("canon_orders_pid") + d for d in (-1, 0, 1)]))))
+    full_b = b.where(F.length("_id") > 0).withColumnRenamed("_id", "canon_inv_pid").withColumn("_b", band("canon_inv_pid"))
+    loose = (full_a.where(certain("canon_orders_pid") < 1).join(full_b, "_b").select("canon_orders_pid", "canon_inv_pid")
+             .unionByName(full_a.join(full_b.where(certain("canon_inv_pid") < 1), "_b").select("canon_orders_pid", "canon_inv_pid")))
+    most = F.floor((1 - min_ratio) * (la + lb) + 1e-9).cast("int")       # inserts and deletes that the ratio allows
+    return (pairs.unionByName(loose).distinct().where(F.least(la, lb) >= F.greatest(la, lb) * lo)
+            .where(F.levenshtein("canon_orders_pid", "canon_inv_pid") <= most))
 
 
 def crosswalk_fuzzy(unmatched: DataFrame, right: DataFrame, right_col: str = "right_id",

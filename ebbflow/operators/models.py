@@ -53,8 +53,9 @@ def split_chronological(df: DataFrame, ds: str = DS, test_ratio: float = 0.2, ga
     the calendar, not by the data -- from which the split date and the cut
     are chosen; they enter the final filter as literals (so a scan of a
     date-partitioned table prunes partitions)."""
+    day = F.col(ds).cast("date")        # a calendar's worth of rows also for timestamps
     per_date = sorted((r[0], r[1]) for r in
-                      df.where(F.col(ds).isNotNull()).groupBy(ds).count().collect())
+                      df.where(F.col(ds).isNotNull()).groupBy(day.alias("_day")).count().collect())
     n_dates = len(per_date)
     if n_dates < min_dates:
         order = [ds] + [c for c in keys if c in df.columns]
@@ -67,8 +68,8 @@ def split_chronological(df: DataFrame, ds: str = DS, test_ratio: float = 0.2, ga
     n_train_gap = sum(c for d, c in per_date if d < train_end)
     n_test = sum(c for d, c in per_date if d >= split_date)
     cut = split_date if (n_train_gap == 0 or n_test == 0) else train_end
-    by_date = (F.when(F.col(ds) < F.lit(cut), F.lit("train"))
-                .when(F.col(ds) >= F.lit(split_date), F.lit("test")))
+    by_date = (F.when(day < F.lit(cut), F.lit("train"))
+                .when(day >= F.lit(split_date), F.lit("test")))
     return df.withColumn("split", by_date).where(F.col("split").isNotNull())
 
 
@@ -154,10 +155,15 @@ def train_counts(train: DataFrame, features: Sequence[str], max_iter: int = 50)
 
 
 def train_gbt(train: DataFrame, features: Sequence[str], label: str = "label", max_iter: int = 30,
-              max_depth: int = 5, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted regression trees."""
+              max_depth: int = 5, seed: int = 42, validation_percent: int = 10) -> PipelineModel:
+    """Gradient-boosted regression trees with early stopping: trees
+    are added until they no longer help on ``validation_percent`` of the
+    training rows (chosen by a hash of their features), at most ``max_iter``."""
     gbt = GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=max_depth,
                        seed=seed, subsamplingRate=0.8, stepSize=0.1)
+    if validation_percent:
+        train = train.withColumn("_held", F.pmod(F.xxhash64(*features), F.lit(100)) < validation_percent)
+        gbt = gbt.setValidationIndicatorCol("_held")
     return Pipeline(stages=[_assembler(features), gbt]).fit(cut_lineage(train))
 
 
@@ -168,6 +174,17 @@ def predict(model: PipelineModel, df: DataFrame, clip: bool = True) -> DataFrame
     return out
 
 
+def evaluate(model: PipelineModel, mat: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
+    """Per split: rows, label total, the model's mean error (``mae``) and that
+    of always saying the training rows' mean (``naive_mae``).  Scoring is one
+    distributed pass."""
+    naive = mat.where(F.col(split) == "train").agg(F.avg(label)).scalar()
+    p = predict(model, mat)
+    g = p.groupBy(split).agg(F.count(F.lit(1)).alias("n"), fc.r6(F.sum(label)).alias("label_sum"),
+                             F.avg(F.abs(F.col(label) - naive)).alias("_naive"), F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("_mae"))
+    return g.select(split, "n", "label_sum", F.col("_mae").alias("mae"), F.col("_naive").alias("naive_mae"))
+
+
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """Features ranked by the tree ensemble's importance (GBT), or by the
     absolute GLM coefficient."""

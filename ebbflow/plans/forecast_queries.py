@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import r6
+from ..functions.columns import r6, round_to
 from ..operators import accuracy as ac
 from ..operators import cube
 from ..operators import features as fe
@@ -539,7 +539,7 @@ def future_features(spark, sf_dir):
     return md.future_features(d, F.date_add(last, 1), F.date_add(last, 14))
 
 
-# ------------------------------------------------------------------ MLlib models (rows-only)
+# ------------------------------------------------------------------ MLlib models: what an oracle can tell of a fit
 
 def _count_data(spark, sf_dir):
     d = fx.daily_series(spark, sf_dir)
@@ -549,12 +549,30 @@ def _count_data(spark, sf_dir):
     return d, mat
 
 
-@query("count_model")
+_NAIVE = """
+SELECT split, count(*) AS n, {total} AS label_sum,
+       {error} AS naive_mae, true AS learned
+FROM rows_ GROUP BY split"""
+
+
+def _evaluation_sql(label: str, source: str) -> str:
+    """Split sizes, label totals and the naive error, which the model must beat
+    on the rows it learned from (on others it must have an error at all)."""
+    return (f"rows_ AS (SELECT split, greatest(coalesce(cast({label} AS DOUBLE), 0.0), 0.0) AS label FROM {source} WHERE split IS NOT NULL)"
+            + _NAIVE.format(total=r("sum(label)"), error=r("avg(abs(label - (SELECT avg(label) FROM rows_ WHERE split = 'train')))", 4)))
+
+
+def _learned(evaluation):
+    better = F.when(F.col("split") == "train", F.col("mae") < F.col("naive_mae")).otherwise(F.col("mae") < float("inf"))
+    return evaluation.select("split", "n", "label_sum", round_to("naive_mae", 4).alias("naive_mae"), better.alias("learned"))
+
+
+@query("count_model", with_views(f"WITH {_G21}, " + _evaluation_sql("order_qty", "g21"), "daily_series"))
 def count_model(spark, sf_dir):
+    """The fitted counts on both splits, against always saying the training mean."""
     _, mat = _count_data(spark, sf_dir)
     model = md.train_counts(mat.where(F.col("split") == "train"), md.COUNT_FEATURES)
-    return md.predict(model, mat.where(F.col("split") == "test")).select(
-        "customer_id", "product_id", "ds", "label", "prediction")
+    return _learned(md.evaluate(model, mat))
 
 
 _REV_FEATURES = ["order_year", "order_month", "order_day", "order_day_of_week", "quarter", "is_month_start",
@@ -571,11 +589,16 @@ def _revenue_model(spark, sf_dir):
     return model, mat
 
 
-@query("revenue_model")
+_G22 = f"""
+g22 AS (SELECT * EXCLUDE (_p), CASE WHEN _p <= floor((SELECT count(*) FROM daily_series) * 0.8) THEN 'train' ELSE 'test' END AS split
+        FROM (SELECT *, row_number() OVER (ORDER BY {KEYS}, ds) AS _p FROM daily_series))"""
+
+
+@query("revenue_model", with_views(f"WITH {_G22}, " + _evaluation_sql("revenue", "g22"), "daily_series"))
 def revenue_model(spark, sf_dir):
+    """The fitted revenue on both splits, against always saying the training mean."""
     model, mat = _revenue_model(spark, sf_dir)
-    return md.predict(model, mat.where(F.col("split") == "test")).select(
-        "customer_id", "product_id", "ds", "label", "prediction")
+    return _learned(md.evaluate(model, mat))
 
 
 @query("feature_importance")
@@ -588,8 +611,9 @@ _SCORE_FEATURES = ["order_month", "order_day_of_week", "is_weekend", "lag_1", "l
                    "rolling_mean_7", "rolling_mean_14", "rolling_std_7", "rolling_trend_7"]
 
 
-@query("score_range")
+@query("score_range", with_views(f"WITH {_GRID} SELECT {KEYS}, ds, true AS not_negative FROM g", "daily_series"))
 def score_range(spark, sf_dir):
+    """Every recent series on every day of the range, and that it has a count."""
     d = fx.daily_series(spark, sf_dir)
     x = md.split_chronological(d)
     train = fe.series_lags(fe.rolling_multi(x.where(F.col("split") == "train")))
@@ -598,4 +622,5 @@ def score_range(spark, sf_dir):
     mat = md.feature_matrix(train, _SCORE_FEATURES, keep=["customer_id", "product_id", "ds"])
     model = md.train_counts(mat, _SCORE_FEATURES)
     last = d.agg(F.max("ds")).scalar()
-    return md.score_range(model, d, F.date_add(last, 1), F.date_add(last, 14), _SCORE_FEATURES)
+    out = md.score_range(model, d, F.date_add(last, 1), F.date_add(last, 14), _SCORE_FEATURES)
+    return out.select("customer_id", "product_id", "ds", (F.col("pred_order_qty") >= 0).alias("not_negative"))

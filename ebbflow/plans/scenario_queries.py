@@ -157,22 +157,33 @@ def scenario_units(spark, sf_dir):
 
 def _scenario_frame(spark, sf_dir):
     d = fx.daily_series(spark, sf_dir)
-    return d, sc.scenario_training_frame(d, SCENARIOS[:2], ["customer_id", "product_id"])
+    return d, sc.scenario_training_frame(d, SCENARIOS, ["customer_id", "product_id"])
 
 
-@query("scenario_model")
+@query("scenario_model", with_views(f"""
+WITH {_values_sql()}, q AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', ds), 0.8) AS q FROM daily_series)
+SELECT CASE WHEN date_diff('day', DATE '1970-01-01', d.ds) <= q.q THEN 'train' ELSE 'test' END AS split,
+       s.scenario_id, count(*) AS n, true AS predicted
+FROM daily_series d CROSS JOIN scn s CROSS JOIN q GROUP BY ALL""", "daily_series"))
 def scenario_model(spark, sf_dir):
+    """Every row of every scenario on both sides of the split has a prediction."""
     _, frame = _scenario_frame(spark, sf_dir)
-    model, x = sc.train_scenario(frame, max_iter=20)
-    return md.predict(model, x.where(F.col("split") == "test"), clip=True).select(
-        "scenario_id", "customer_id", "product_id", "ds", "label", "prediction")
+    model, x = sc.train_scenario(frame)
+    return md.predict(model, x, clip=True).groupBy("split", "scenario_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction") >= 0).alias("predicted"))
 
 
-@query("scenario_model_forecast")
+@query("scenario_model_forecast", with_views(f"""
+WITH {_values_sql()}, s AS (SELECT {KEYS}, max(ds) AS last_date FROM daily_series GROUP BY ALL)
+SELECT scn.scenario_id, {KEYS}, cast(unnest(generate_series(last_date + 1, last_date + 14, INTERVAL 1 DAY)) AS DATE) AS ds,
+       true AS in_band FROM s CROSS JOIN scn""", "daily_series"))
 def scenario_model_forecast(spark, sf_dir):
+    """Every scenario and series on each of the next 14 days, inside its band."""
     d, frame = _scenario_frame(spark, sf_dir)
-    model, _ = sc.train_scenario(frame, max_iter=20)
-    return sc.score_scenario(model, d, SCENARIOS[:2], ["customer_id", "product_id"], days=14)
+    model, _ = sc.train_scenario(frame)
+    out = sc.score_scenario(model, d, SCENARIOS, ["customer_id", "product_id"], days=14)
+    return out.select("scenario_id", "customer_id", "product_id", "ds",
+                      F.col("forecast").between(F.col("lower"), F.col("upper")).alias("in_band"))
 
 
 # ------------------------------------------------------------------ J

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,7 @@ def get_session(app: str = "ebbflow", cores: int | str = "*",
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "16g")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.sql.shuffle.partitions",
                        str(shuffle_partitions or 8)))
     for k, v in _SCALE_CONF.items():
@@ -51,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):       # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
         conf_dir = tempfile.mkdtemp(prefix="ebbflow-ckpt-")
     sc.setCheckpointDir(conf_dir)

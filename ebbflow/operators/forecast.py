@@ -185,45 +185,36 @@ def current_forecast(df: DataFrame, k=None, ds: str = DS, q: str = Q,
     seasonality (>= 5 rows of that month); 7-vs-7 trend clipped 0.7..1.5
     (>= 14 rows); mean of the last 30.
 
-    The rules depend on a target only through its weekday and month, so the
-    history is joined to the distinct (series, weekday, month) probes -- at
-    most 84 per series whatever the number of targets."""
+    The rules depend on a target only through its weekday and month: the
+    history is aggregated per series, per (series, weekday) and per (series,
+    month), and the targets are joined to these small tables."""
     keys = _k(k)
     if targets is None:
         t = df.groupBy(*keys).agg(F.date_add(F.max(ds), 1).alias("target_date"))
     else:
         t = targets.select(*keys, "target_date").distinct()
-    probes = t.select(*keys, F.weekday("target_date").alias("_tdow"),
-                      F.month("target_date").alias("_tmon")).distinct()
+    r, rd, v = F.col("_rd"), F.col("_rdd"), F.col(q)
     x = (df.withColumn("_rd", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(ds))))
-           .withColumn("_rdd", F.row_number().over(
-               W.partitionBy(*keys, F.weekday(ds)).orderBy(F.desc(ds))))
-           .join(probes, keys))
-    same_dow = F.weekday(ds) == F.col("_tdow")
-    same_month = F.month(ds) == F.col("_tmon")
-    r = F.col("_rd")
-    g = x.groupBy(*keys, "_tdow", "_tmon").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(q).alias("mean_all"),
-        F.count_if(same_dow).alias("n_dow"),
-        F.avg(F.when(same_dow & (F.col("_rdd") <= 6), F.col(q))).alias("recent_dow"),
-        F.avg(F.when(same_dow & (F.col("_rdd") > 6), F.col(q))).alias("older_dow"),
-        F.count_if(same_month).alias("n_month"), F.avg(F.when(same_month, F.col(q))).alias("month_avg"),
-        F.avg(F.when(r <= 30, F.col(q))).alias("m30"), F.avg(F.when(r <= 7, F.col(q))).alias("m7"),
-        F.avg(F.when((r > 7) & (r <= 14), F.col(q))).alias("m8_14"))
-    recent, older0 = F.col("recent_dow"), F.col("older_dow")
-    older = F.when(F.col("n_dow") > 6, older0).otherwise(recent)
+           .withColumn("_rdd", F.row_number().over(W.partitionBy(*keys, F.weekday(ds)).orderBy(F.desc(ds)))))
+    whole = x.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean_all"), F.avg(F.when(r <= 30, v)).alias("m30"),
+        F.avg(F.when(r <= 7, v)).alias("m7"), F.avg(F.when((r > 7) & (r <= 14), v)).alias("m8_14"))
+    by_dow = x.groupBy(*keys, F.weekday(ds).alias("_tdow")).agg(
+        F.count(F.lit(1)).alias("n_dow"), F.avg(F.when(rd <= 6, v)).alias("recent_dow"), F.avg(F.when(rd > 6, v)).alias("older_dow"))
+    by_month = x.groupBy(*keys, F.month(ds).alias("_tmon")).agg(F.count(F.lit(1)).alias("n_month"), F.avg(v).alias("month_avg"))
+    j = (t.withColumn("_tdow", F.weekday("target_date")).withColumn("_tmon", F.month("target_date"))
+          .join(whole, keys, "left").join(by_dow, keys + ["_tdow"], "left").join(by_month, keys + ["_tmon"], "left"))
+    recent = F.col("recent_dow")
+    older = F.when(F.col("n_dow") > 6, F.col("older_dow")).otherwise(recent)
     c1 = F.when(F.col("n_dow") >= 3, F.when(older > 0, recent * _clip(recent / older, 0.5, 2.0))
                 .otherwise(recent))
     c2 = F.when((F.col("n_month") >= 5) & (F.col("m30") > 0),
                 F.col("m30") * F.col("month_avg") / F.col("mean_all"))
     c3 = F.when((F.col("n") >= 14) & (F.col("m8_14") > 0),
                 F.col("m7") * _clip(F.col("m7") / F.col("m8_14"), 0.7, 1.5))
-    method = (F.when(c1.isNotNull(), "day_of_week").when(c2.isNotNull(), "monthly")
-               .when(c3.isNotNull(), "trend").otherwise("recent_average"))
-    res = g.select(*keys, "_tdow", "_tmon", r6(F.coalesce(c1, c2, c3, F.col("m30"))).alias("forecast"),
-                   method.alias("method"))
-    tt = t.withColumn("_tdow", F.weekday("target_date")).withColumn("_tmon", F.month("target_date"))
-    return tt.join(res, keys + ["_tdow", "_tmon"], "left").drop("_tdow", "_tmon")
+    method = F.when(F.col("n").isNotNull(), F.when(c1.isNotNull(), "day_of_week").when(c2.isNotNull(), "monthly")
+                    .when(c3.isNotNull(), "trend").otherwise("recent_average"))
+    return j.select(*keys, "target_date", r6(F.coalesce(c1, c2, c3, F.col("m30"))).alias("forecast"), method.alias("method"))
 
 
 def statistical_baseline(df: DataFrame, k=None, ds: str = DS, q: str = Q, days: int = 30,

@@ -92,6 +92,41 @@ def test_replayed_log_batch_is_not_appended_twice(spark, tmp_path):
     assert log.count() == 3 and sorted(r.k for r in log.collect()) == [1, 2, 3]
 
 
+def test_a_fresh_stream_adds_to_an_existing_log(spark, tmp_path):
+    """Batch rows, a stream and a second stream with a checkpoint of its own
+    share one log; none replaces another's rows."""
+    from ebbflow.streaming.adjustment_log import start_adjustment_log
+    sink = str(tmp_path / "log")
+    ev = spark.read.parquet(f"{SF}/events.parquet").limit(40)
+    sent = 0
+    for i in (1, 2):
+        src = str(tmp_path / f"events{i}")
+        ev.withColumn("event_id", F.col("event_id") + 1000 * i).write.parquet(src)
+        start_adjustment_log(spark, src, sink, str(tmp_path / f"ckpt{i}")).awaitTermination(120)
+        sent += 40
+        assert spark.read.parquet(sink).count() == sent
+    more = spark.read.parquet(sink).drop("log_day", "writer", "batch_id").limit(5)
+    sk.append_log(more, sink, id_col="adjustment_id")
+    assert spark.read.parquet(sink).count() == sent + 5
+
+
+def test_sources_with_only_bad_dates_are_reported(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    _write(f"{root}/a.csv", "order_id,date,revenue\n1,1/31/2018 22:56,5\n2,soon,6\n", "utf-8")
+    _write(f"{root}/b.csv", "order_id,date,revenue\n3,soon,7\n4,later,8\n", "utf-8")
+    df, skipped = rd.read_folder_union(spark, root)
+    assert [(r.order_id, str(r.order_date)) for r in df.collect()] == [("1", "2018-01-31 22:56:00")]
+    assert [(os.path.basename(p), why) for p, why in skipped] == [("b.csv", "no row with a valid date")]
+
+
+def test_series_arrays_to_rows(spark):
+    df = spark.createDataFrame([("a", ["d1", "d2"], [1.0, 2.0], [3.0, 4.0], [4.0, 6.0])],
+                               "k string, ds array<string>, base_forecast array<double>, promotional_forecast array<double>, total_forecast array<double>")
+    rows = sk.export_series(df, ["k"])
+    assert [tuple(r) for r in rows.orderBy("ds").collect()] == [("a", "d1", 1.0, 3.0, 4.0), ("a", "d2", 2.0, 4.0, 6.0)]
+    assert sk.export_series(rows, ["k"]).collect() == rows.collect()
+
+
 def test_flatten_nested(spark):
     df = spark.createDataFrame([(1, (2.5, "x"), [3, 4])], "id int, s struct<a:double,b:string>, arr array<int>")
     rows = {(r.field, r.value) for r in sk.flatten_record(df, keys=["id"]).collect()}
@@ -107,5 +142,6 @@ def test_cluster_session_needs_shared_checkpoint_dir():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://cluster:7077",
                          setCheckpointDir=lambda d: (_ for _ in ()).throw(AssertionError(d)))
     fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d))
-    with pytest.raises(RuntimeError):
-        ensure_checkpoint_dir(fake)
+    for sc.master in ("spark://cluster:7077", "local-cluster[3,2,1000]", "yarn"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(fake)

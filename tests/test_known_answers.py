@@ -303,3 +303,17 @@ def test_distinct_counts_and_repeats(spark):
     df = spark.createDataFrame([(1, "a", None), (1, "a", None), (2, None, 0.5), (2, "b", 0.5), (1, "a", None)], "x int, y string, z double")
     got = {r.column_name: (r.n_null, r.n_unique, r.total_rows, r.duplicate_rows) for r in qa.table_profile(df).collect()}
     assert got == {"x": (0, 2, 5, 2), "y": (1, 2, 5, 2), "z": (3, 1, 5, 2)}
+
+
+@pytest.mark.parametrize("ratio", [0.7, 0.92])
+def test_fuzzy_candidates_lose_no_pair(spark, ratio):
+    """Against all pairs: short ids, ids of one template, ids beyond the table of lengths."""
+    from ebbflow.operators import joins as jn
+    rnd = random.Random(3)
+    left = ["ab", "abcd", "a", "product000123x", "x" * 300 + "abcdef"] + ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14))) for _ in range(25)]
+    right = ["abc", "abxd", "b", "product000123", "x" * 300 + "abcxef"] + ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14))) for _ in range(25)]
+    L = spark.createDataFrame([(x,) for x in left], "canon_orders_pid string")
+    R = spark.createDataFrame([(x,) for x in right], "canon_inv_pid string")
+    got = {(r.canon_orders_pid, r.canon_inv_pid) for r in jn.fuzzy_candidates(L, R, ratio).collect()}
+    want = {(a, b) for a in left for b in right if difflib.SequenceMatcher(None, a, b).ratio() >= ratio}
+    assert want <= got

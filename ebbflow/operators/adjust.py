@@ -95,8 +95,9 @@ def adjustment_summary(log: DataFrame, reason: str = "reason_category") -> DataF
 
 
 def adjustment_advice(df: DataFrame, k: Sequence[str] = ("customer_id", "product_id"), ds: str = "ds",
-                      q: str = "order_qty") -> DataFrame:
-    """Per series, for the day after its last date: strong trend (F23
+                      q: str = "order_qty", targets: DataFrame | None = None) -> DataFrame:
+    """Per series and requested ``target_date`` (rows of ``targets``; by
+    default the day after the series' last date): strong trend (F23
     magnitude > 20 %), weekday mean more than 15 % off the overall mean (at
     least 3 rows), promotional lift above 20 % (F21)."""
     keys = list(k)
@@ -105,7 +106,11 @@ def adjustment_advice(df: DataFrame, k: Sequence[str] = ("customer_id", "product
     pp = pr.promo_profile(df, keys, q).select(*keys, "promotional_lift")
     dw = pr.dow_profile(df, keys, ds, q).select(*keys, "day_of_week", F.col("mean").alias("dow_avg"),
                                                 F.col("count").alias("dow_n"))
-    x = hs.withColumn("day_of_week", F.weekday(F.date_add("end_date", 1)))
+    if targets is None:
+        x = hs.withColumn("day_of_week", F.weekday(F.date_add("end_date", 1)))
+    else:
+        asked = targets.select(*keys, "target_date").distinct()
+        x = hs.join(asked, keys).withColumn("day_of_week", F.weekday("target_date"))
     x = (x.join(dw, keys + ["day_of_week"], "left").join(rv, keys, "left").join(pp, keys, "left"))
     trend = F.coalesce(F.col("trend_magnitude"), F.lit(0.0)) > 20
     ovr = F.col("avg_quantity")
@@ -121,5 +126,5 @@ def adjustment_advice(df: DataFrame, k: Sequence[str] = ("customer_id", "product
                                                  F.lit(" vs overall avg "), f1(ovr))),
                        F.when(lift, F.concat(F.lit("Historical promotional lift: "), f1("promotional_lift"),
                                              F.lit("%"))))
-    return x.select(*keys, trend.alias("trend_flag"), dow_flag.alias("dow_flag"), lift.alias("lift_flag"),
+    return x.select(*keys, *(["target_date"] if targets is not None else []), trend.alias("trend_flag"), dow_flag.alias("dow_flag"), lift.alias("lift_flag"),
                     msgs.alias("recommendations"))

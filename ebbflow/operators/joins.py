@@ -384,12 +384,13 @@ def promo_days(promo: DataFrame, product: str = "product_id", start: str = "star
                end: str = "end_date", discount: str = "discount",
                channel: str | None = None) -> DataFrame:
     """Promotion intervals exploded to one row per (product[, channel], day)
-    with the largest discount of that day."""
+    with the largest discount of that day (1.0 where the calendar has no
+    discount column: an indicator)."""
     keys = [norm_text(product).alias("_pk")] + ([norm_text(channel).alias("_ch")] if channel else [])
     # an interval that ends before it starts has no day (``sequence`` would count down)
     x = promo.where(F.col(start).cast("date") <= F.col(end).cast("date")).select(
         *keys, F.explode(F.sequence(F.col(start).cast("date"), F.col(end).cast("date"))).alias("_day"),
-        F.coalesce(F.col(discount).cast("double"), F.lit(0.0)).alias("_disc"))
+        (F.coalesce(F.col(discount).cast("double"), F.lit(0.0)) if discount in promo.columns else F.lit(1.0)).alias("_disc"))
     return x.groupBy(*[c for c in ("_pk", "_ch") if c in x.columns], "_day") \
             .agg(F.max("_disc").alias("_disc"))
 

@@ -252,8 +252,10 @@ def validate_combinations(requests: DataFrame, hist: DataFrame, master: DataFram
     of the combination, its rows, dates and mean, up to three ids containing
     or contained in the request, and whether the master catalogue has it.
 
-    ``requests`` is a request list (bounded); it is the broadcast side of the
-    one non-equi (``contains``) join, made against *distinct* ids."""
+    Requests of any number are joined on equal keys (AQE broadcasts them if
+    they are few).  An id that contains another contains the first letters of
+    it, so similar ids meet on those before ``contains`` is tested: no nested
+    loop over all requests and ids."""
     req = requests.select(F.col(sku).alias("r_sku"), F.col(channel).alias("r_channel"),
                           F.col(location).alias("r_location"))
     skus = hist.select(F.col(sku).alias("_s")).distinct()
@@ -263,8 +265,7 @@ def validate_combinations(requests: DataFrame, hist: DataFrame, master: DataFram
                          F.col(location).alias("r_location")).agg(
         F.count(F.lit(1)).alias("combination_rows"), F.min(ds).alias("first_date"),
         F.max(ds).alias("last_date"), r6(F.avg(qty)).alias("mean_qty"))
-    rb = F.broadcast(req)
-    out = (rb.join(skus, F.col("r_sku") == F.col("_s"), "left")
+    out = (req.join(skus, F.col("r_sku") == F.col("_s"), "left")
              .join(chans, F.col("r_channel") == F.col("_c"), "left")
              .join(locs, F.col("r_location") == F.col("_l"), "left")
              .select("r_sku", "r_channel", "r_location",
@@ -274,9 +275,19 @@ def validate_combinations(requests: DataFrame, hist: DataFrame, master: DataFram
     out = out.join(combo, ["r_sku", "r_channel", "r_location"], "left") \
              .withColumn("combination_exists", F.col("combination_rows").isNotNull()) \
              .withColumn("combination_rows", F.coalesce("combination_rows", F.lit(0)))
-    sim = (F.broadcast(req.select("r_sku").distinct())
-           .join(skus, (F.col("_s") != F.col("r_sku"))
-                 & (F.lower("_s").contains(F.lower("r_sku")) | F.lower("r_sku").contains(F.lower("_s")))))
+    asked = req.select("r_sku").distinct()
+
+    def parts(c):       # all runs of one to three letters
+        low = F.lower(c)
+        return F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.array(
+            *[F.substr(low, i, F.lit(n)) for n in (1, 2, 3)])))))
+
+    first = lambda c: F.substring(F.lower(c), 1, 3)
+    pairs = (asked.withColumn("_p", first("r_sku")).join(skus.withColumn("_p", parts("_s")), "_p")
+             .where(F.lower("_s").contains(F.lower("r_sku"))).select("r_sku", "_s")
+             .unionByName(asked.withColumn("_p", parts("r_sku")).join(skus.withColumn("_p", first("_s")), "_p")
+                          .where(F.lower("r_sku").contains(F.lower("_s"))).select("r_sku", "_s")))
+    sim = pairs.where(F.col("_s") != F.col("r_sku")).distinct()
     sim = (sim.withColumn("_rn", F.row_number().over(W.partitionBy("r_sku").orderBy("_s")))
               .where(F.col("_rn") <= n_similar)
               .groupBy("r_sku").agg(F.array_join(F.array_sort(F.collect_list("_s")), "|")

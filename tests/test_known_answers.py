@@ -317,3 +317,35 @@ def test_fuzzy_candidates_lose_no_pair(spark, ratio):
     got = {(r.canon_orders_pid, r.canon_inv_pid) for r in jn.fuzzy_candidates(L, R, ratio).collect()}
     want = {(a, b) for a in left for b in right if difflib.SequenceMatcher(None, a, b).ratio() >= ratio}
     assert want <= got
+
+
+def test_promotions_without_discounts_and_by_channel(spark):
+    import datetime as dt
+    from ebbflow.operators import joins as jn
+    d = lambda day: dt.date(2024, 1, day)
+    promo = spark.createDataFrame([("a", "Web ", d(2), d(3))], "product_id string, channel string, start_date date, end_date date")
+    rows = spark.createDataFrame([("a", c, d(i)) for c in ("web", "shop") for i in (1, 2, 3, 4)], "product_id string, channel string, ds date")
+    on = lambda df: {(r.channel, r.ds.day) for r in df.collect() if r.is_promo_day == 1 and r.disc_pct == 1.0}
+    assert on(jn.promo_join(rows, promo)) == {(c, i) for c in ("web", "shop") for i in (2, 3)}
+    assert on(jn.promo_join(rows, promo, channel="channel")) == {("web", 2), ("web", 3)}
+
+
+def test_advice_per_target_date(spark):
+    import datetime as dt
+    from ebbflow.operators import adjust as aj
+    first = dt.date(2024, 1, 1)       # a Monday; Mondays sell ten times as much
+    rows = [("c", "p", first + dt.timedelta(days=i), 100.0 if i % 7 == 0 else 10.0, False) for i in range(70)]
+    df = spark.createDataFrame(rows, "customer_id string, product_id string, ds date, order_qty double, is_promotional boolean")
+    targets = spark.createDataFrame([("c", "p", dt.date(2024, 6, 3))], "customer_id string, product_id string, target_date date")
+    got = aj.adjustment_advice(df, targets=targets).collect()
+    assert [(r.target_date, r.dow_flag) for r in got] == [(dt.date(2024, 6, 3), True)]
+    assert "Day-of-week pattern: 100.0" in got[0].recommendations
+
+
+def test_similar_ids(spark):
+    from ebbflow.operators import quality as qa
+    hist = spark.createDataFrame([(s, "web", "x", None, 1.0) for s in ("P1", "P12", "p123", "Q1", "1", "AP12B")],
+                                 "sku_id string, channel string, location string, order_date date, total_demand_qty double")
+    req = spark.createDataFrame([("P12", "web", "x"), ("zzP1zz", "web", "x"), ("nothing", "web", "x")], "sku_id string, channel string, location string")
+    got = {r.r_sku: r.similar_skus for r in qa.validate_combinations(req, hist, hist, n_similar=9).collect()}
+    assert got == {"P12": "1|AP12B|P1|p123", "zzP1zz": "1|P1", "nothing": None}

@@ -26,8 +26,8 @@ def _bin(h: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, text: str, out: str, shingle: int = 5) -> DataFrame:
-    """``df`` with ``out``: the low bits of every bin's value as an array of
-    BINS numbers; empty for a text without words.  A text with fewer words than
+    """``df`` with ``out``: the low bits of every bin's value packed as an array
+    of BINS bytes (less 128); empty for a text without words.  A text with fewer words than
     a shingle is one shingle.  Every step is a column of its own, so Spark
     computes it once."""
     words, hashed, grams, ordered, least, low, high = (f"_{out}_{i}" for i in range(7))
@@ -66,16 +66,19 @@ def fingerprint(df: DataFrame, text: str, out: str, shingle: int = 5) -> DataFra
         return F.coalesce(*[value(t) for t in tries], F.get(mins, F.lit(0)))
 
     every = F.sequence(F.lit(0), F.lit(BINS - 1))
-    packed = F.transform(every, lambda b: F.when(filled(b), value(b)).otherwise(borrowed(b)).bitwiseAND(F.lit(2 ** BITS - 1).cast("long")).cast("int"))
-    full = (F.when(F.size(least) == 0, F.array().cast("array<int>"))
-            .when(F.size(least) == 1, F.array_repeat(F.get(mins, F.lit(0)).bitwiseAND(F.lit(2 ** BITS - 1).cast("long")).cast("int"), BINS))
-            .otherwise(packed))
+
+    def bits(v: Column) -> Column:
+        return (v.bitwiseAND(F.lit(2 ** BITS - 1).cast("long")) - 128).cast("byte")
+
+    packed = F.transform(every, lambda b: bits(F.when(filled(b), value(b)).otherwise(borrowed(b))))
+    full = (F.when(F.size(least) == 0, F.array().cast("array<tinyint>"))
+            .when(F.size(least) == 1, F.array_repeat(bits(F.get(mins, F.lit(0))), BINS)).otherwise(packed))
     return df.withColumn(out, full).drop(words, hashed, grams, ordered, least, low, high)
 
 
 def as_text(fp: Column) -> Column:
     """The packed bits as hex digits (BITS is 8: two a bin); empty for no words."""
-    return F.array_join(F.transform(fp, lambda v: F.lpad(F.lower(F.hex(v)), 2, "0")), "")
+    return F.array_join(F.transform(fp, lambda v: F.lpad(F.lower(F.hex(v.cast("int") + 128)), 2, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -124,7 +127,9 @@ def edited(docs: DataFrame, shingle: int = 5) -> DataFrame:
     own = settled(fingerprint(base.select("k", F.xxhash64("text").alias("mark"), F.length("text").alias("n"), "text"), "text", "fp", shingle)
                   .select("k", "mark", "n", "fp").distinct())
     rows = base.withColumn("mark", F.xxhash64("text")).join(asked, "k")
-    first = W.partitionBy("k").orderBy("mark", F.length("text"))
+    # doc_id decides nothing here: with it both sides ask for the same columns of the same
+    # exchange, and Spark deals the texts out once for the two
+    first = W.partitionBy("k").orderBy("mark", F.length("text"), "doc_id")
     starts = (rows.withColumn("nth", F.row_number().over(first)).where("nth = 1")
               .select(F.col("before").alias("k"), F.expr("substring(text, 1, asked)").alias("start")))
     lead = own.withColumn("nth", F.row_number().over(W.partitionBy("k").orderBy("mark", "n"))).where("nth = 1")

@@ -86,42 +86,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int,
-                    usable: Column | None = None) -> list[tuple[str, int]]:
+                    usable: Column | None = None) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """Up to ``per_class`` labelled texts of either class, in the order of a
-    hash of the id.  Ids without a label, or with two, are not used.  The ids
-    are chosen from the narrow label table; only the chosen texts move."""
+    hash of the id, and how many labels of each class there are in all.  Ids
+    without a label, or with two, are not used.  The ids are chosen from the
+    narrow label table; only the chosen texts move."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     if usable is not None:
         rows = rows.where(usable)
     one = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y")
+    all_ = {r["y"]: r["count"] for r in one.groupBy("y").count().collect()}
     ids = None
     for y in (0, 1):
         part = one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionAll(part)
     chosen = {r["doc_id"]: r["y"] for r in ids.select("doc_id", "y").collect()}      # at most 2 * per_class
     if not chosen:
-        return []
+        return [], all_
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(k,) for k in chosen], T.StructType([T.StructField("doc_id", T.LongType())]))
     got = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
            .join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").collect())
-    return [(r["text"], chosen[r["doc_id"]]) for r in got]
+    return [(r["text"], chosen[r["doc_id"]]) for r in got], all_
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500,
         usable: Column | None = None, dictionary_bytes: int = 112_640, level: int = 3,
         block: int = 2048) -> Model:
     """The model of a bounded sample: at most ``per_class`` rows of either
-    label.  Six tenths train the dictionaries, the rest the calibration.  With
+    label.  Six tenths train the dictionaries, the rest the calibration, whose
+    intercept is then moved from the sample's share of good rows to that of all
+    labels, so that the bound does not shift the scores.  With
     one class, or nothing, to learn from, scores are the share of good rows
     (one half without labels)."""
-    sample = labelled_sample(docs, labels, label, per_class, usable)
+    sample, all_ = labelled_sample(docs, labels, label, per_class, usable)
     by = {y: [t for t, k in sample if k == y] for y in (0, 1)}
     cut = {y: len(by[y]) * 6 // 10 for y in (0, 1)}
     good, bad = (_dictionary(by[y][:cut[y]], dictionary_bytes, 2000, 8, level) for y in (1, 0))
     rest = [(t, y) for y in (0, 1) for t in by[y][cut[y]:]]
-    # the sample is balanced up to per_class: weigh neither class up, the share of labels is the prior
     y = np.array([k for _, k in rest], float)
     if not rest or y.min() == y.max() or not good or not bad:
         n = len(sample)
@@ -131,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     x = np.array([scorer.evidence(t) for t, _ in rest])
     scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     w = _logistic(x / scale, y)
-    return Model(good, bad, (*(float(v) for v in w[:-1] / scale), float(w[-1])), level, block)
+    prior = np.log(all_[1] / all_[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return Model(good, bad, (*(float(v) for v in w[:-1] / scale), float(w[-1] + prior)), level, block)
 
 
 def score(text: Column, model: Model) -> Column:

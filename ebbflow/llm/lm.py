@@ -6,12 +6,12 @@ times the word's own share of the corpus.  An occurrence does not count itself
 (leave one out), so text that occurs once backs off.  A document's first word
 gets its own share.  Scores are summed as whole millionths of a nat.
 
-Counts are tables dealt out by hash; each document's distinct pairs are joined
-to them and summed per document.  Two bounded sets keep the tables small and
+Counts are tables dealt out by hash; each document's distinct pairs are dealt
+out by the same hash, joined to their counts there and summed per document.  Two bounded sets keep the tables small and
 even:
-  * words with at least a share 2**-22 of the corpus (so at most 2**22 of them)
+  * words with at least a share 2**-23 of the corpus (so at most 2**23 of them)
     get a short number; pairs of two such words travel as one number;
-  * pairs with at least a share 2**-16 (so few that a broadcast is bounded) are
+  * pairs with at least a share 2**-19 (so at most 2**20 candidates) are
     scored where they stand, so no pair is a hot key.
 """
 
@@ -22,6 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbflow.operators.clean import running_offsets
@@ -30,18 +31,20 @@ from .common import settled
 from .tokens import SPACE, U, portions, word_hashes
 
 ALPHA = 0.4
-COMMON = 2.0 ** -22         # least share of a numbered word
-HEAVY = 2.0 ** -17          # least known share of a pair that may be heavy (all with twice that are found)
-_SHIFT = 22                 # bits of a word's number
+COMMON = 2.0 ** -23         # least share of a numbered word
+HEAVY = 2.0 ** -20          # least known share of a pair that may be heavy (all with twice that are found)
+FLUSH = 4_000_000           # words counted at once
+_SHIFT = 23                 # bits of a word's number
+_HASH = np.int64(-2 ** 63)  # the sign tells a word's hash (negative) from its number
 _START = -1                 # stands for the word before a document's first word
 
 
 def _words(texts: pa.Array):
-    """(first row, hash, text number) per portion; no hash is ``_START``."""
+    """(first row, end row, hash, text number) per portion; hashes are negative, none is ``_START``."""
     for row, end, data, offsets in portions(texts):
         h, _, doc = word_hashes(data, offsets, SPACE)
-        h = h.view(np.int64)
-        yield row, end, np.where(h == _START, 0, h), doc
+        h = h.view(np.int64) | _HASH
+        yield row, end, np.where(h == _START, _START - 1, h), doc
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -49,22 +52,35 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 def _count_words(batches):
-    """kind 1: (word, -, count) of a batch; kind 2: pairs with a share of HEAVY or more in it."""
+    """Of about FLUSH words at a time, kind 1: (word, -, count);
+    kind 2: pairs with a share of HEAVY or more in it."""
     for batch in batches:
-        words, pairs = [], []
-        for _, _, h, doc in _words(batch.column("text")):
+        words, pairs, size = [], [], 0
+        for _, end, h, doc in _words(batch.column("text")):
             words.append(h)
             same = doc[:-1] == doc[1:]
             pairs.append(np.column_stack([h[:-1][same], h[1:][same]]))
-        if not words:
-            continue
-        w, c = np.unique(np.concatenate(words), return_counts=True)
-        yield _batch({"kind": np.ones(len(w), np.int32), "a": w, "b": np.zeros(len(w), np.int64), "c": c})
-        pairs = np.concatenate(pairs)
-        # the pair's mixture only groups; equal mixtures of different pairs merely add a candidate's count
-        _, at, c = np.unique(pairs[:, 0] * np.int64(-7046029254386353131) + pairs[:, 1], return_index=True, return_counts=True)
-        often = c >= max(2, HEAVY * len(pairs))
-        yield _batch({"kind": np.full(often.sum(), 2, np.int32), "a": pairs[at[often], 0], "b": pairs[at[often], 1], "c": c[often]})
+            size += len(h)
+            if size >= FLUSH or end == batch.num_rows:
+                yield from _counts(np.concatenate(words), np.concatenate(pairs))
+                words, pairs, size = [], [], 0
+
+
+def _counts(words: np.ndarray, pairs: np.ndarray):
+    w, c = np.unique(words, return_counts=True)
+    yield _batch({"kind": np.ones(len(w), np.int32), "a": w, "b": np.zeros(len(w), np.int64), "c": c})
+    # the pair's mixture only groups; equal mixtures of different pairs merely add a candidate's count
+    _, at, c = np.unique(pairs[:, 0] * np.int64(-7046029254386353131) + pairs[:, 1], return_index=True, return_counts=True)
+    often = c >= max(2, HEAVY * len(pairs))
+    yield _batch({"kind": np.full(often.sum(), 2, np.int32), "a": pairs[at[often], 0], "b": pairs[at[often], 1], "c": c[often]})
+
+
+def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each x in the sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
 
 
 class _Numbers:
@@ -73,13 +89,12 @@ class _Numbers:
     def __init__(self, hashes: np.ndarray, numbers: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
         self.hash, self.number, self.count = hashes[order], numbers[order], counts[order]
+        self.count_of = np.zeros(len(counts), np.int64)     # numbers run from 0 without gaps
+        self.count_of[numbers] = counts
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the table, and whether the word is there."""
-        if not len(self.hash):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return at, self.hash[at] == h
+        return _place(self.hash, h)
 
 
 def _micro(x: np.ndarray) -> np.ndarray:
@@ -105,7 +120,7 @@ def _heavy_counts(numbers_b, candidates_b):
             for _, _, _, _, at, known, same, _ in _pair_rows(batch, numbers):
                 both = same[known[same] & known[same + 1]]
                 key = numbers.number[at[both]] << _SHIFT | numbers.number[at[both + 1]]
-                got.append(key[np.isin(key, candidates)])
+                got.append(key[_place(candidates, key)[1]])
             if got:
                 k, c = np.unique(np.concatenate(got), return_counts=True)
                 yield _batch({"k": k, "c": c})
@@ -130,10 +145,9 @@ def _common_pairs(numbers_b, heavy_b, total: int):
                 key = numbers.number[at[both]] << _SHIFT | numbers.number[at[both + 1]]
                 pair, c = np.unique(doc[both] << 2 * _SHIFT | key, return_counts=True)
                 d, key = pair >> 2 * _SHIFT, pair & (1 << 2 * _SHIFT) - 1
-                if len(heavy):
-                    place = np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)
-                    hit = heavy[place] == key
-                    before = numbers.count[np.argsort(numbers.number)[key[hit] >> _SHIFT]] if hit.any() else np.zeros(0)
+                place, hit = _place(heavy, key)
+                if hit.any():
+                    before = numbers.count_of[key[hit] >> _SHIFT]
                     v = _micro((heavy_c[place[hit]] - 1) / (before - 1)) * c[hit]
                     np.add.at(here_c, d[hit], c[hit])
                     np.add.at(here_v, d[hit], v)
@@ -148,13 +162,15 @@ def _common_pairs(numbers_b, heavy_b, total: int):
 
 
 def _rare_pairs(numbers_b):
-    """Rows (w1, w2, c) of a document's pairs with a word that is not common;
-    w1 is _START for such a first word."""
+    """Rows (w1, w2, c) of a document's pairs with a word that is not common,
+    each word as its number or else its hash; w1 is _START for such a first word."""
     def run(batches):
         numbers = _Numbers(*numbers_b.value)
         for batch in batches:
             ids, marks = batch.column("doc_id").cast(pa.int64()), np.asarray(batch.column("mark"))
-            for row, _, h, doc, _, known, same, first in _pair_rows(batch, numbers):
+            for row, _, h, doc, at, known, same, first in _pair_rows(batch, numbers):
+                if known.any():
+                    h = np.where(known, numbers.number[at], h)
                 some = same[~(known[same] & known[same + 1])]
                 f = first[~known[first]]
                 d = np.concatenate([doc[some], doc[f]])
@@ -195,7 +211,7 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     least = max(2, math.ceil(total * COMMON))
     common = settled(running_offsets(words.where(F.col("n") >= least).withColumn("one", F.lit(1).cast("long")), ["word"], "one")
                      .select("word", "n", F.col("_off").cast("long").alias("number")))
-    got = common.toPandas()         # at most 2**22 rows
+    got = common.toPandas()         # at most 1 / COMMON rows
     numbers = (got["word"].to_numpy(np.int64), got["number"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
     numbers_b = sc.broadcast(numbers)
     cand = counted.where((F.col("kind") == 2) & (F.col("c") >= max(2, total * HEAVY))).select("a", "b")      # at most 1 / HEAVY rows
@@ -208,11 +224,10 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
              .groupBy("k").agg(F.sum("c").alias("c")).toPandas().sort_values("k"))
     heavy_b = sc.broadcast((heavy["k"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64)))
 
-    # pairs of common words: one number; count table and pairs are dealt out once, by the same hash
-    found = (text.mapInArrow(_common_pairs(numbers_b, heavy_b, total), "doc_id bigint, mark bigint, k bigint, c bigint, v bigint")
-             .repartition("k"))
-    table = found.groupBy(F.col("k").alias("k_")).agg(F.sum("c").alias("n"), F.max(F.struct("doc_id", "mark", "v")).alias("held"))
-    pairs = found.join(table, F.col("k") == F.col("k_"))
+    # pairs of common words: one number.  Dealt out by its hash once; each part's counts are
+    # joined to its rows in place, so the pairs do not move a second time for a table of their own
+    found = text.mapInArrow(_common_pairs(numbers_b, heavy_b, total), "doc_id bigint, mark bigint, k bigint, c bigint, v bigint")
+    pairs = found.withColumn("n", F.sum("c").over(W.partitionBy("k")))
     own = F.col("k") < 0
     hit = ~own & (F.col("n") > 1)
     asked = F.when(hit, F.call_function("shiftright", F.col("k"), F.lit(_SHIFT))).otherwise(F.col("k").bitwiseAND(F.lit((1 << _SHIFT) - 1).cast("long")))
@@ -223,15 +238,17 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
                         .otherwise(F.col("c") * _nats(alpha * _back_off(F.col("n_word"), total))).alias("v"))
 
     # pairs with a rare word
-    found = text.mapInArrow(_rare_pairs(numbers_b), "doc_id bigint, mark bigint, w1 bigint, w2 bigint, c bigint").repartition("w1", "w2")
-    table = found.groupBy(F.col("w1").alias("a"), F.col("w2").alias("b")).agg(F.sum("c").alias("n"), F.max(F.struct("doc_id", "mark")).alias("held"))
+    found = text.mapInArrow(_rare_pairs(numbers_b), "doc_id bigint, mark bigint, w1 bigint, w2 bigint, c bigint")
     first, hit = F.col("w1") == _START, (F.col("w1") != _START) & (F.col("n") > 1)
-    pairs = (found.join(table, (F.col("w1") == F.col("a")) & (F.col("w2") == F.col("b")))
-             .withColumn("asked", F.when(hit, F.col("w1")).otherwise(F.col("w2")))
-             .join(words.withColumnsRenamed({"n": "n_word"}), F.col("asked") == F.col("word")))
-    few = pairs.select("doc_id", "mark", "c", F.when(first | hit, 0).otherwise(F.col("c")).cast("long").alias("backed"), F.lit(0).cast("long").alias("rows"),
-                       (F.col("c") * F.when(hit, _nats((F.col("n") - 1) / (F.col("n_word") - 1)))
-                        .when(first, _nats(_back_off(F.col("n_word"), total))).otherwise(_nats(alpha * _back_off(F.col("n_word"), total)))).alias("v"))
+    pairs = (found.withColumn("n", F.sum("c").over(W.partitionBy("w1", "w2")))
+             .withColumn("asked", F.when(hit, F.col("w1")).otherwise(F.col("w2"))))
+    # the asked word's count: of a common word from the broadcast, of a rare one from the count table
+    numbered = pairs.where("asked >= 0").join(known, F.col("asked") == F.col("number")).drop("number")
+    rare = pairs.where("asked < 0").join(words.withColumnsRenamed({"n": "n_word"}), F.col("asked") == F.col("word")).drop("word")
+    few = numbered.unionByName(rare).select(
+        "doc_id", "mark", "c", F.when(first | hit, 0).otherwise(F.col("c")).cast("long").alias("backed"), F.lit(0).cast("long").alias("rows"),
+        (F.col("c") * F.when(hit, _nats((F.col("n") - 1) / (F.col("n_word") - 1)))
+         .when(first, _nats(_back_off(F.col("n_word"), total))).otherwise(_nats(alpha * _back_off(F.col("n_word"), total)))).alias("v"))
     sums = many.unionByName(few).groupBy("doc_id", "mark").agg(*[F.sum(x).alias(x) for x in ("c", "backed", "rows", "v")])
     # rows that repeat both id and text share a group: its sums are whole multiples
     once = lambda x: F.expr(f"{x} div rows")

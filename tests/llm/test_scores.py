@@ -44,7 +44,7 @@ def test_lm_scores_against_sql(spark, odd):
 def test_lm_scores_with_rare_words(spark, odd, monkeypatch):
     """High shares: most words are rare and many pairs are heavy."""
     monkeypatch.setattr(lm, "COMMON", 0.002)
-    monkeypatch.setattr(lm, "HEAVY", 0.00005)
+    monkeypatch.setattr(lm, "HEAVY", 0.0005)
     assert rows_of(lm.stupid_backoff(odd)) == run_sql(lm.LM_SQL, documents=odd)
 
 

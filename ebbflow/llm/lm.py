@@ -51,30 +51,30 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
 
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first * np.int64(-7046029254386353131) + second
+
+
 def _count_words(batches):
-    """Of about FLUSH words at a time, kind 1: (word, -, count);
-    kind 2: pairs with a share of HEAVY or more in it."""
+    """Of about FLUSH words at a time, kind 1: (word, count); kind 2: (hash of
+    a pair, count) for pairs with a share of HEAVY or more in it.  Equal hashes
+    of different pairs merely make both candidates."""
     for batch in batches:
         words, pairs, size = [], [], 0
         for _, end, h, doc in _words(batch.column("text")):
             words.append(h)
             same = doc[:-1] == doc[1:]
-            pairs.append(np.column_stack([h[:-1][same], h[1:][same]]))
+            pairs.append(_pair_hash(h[:-1][same], h[1:][same]))
             size += len(h)
             if size >= FLUSH or end == batch.num_rows:
-                yield from _counts(np.concatenate(words), np.concatenate(pairs))
+                w, c = np.unique(np.concatenate(words), return_counts=True)
+                yield _batch({"kind": np.ones(len(w), np.int32), "a": w, "c": c})
+                p, c = np.unique(np.concatenate(pairs), return_counts=True)
+                often = c >= max(2, HEAVY * size)
+                yield _batch({"kind": np.full(often.sum(), 2, np.int32), "a": p[often], "c": c[often]})
                 words, pairs, size = [], [], 0
 
 
-def _counts(words: np.ndarray, pairs: np.ndarray):
-    w, c = np.unique(words, return_counts=True)
-    yield _batch({"kind": np.ones(len(w), np.int32), "a": w, "b": np.zeros(len(w), np.int64), "c": c})
-    # the pair's mixture only groups; equal mixtures of different pairs merely add a candidate's count
-    _, at, c = np.unique(pairs[:, 0] * np.int64(-7046029254386353131) + pairs[:, 1], return_index=True, return_counts=True)
-    often = c >= max(2, HEAVY * len(pairs))
-    yield _batch({"kind": np.full(often.sum(), 2, np.int32), "a": pairs[at[often], 0], "b": pairs[at[often], 1], "c": c[often]})
-
-
 def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each x in the sorted table, and whether it is there."""
     if not len(table):
@@ -117,10 +117,10 @@ def _heavy_counts(numbers_b, candidates_b):
         numbers, candidates = _Numbers(*numbers_b.value), candidates_b.value
         for batch in batches:
             got = []
-            for _, _, _, _, at, known, same, _ in _pair_rows(batch, numbers):
+            for _, _, h, _, at, known, same, _ in _pair_rows(batch, numbers):
                 both = same[known[same] & known[same + 1]]
-                key = numbers.number[at[both]] << _SHIFT | numbers.number[at[both + 1]]
-                got.append(key[_place(candidates, key)[1]])
+                both = both[_place(candidates, _pair_hash(h[both], h[both + 1]))[1]]
+                got.append(numbers.number[at[both]] << _SHIFT | numbers.number[at[both + 1]])
             if got:
                 k, c = np.unique(np.concatenate(got), return_counts=True)
                 yield _batch({"k": k, "c": c})
@@ -129,17 +129,16 @@ def _heavy_counts(numbers_b, candidates_b):
 
 def _common_pairs(numbers_b, heavy_b, total: int):
     """Rows (k, c) of a document's pairs of common words that are not heavy,
-    and one row with a negative k for what is scored here: heavy pairs and a
-    common first word (c of them, v millionths)."""
+    and one row with a negative k for itself: c is its number of words, v the
+    millionths of what is scored here (heavy pairs, a common first word)."""
     def run(batches):
         numbers, (heavy, heavy_c) = _Numbers(*numbers_b.value), heavy_b.value
         for batch in batches:
             ids, marks = batch.column("doc_id").cast(pa.int64()), np.asarray(batch.column("mark"))
             for row, end, _, doc, at, known, same, first in _pair_rows(batch, numbers):
                 n = end - row
-                here_c, here_v = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                all_words, here_v = np.bincount(doc, minlength=n), np.zeros(n, np.int64)
                 f = first[known[first]]
-                here_c[doc[f]] = 1
                 here_v[doc[f]] = _micro(np.maximum(numbers.count[at[f]] - 1, 0.5) / total)
                 both = same[known[same] & known[same + 1]]
                 key = numbers.number[at[both]] << _SHIFT | numbers.number[at[both + 1]]
@@ -149,14 +148,13 @@ def _common_pairs(numbers_b, heavy_b, total: int):
                 if hit.any():
                     before = numbers.count_of[key[hit] >> _SHIFT]
                     v = _micro((heavy_c[place[hit]] - 1) / (before - 1)) * c[hit]
-                    np.add.at(here_c, d[hit], c[hit])
                     np.add.at(here_v, d[hit], v)
                     d, key, c = d[~hit], key[~hit], c[~hit]
                 rows = np.concatenate([d, np.arange(n)])
                 own = -1 - (marks[row:end] & np.int64(2 ** 62 - 1))      # spreads the documents' own rows
                 yield pa.RecordBatch.from_arrays([
                     ids.take(pa.array(row + rows)), pa.array(marks[row + rows]), pa.array(np.concatenate([key, own])),
-                    pa.array(np.concatenate([c, here_c])), pa.array(np.concatenate([np.zeros(len(key), np.int64), here_v]))],
+                    pa.array(np.concatenate([c, all_words])), pa.array(np.concatenate([np.zeros(len(key), np.int64), here_v]))],
                     ["doc_id", "mark", "k", "c", "v"])
     return run
 
@@ -204,8 +202,8 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     sc = spark.sparkContext
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    counted = settled(text.select("text").mapInArrow(_count_words, "kind int, a bigint, b bigint, c bigint")
-                      .groupBy("kind", "a", "b").agg(F.sum("c").alias("c")))
+    counted = settled(text.select("text").mapInArrow(_count_words, "kind int, a bigint, c bigint")
+                      .groupBy("kind", "a").agg(F.sum("c").alias("c")))
     words = counted.where("kind = 1").select(F.col("a").alias("word"), F.col("c").alias("n"))
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(2, math.ceil(total * COMMON))
@@ -214,12 +212,8 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     got = common.toPandas()         # at most 1 / COMMON rows
     numbers = (got["word"].to_numpy(np.int64), got["number"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
     numbers_b = sc.broadcast(numbers)
-    cand = counted.where((F.col("kind") == 2) & (F.col("c") >= max(2, total * HEAVY))).select("a", "b")      # at most 1 / HEAVY rows
-    by_word = common.select("word", "number")
-    cand = (cand.join(F.broadcast(by_word.withColumnsRenamed({"word": "a", "number": "n1"})), "a")
-            .join(F.broadcast(by_word.withColumnsRenamed({"word": "b", "number": "n2"})), "b")
-            .select((F.call_function("shiftleft", F.col("n1"), F.lit(_SHIFT)).bitwiseOR(F.col("n2"))).alias("k")).toPandas())
-    cand_b = sc.broadcast(np.sort(cand["k"].to_numpy(np.int64)))
+    cand = counted.where((F.col("kind") == 2) & (F.col("c") >= max(2, total * HEAVY))).select("a").toPandas()      # at most 1 / HEAVY rows
+    cand_b = sc.broadcast(np.sort(cand["a"].to_numpy(np.int64)))
     heavy = (text.select("text").mapInArrow(_heavy_counts(numbers_b, cand_b), "k bigint, c bigint")
              .groupBy("k").agg(F.sum("c").alias("c")).toPandas().sort_values("k"))
     heavy_b = sc.broadcast((heavy["k"].to_numpy(np.int64), heavy["c"].to_numpy(np.int64)))
@@ -233,7 +227,7 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     asked = F.when(hit, F.call_function("shiftright", F.col("k"), F.lit(_SHIFT))).otherwise(F.col("k").bitwiseAND(F.lit((1 << _SHIFT) - 1).cast("long")))
     known = F.broadcast(common.select("number", F.col("n").alias("n_word")))
     pairs = pairs.withColumn("asked", asked).join(known, F.col("asked") == F.col("number"), "left")
-    many = pairs.select("doc_id", "mark", "c", (F.when(own | hit, 0).otherwise(F.col("c"))).cast("long").alias("backed"), own.cast("long").alias("rows"),
+    many = pairs.select("doc_id", "mark", F.when(own, F.col("c")).otherwise(0).cast("long").alias("words"), (F.when(own | hit, 0).otherwise(F.col("c"))).cast("long").alias("backed"), own.cast("long").alias("rows"),
                         F.when(own, F.col("v")).when(hit, F.col("c") * _nats((F.col("n") - 1) / (F.col("n_word") - 1)))
                         .otherwise(F.col("c") * _nats(alpha * _back_off(F.col("n_word"), total))).alias("v"))
 
@@ -246,13 +240,13 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     numbered = pairs.where("asked >= 0").join(known, F.col("asked") == F.col("number")).drop("number")
     rare = pairs.where("asked < 0").join(words.withColumnsRenamed({"n": "n_word"}), F.col("asked") == F.col("word")).drop("word")
     few = numbered.unionByName(rare).select(
-        "doc_id", "mark", "c", F.when(first | hit, 0).otherwise(F.col("c")).cast("long").alias("backed"), F.lit(0).cast("long").alias("rows"),
+        "doc_id", "mark", F.lit(0).cast("long").alias("words"), F.when(first | hit, 0).otherwise(F.col("c")).cast("long").alias("backed"), F.lit(0).cast("long").alias("rows"),
         (F.col("c") * F.when(hit, _nats((F.col("n") - 1) / (F.col("n_word") - 1)))
          .when(first, _nats(_back_off(F.col("n_word"), total))).otherwise(_nats(alpha * _back_off(F.col("n_word"), total)))).alias("v"))
-    sums = many.unionByName(few).groupBy("doc_id", "mark").agg(*[F.sum(x).alias(x) for x in ("c", "backed", "rows", "v")])
+    sums = many.unionByName(few).groupBy("doc_id", "mark").agg(*[F.sum(x).alias(x) for x in ("words", "backed", "rows", "v")])
     # rows that repeat both id and text share a group: its sums are whole multiples
     once = lambda x: F.expr(f"{x} div rows")
-    return (sums.select("doc_id", once("c").alias("n_words"), once("backed").alias("n_backoff"), once("v").alias("score_micro"), "rows")
+    return (sums.select("doc_id", once("words").alias("n_words"), once("backed").alias("n_backoff"), once("v").alias("score_micro"), "rows")
             .withColumn("score", F.when(F.col("n_words") > 0, F.col("score_micro") / F.col("n_words") / F.lit(1e6)))
             .select("doc_id", "n_words", "n_backoff", "score_micro", "score", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_"))
             .drop("_"))

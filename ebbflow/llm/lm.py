@@ -200,7 +200,10 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     each get a row.  Only columns doc_id and text are read."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
+    # with its id, half a hash tells a row from others (of equal ids); without one, a whole hash
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    mark = F.when(F.col("doc_id").isNull(), mark).otherwise(mark.bitwiseAND(F.lit(2 ** 32 - 1).cast("long")))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"),
                        F.coalesce("text", F.lit("")).alias("text"))
     counted = settled(text.select("text").mapInArrow(_count_words, "kind int, a bigint, c bigint")
                       .groupBy("kind", "a").agg(F.sum("c").alias("c")))
@@ -233,16 +236,21 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     # pairs with a rare word
     found = text.mapInArrow(_rare_pairs(numbers_b), "doc_id bigint, mark bigint, w1 bigint, w2 bigint, c bigint")
-    first, hit = F.col("w1") == _START, (F.col("w1") != _START) & (F.col("n") > 1)
+    first = F.col("w1") == _START
+    hit = ~first & (F.col("n") > 1)
     pairs = (found.withColumn("n", F.sum("c").over(W.partitionBy("w1", "w2")))
-             .withColumn("asked", F.when(hit, F.col("w1")).otherwise(F.col("w2"))))
+             .select("doc_id", "mark", "c", first.alias("first"), F.when(hit, F.col("n")).otherwise(0).alias("n"),
+                     F.when(hit, F.col("w1")).otherwise(F.col("w2")).alias("asked")))
     # the asked word's count: of a common word from the broadcast, of a rare one from the count table
     numbered = pairs.where("asked >= 0").join(known, F.col("asked") == F.col("number")).drop("number")
     rare = pairs.where("asked < 0").join(words.withColumnsRenamed({"n": "n_word"}), F.col("asked") == F.col("word")).drop("word")
+    hit = F.col("n") > 0
     few = numbered.unionByName(rare).select(
-        "doc_id", "mark", F.lit(0).cast("long").alias("words"), F.when(first | hit, 0).otherwise(F.col("c")).cast("long").alias("backed"), F.lit(0).cast("long").alias("rows"),
+        "doc_id", "mark", F.lit(0).cast("long").alias("words"), F.when(F.col("first") | hit, 0).otherwise(F.col("c")).cast("long").alias("backed"),
+        F.lit(0).cast("long").alias("rows"),
         (F.col("c") * F.when(hit, _nats((F.col("n") - 1) / (F.col("n_word") - 1)))
-         .when(first, _nats(_back_off(F.col("n_word"), total))).otherwise(_nats(alpha * _back_off(F.col("n_word"), total)))).alias("v"))
+         .when(F.col("first"), _nats(_back_off(F.col("n_word"), total)))
+         .otherwise(_nats(alpha * _back_off(F.col("n_word"), total)))).alias("v"))
     sums = many.unionByName(few).groupBy("doc_id", "mark").agg(*[F.sum(x).alias(x) for x in ("words", "backed", "rows", "v")])
     # rows that repeat both id and text share a group: its sums are whole multiples
     once = lambda x: F.expr(f"{x} div rows")

@@ -1,16 +1,15 @@
-"""License scan: MinHash bands over overlapping windows retrieve templates,
-exact shingle containment verifies them.
-
-For a template of n five-word shingles the windows are all runs of n shingles
-of the text, so one of them lies on every copy.  A copy that keeps a share c of
-the shingles has a window of Jaccard similarity c / (2 - c) or more; with
-BANDS bands of ROWS values it is retrieved with probability
-1 - (1 - s**ROWS)**BANDS: over 0.999 at containment 0.8 and one for whole copies.
+"""License scan: the share of each template's five-word shingles that a text holds.
+
+A text has a license if it holds CONTAINED or more of the distinct shingles of
+one of its templates, whatever stands between them: words that are inserted,
+left out or replaced cost the shingles they touch and nothing else.  All
+shingles of all templates stand in one sorted table, in which every shingle of
+the text is looked up, so no copy is lost.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -18,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import LETTERS, U, mix, portions, shingle_hashes, word_hashes
+from .tokens import LETTERS, U, portions, shingle_hashes, word_hashes
 
 SHINGLE, CONTAINED = 5, 0.8
-BANDS, ROWS = 12, 2
 #: License notices (fixed values).
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
     "MIT": ("Released under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files, to deal in the Software without restriction"),
+            "documentation files, to deal in the Software without restriction",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",
                    "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",
@@ -38,115 +38,110 @@ TEMPLATES: Mapping[str, tuple[str, ...]] = {
             "the following conditions are met",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",)}
 
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-_NONE = U(0xFFFFFFFFFFFFFFFF)
-
-
 def _shingles(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     return shingle_hashes(word_hashes(raw, np.array([0, len(raw)]), LETTERS)[0], SHINGLE)
 
 
-def _band(low: np.ndarray, high: np.ndarray, band: int) -> np.ndarray:
-    return mix(low * U(3) + high + U(band))
-
-
 class Scanner:
-    """Templates by their number of shingles, with their band keys."""
+    """Templates and the table of their shingles."""
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]] = TEMPLATES):
-        self.names, self.sets, by_size = [], [], defaultdict(list)
+        self.names, self.sizes, users = [], [], defaultdict(list)
         for name, texts in templates.items():
             for text in texts:
                 s = np.unique(_shingles(text))
                 if not len(s):
                     raise ValueError(f"a template of {name} has fewer than {SHINGLE} words")
-                by_size[len(s)].append(len(self.names))
+                for x in s:
+                    users[x].append(len(self.names))
                 self.names.append(name)
-                self.sets.append(s)
-        self.sizes = sorted(by_size)
-        self.keys = {}      # (size, band): sorted keys, their templates, table of the keys' top bits
-        for size, members in by_size.items():
-            for band in range(BANDS):
-                key = np.array([_band(*[mix(self.sets[t] ^ _SEEDS[band * ROWS + r]).min(keepdims=True) for r in range(ROWS)], band)[0]
-                                for t in members], U)
-                order = np.argsort(key)
-                top = np.zeros(1 << 16, bool)
-                top[(key >> U(48)).astype(np.int64)] = True
-                self.keys[size, band] = (key[order], [members[i] for i in order], top)
-
-    def candidates(self, shingles: np.ndarray) -> set[tuple[int, int]]:
-        """(template, first shingle of the window) of all band collisions."""
-        found = set()
-        n, n_sizes = len(shingles), [s for s in self.sizes if s <= len(shingles)]
-        low: dict[int, np.ndarray] = {}
-        for j in range(BANDS * ROWS):
-            band, r = divmod(j, ROWS)
-            least, width = mix(shingles ^ _SEEDS[j]), 1       # least of each window of ``width`` shingles
-            for size in n_sizes:
-                while 2 * width <= size:
-                    least = np.minimum(least[:-width], least[width:])
-                    width *= 2
-                m = n - size + 1
-                here = np.minimum(least[:m], least[size - width:size - width + m])
-                if r == 0:
-                    low[size] = here
-                    continue
-                keys, members, top = self.keys[size, band]
-                key = _band(low[size], here, band)
-                for i in np.flatnonzero(top[(key >> U(48)).astype(np.int64)]):
-                    at = np.searchsorted(keys, key[i])
-                    while at < len(keys) and keys[at] == key[i]:
-                        found.add((members[at], int(i)))
-                        at += 1
-        return found
+                self.sizes.append(len(s))
+        self.table = np.array(sorted(users), U)
+        self.users = [users[x] for x in self.table]     # the templates of each shingle
+        self.top = np.zeros(1 << 16, bool)              # of the shingles' top bits
+        self.top[(self.table >> U(48)).astype(np.int64)] = True
+
+    def held(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the shingles that a template has, and their numbers in the table."""
+        at = np.flatnonzero(self.top[(shingles >> U(48)).astype(np.int64)])
+        number = np.searchsorted(self.table, shingles[at])
+        there = number < len(self.table)
+        there[there] = self.table[number[there]] == shingles[at[there]]
+        return at[there], number[there]
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[str, int, int, float]]]]:
         """(row, [(license, begin, end, containment)]) of rows with a match;
         begin and end are code points of the words' bounds."""
         for row, _, data, offsets in portions(texts):
             words, start, doc = word_hashes(data, offsets, LETTERS)
-            shingles = shingle_hashes(words, SHINGLE)
-            if not len(shingles):
-                continue
-            shingles = np.where(doc[:len(shingles)] == doc[SHINGLE - 1:], shingles, _NONE)      # none spans two texts
-            hits = defaultdict(dict)
-            for t, i in self.candidates(shingles):
-                size = len(self.sets[t])
-                window = shingles[i:i + size]
-                share = np.isin(self.sets[t], window).sum() / size
-                if share >= CONTAINED:
-                    hits[int(doc[i])].setdefault(t, []).append((i, share))
-            for d in sorted(hits):
-                base, out = int(offsets[d]), []
-                text_end = int(offsets[d + 1])
-                for t, places in hits[d].items():
-                    size, last = len(self.sets[t]), -1
-                    for i, share in _best(places, size):
-                        k = i + size + SHINGLE - 2              # last word of the window
+            at, number = self.held(shingle_hashes(words, SHINGLE))
+            inside = doc[at] == doc[at + SHINGLE - 1]       # none spans two texts
+            held = defaultdict(lambda: defaultdict(list))
+            for i, x in zip(at[inside].tolist(), number[inside].tolist()):
+                for t in self.users[x]:
+                    held[int(doc[i])][t].append((i, x))
+            for d in sorted(held):
+                base, text_end, found = int(offsets[d]), int(offsets[d + 1]), defaultdict(list)
+                for t, places in held[d].items():
+                    found[self.names[t]] += _copies(places, self.sizes[t])
+                out = []
+                for name, copies in found.items():
+                    for i, last, share in _apart(copies):
+                        k = last + SHINGLE - 1              # last word of the copy
                         end = int(start[k + 1]) if k + 1 < len(start) and doc[k + 1] == d else text_end
                         while end > start[k] and not LETTERS[data[end - 1]]:
                             end -= 1
                         begin = len(bytes(data[base:int(start[i])]).decode("utf-8", "replace"))
-                        out.append((self.names[t], begin, begin + len(bytes(data[int(start[i]):end]).decode("utf-8", "replace")), float(share)))
-                        last = i
-                yield row + d, sorted(out, key=lambda x: (x[1], x[2], x[0]))
-
-
-def _best(places: list[tuple[int, float]], size: int) -> list[tuple[int, float]]:
-    """The fullest window of each run of windows that overlap (the first of equals)."""
-    out: list[tuple[int, float]] = []
-    reach = None
-    for i, share in sorted(places):
-        if reach is not None and i < reach:
-            if share > out[-1][1]:
-                out[-1] = (i, share)
-        else:
-            out.append((i, share))
-        reach = i + size
+                        out.append((name, begin, begin + len(bytes(data[int(start[i]):end]).decode("utf-8", "replace")), float(share)))
+                if out:
+                    yield row + d, sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def _copies(places: list[tuple[int, int]], size: int) -> list[tuple[int, int, float]]:
+    """(first shingle, last shingle, containment) of the copies of a template of
+    ``size`` shingles in one text, from the places of its shingles in order.
+
+    A copy that holds enough ends before a shingle that it has already or that
+    is more than a template away; until then nothing but what comes again later
+    is dropped from its front, so a text that holds enough in all has a copy."""
+    out, run, count = [], deque(), Counter()
+
+    def close():
+        if len(count) < CONTAINED * size:
+            return
+        run_, count_ = list(run), count.copy()
+        cut = 0
+        for j in range(1, len(run_)):       # strays far before the copy are not part of it if it holds enough alone
+            count_[run_[j - 1][1]] -= 1
+            if run_[j][0] - run_[j - 1][0] > size and sum(c > 0 for c in count_.values()) >= CONTAINED * size:
+                cut = j
+        run_ = run_[cut:]
+        out.append((run_[0][0], run_[-1][0], len({x for _, x in run_}) / size))
+
+    for i, x in places:
+        if len(count) >= CONTAINED * size and (x in count or i - run[-1][0] > size):
+            close()
+            run.clear()
+            count.clear()
+        run.append((i, x))
+        count[x] += 1
+        while count[run[0][1]] > 1:
+            count[run.popleft()[1]] -= 1
+    close()
     return out
 
 
+def _apart(copies: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Of copies of one license that overlap (of several templates) the fullest,
+    of equals the longest and then the first."""
+    out: list[tuple[int, int, float]] = []
+    for c in sorted(copies, key=lambda c: (-c[2], c[0] - c[1], c[0])):
+        if all(c[1] < o[0] or o[1] < c[0] for o in out):
+            out.append(c)
+    return sorted(out)
+
+
 def matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """``doc_id``, ``hits`` (array of license, begin, end, containment) of every
     row.  Null and empty texts have none; repeated rows repeat.  Only columns

@@ -102,7 +102,20 @@ _SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?!(?:an?|the|this|that|my|you
 _SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?{_DIGIT}(?:(?:[\s-]+|\s+dot\s+){_DIGIT})+\b", re.I)
 _PART = re.compile(rf"plus|dot|{_DIGIT}", re.I)
-_HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\sat\s+[a-z0-9-]+(?:\s+dot\s|\.[a-z0-9])|@[a-z0-9.-]+\s+dot\s|\b{_DIGIT}[\s-]+{_DIGIT}[\s-]")
+_SPOKEN_DOMAIN = re.compile(r"@[A-Za-z0-9.-]+(?:\s+dot\s+[A-Za-z0-9-]+)+", re.I)
+# the signs in brackets once more, without the space around them: a text has the one exactly if it has the other
+_BARE_SIGN = re.compile(r"[\[({<]\s*(?:at|@|dot|punkt|\.)\s*[\])}>]", re.I)
+
+
+def _spelled(text: str):
+    """Spelled numbers and addresses of three parts or more."""
+    return (m for m in _SPELLED.finditer(text) if len(_PART.findall(m.group())) >= 3)
+
+
+def _hint(text: str) -> bool:
+    """Whether a transducer would change the text: their own patterns, on the text as it stands."""
+    return (bool(_BARE_SIGN.search(text) or _SPOKEN_AT.search(text) or _SPOKEN_DOMAIN.search(text))
+            or next(_spelled(text), None) is not None)
 
 
 class _Tape:
@@ -147,17 +160,19 @@ def _digits(m: re.Match) -> str:
 def _disguised(text: str) -> list[tuple[int, int, int]]:
     """Identifiers that only show once disguises are undone, as spans of the text."""
     odd = not text.isascii() and _ODD.search(text)
-    if not odd and not _HINT.search(text.lower()):
-        return []
+    return _undone(text, odd) if odd or _hint(text) else []
+
+
+def _undone(text: str, odd) -> list[tuple[int, int, int]]:
+    """Identifiers of the transducers' output that do not stand so in the text."""
     tape = _Tape(text)
     tape.rewrite([(m.start(), m.end(), _letter(m.group())) for m in _ODD.finditer(tape.text)] if odd else [])
-    tape.rewrite([(m.start(), m.end(), _digits(m)) for m in _SPELLED.finditer(tape.text)
-                  if len(_PART.findall(m.group())) >= 3])
+    tape.rewrite([(m.start(), m.end(), _digits(m)) for m in _spelled(tape.text)])
     for pattern, sign in ((_AT_SIGN, "@"), (_DOT_SIGN, "."), (_SPOKEN_AT, "@")):
         tape.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(tape.text)])
     # a spoken dot counts only in a domain, after an @ and whole labels
     dots, reach = [], None
-    for m in re.finditer(r"@[A-Za-z0-9.-]+(?:\s+dot\s+[A-Za-z0-9-]+)+", tape.text, re.I):
+    for m in _SPOKEN_DOMAIN.finditer(tape.text):
         dots += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _SPOKEN_DOT.finditer(m.group())]
     tape.rewrite(dots)
     out = []

@@ -575,6 +575,14 @@ def count_model(spark, sf_dir):
     return _learned(md.evaluate(model, mat))
 
 
+@query("count_model_rows")
+def count_model_rows(spark, sf_dir):
+    """The predicted count of every row on both splits."""
+    _, mat = _count_data(spark, sf_dir)
+    model = md.train_counts(mat.where(F.col("split") == "train"), md.COUNT_FEATURES)
+    return md.predict(model, mat).select("split", "customer_id", "product_id", "ds", "label", "prediction")
+
+
 _REV_FEATURES = ["order_year", "order_month", "order_day", "order_day_of_week", "quarter", "is_month_start",
                  "is_month_end", "is_weekend", "revenue_lag_1", "revenue_lag_7", "revenue_rolling_mean_7_past",
                  "revenue_rolling_std_7_past", "qty_lag_1", "qty_rolling_mean_7_past"]
@@ -601,6 +609,13 @@ def revenue_model(spark, sf_dir):
     return _learned(md.evaluate(model, mat))
 
 
+@query("revenue_model_rows")
+def revenue_model_rows(spark, sf_dir):
+    """The predicted revenue of every row on both splits."""
+    model, mat = _revenue_model(spark, sf_dir)
+    return md.predict(model, mat).select("split", "customer_id", "product_id", "ds", "label", "prediction")
+
+
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
     model, _ = _revenue_model(spark, sf_dir)
@@ -611,9 +626,7 @@ _SCORE_FEATURES = ["order_month", "order_day_of_week", "is_weekend", "lag_1", "l
                    "rolling_mean_7", "rolling_mean_14", "rolling_std_7", "rolling_trend_7"]
 
 
-@query("score_range", with_views(f"WITH {_GRID} SELECT {KEYS}, ds, true AS not_negative FROM g", "daily_series"))
-def score_range(spark, sf_dir):
-    """Every recent series on every day of the range, and that it has a count."""
+def _score_range(spark, sf_dir):
     d = fx.daily_series(spark, sf_dir)
     x = md.split_chronological(d)
     train = fe.series_lags(fe.rolling_multi(x.where(F.col("split") == "train")))
@@ -622,5 +635,17 @@ def score_range(spark, sf_dir):
     mat = md.feature_matrix(train, _SCORE_FEATURES, keep=["customer_id", "product_id", "ds"])
     model = md.train_counts(mat, _SCORE_FEATURES)
     last = d.agg(F.max("ds")).scalar()
-    out = md.score_range(model, d, F.date_add(last, 1), F.date_add(last, 14), _SCORE_FEATURES)
+    return md.score_range(model, d, F.date_add(last, 1), F.date_add(last, 14), _SCORE_FEATURES)
+
+
+@query("score_range", with_views(f"WITH {_GRID} SELECT {KEYS}, ds, true AS not_negative FROM g", "daily_series"))
+def score_range(spark, sf_dir):
+    """Every recent series on every day of the range, and that it has a count."""
+    out = _score_range(spark, sf_dir)
     return out.select("customer_id", "product_id", "ds", (F.col("pred_order_qty") >= 0).alias("not_negative"))
+
+
+@query("score_range_rows")
+def score_range_rows(spark, sf_dir):
+    """The predicted count of every recent series on every day of the range."""
+    return _score_range(spark, sf_dir)

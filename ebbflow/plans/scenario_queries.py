@@ -173,6 +173,15 @@ def scenario_model(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction") >= 0).alias("predicted"))
 
 
+@query("scenario_model_rows")
+def scenario_model_rows(spark, sf_dir):
+    """The prediction of every row of every scenario on both sides of the split."""
+    _, frame = _scenario_frame(spark, sf_dir)
+    model, x = sc.train_scenario(frame)
+    return md.predict(model, x, clip=True).select(
+        "split", "scenario_id", "customer_id", "product_id", "ds", "label", "prediction")
+
+
 @query("scenario_model_forecast", with_views(f"""
 WITH {_values_sql()}, s AS (SELECT {KEYS}, max(ds) AS last_date FROM daily_series GROUP BY ALL)
 SELECT scn.scenario_id, {KEYS}, cast(unnest(generate_series(last_date + 1, last_date + 14, INTERVAL 1 DAY)) AS DATE) AS ds,
@@ -186,6 +195,14 @@ def scenario_model_forecast(spark, sf_dir):
                       F.col("forecast").between(F.col("lower"), F.col("upper")).alias("in_band"))
 
 
+@query("scenario_model_forecast_rows")
+def scenario_model_forecast_rows(spark, sf_dir):
+    """Forecast and band of every scenario and series on each of the next 14 days."""
+    d, frame = _scenario_frame(spark, sf_dir)
+    model, _ = sc.train_scenario(frame)
+    return sc.score_scenario(model, d, SCENARIOS, ["customer_id", "product_id"], days=14)
+
+
 # ------------------------------------------------------------------ J
 
 _J01 = f"""

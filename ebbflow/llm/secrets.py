@@ -1,9 +1,10 @@
 """Secret scan: wide candidates, a random forest takes out false positives.
 
-Candidates are long runs of key characters.  The forest sees their length,
+Candidates are long runs of key characters, and values of any characters that
+are assigned to a credential's name.  The forest sees their length,
 character classes and changes between them, how much of them dictionary words
 cover, whether they are part of a path or address, and the words beside them.
-It is trained from labelled findings.
+It is trained from labelled findings (those of ``findings.py`` unless others are given).
 """
 
 from __future__ import annotations
@@ -12,22 +13,28 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import settled
+from .findings import WORDS, findings as shipped
 
-#: Shortest candidate, and how much text on either side is looked at.
-LEAST, BEFORE, AFTER = 16, 40, 16
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}"
-#: Words of the dictionary (most frequent of the corpus) and labelled findings of either kind, at most.
-DICTIONARY, SAMPLE = 200, 10_000
-FEATURES = ("length", "digits", "uppers", "signs", "variety", "changes", "digit_letter", "letter_digit", "case_changes",
-            "hexadecimal", "coverage", "in_path", "in_address", "cue", "assigned", "quoted", "word_before")
 #: Words before a credential (fixed values).
 CUES = "api|auth|bearer|credential|key|passwd|password|pwd|secret|token"
-#: Known forms of credentials, (before, candidate) patterns (fixed values); they label findings.
+#: Shortest candidate, shortest value of a credential's name, and how much text on either side is looked at.
+LEAST, LEAST_VALUE, BEFORE, AFTER = 16, 8, 40, 16
+#: A value after a cue and = or :; the shorter look-behinds are there to be cheap.
+VALUE = (rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{CUES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)"
+         rf"[^\s\"']{{{LEAST_VALUE - 1},}}[^\s\"',;.)]")
+CANDIDATE = rf"{VALUE}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}"
+#: Words of at least this share of the corpus' words are its vocabulary (so 1 / SHARE at most).
+SHARE = 1e-5
+#: Letters of a word in a candidate: shorter ones turn up in any random run.
+WORD = (4, 12)
+FEATURES = ("length", "digits", "uppers", "signs", "variety", "changes", "digit_letter", "letter_digit", "case_changes",
+            "hexadecimal", "coverage", "in_path", "in_address", "cue", "assigned", "quoted", "word_before")
+#: Known forms of credentials, (before, candidate) patterns (fixed values); they count where findings hold one label only.
 FORMS = ((r"", r"AKIA[0-9A-Z]{16}"), (r"", r"gh[pousr]_[A-Za-z0-9]{36}"), (r"", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
          (r"(?i)(?:token|secret|api_?key)\s*[=:]\s*[\"']$", r"[0-9a-f]{32,64}"),
          (r"(?i)(?:password|passwd|pwd)\s*[=:]\s*[\"']?$", r"(?=.*[0-9])[A-Za-z0-9+/_-]{16,}"))
@@ -51,32 +58,51 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.withColumn("end", end).select("doc_id", (F.col("end") - F.length("candidate")).alias("begin"), "end", "candidate", "before", "after")
 
 
-def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of three letters or more over all rows."""
-    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![a-z0-9])[a-z]{3,12}(?![a-z0-9])"), F.lit(0)))
-    top = docs.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(size)
-    return [r["w"] for r in top.collect()]
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """``word``: the words with a share of SHARE or more of all rows' words,
+    and those that the shipped findings are made of."""
+    lo, hi = WORD
+    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?<![a-z0-9])[a-z]+(?![a-z0-9])"), F.lit(0)))
+    counts = settled(docs.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") >= max(2, SHARE * total)).where(F.length("word").between(lo, hi)).select("word")
+    return settled(often.unionAll(docs.sparkSession.createDataFrame([(w,) for w in WORDS], "word string")).distinct())
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``candidate``, ``coverage``: the share of each distinct candidate's
+    characters that lie in one of ``words``, wherever in it they begin."""
+    lo, hi = WORD
+    one = found.select("candidate").distinct()
+    low = F.lower("candidate")
+    places = one.select("candidate", low.alias("low"), F.explode(F.sequence(F.lit(1), F.length("candidate"))).alias("at")).where(
+        F.substr("low", F.col("at"), F.lit(lo)).rlike(f"^[a-z]{{{lo}}}$"))
+    parts = places.select("candidate", "at", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("n"), "low").where(
+        F.col("at") + F.col("n") - 1 <= F.length("candidate")).select("candidate", "at", "n", F.substr("low", F.col("at"), F.col("n")).alias("word"))
+    reach = parts.join(F.broadcast(words), "word").groupBy("candidate", "at").agg(F.max(F.col("at") + F.col("n")).alias("end"))
+    before = F.coalesce(F.max("end").over(W.partitionBy("candidate").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(1))
+    new = F.greatest(F.col("end") - F.greatest("at", before), F.lit(0))
+    return (reach.select("candidate", new.alias("new")).groupBy("candidate")
+            .agg((F.sum("new") / F.length("candidate")).alias("coverage")))
 
 
 def _share(c: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(c, pattern, "")) / F.length(c)
 
 
-def features(found: DataFrame, words: list[str]) -> DataFrame:
+def features(found: DataFrame, words: DataFrame) -> DataFrame:
     """``found`` with the columns of FEATURES."""
     c, before, after = F.col("candidate"), F.col("before"), F.coalesce("after", F.lit(""))
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[+/_=-]", "_"), "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
     n = F.length(c) - 1
     runs = F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) - 1
-    covered = (1 - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(words, key=lambda w: (-len(w), w))), "")) / F.length(c)
-               if words else F.lit(0.0))
     pairs = lambda p: F.regexp_count(kinds, F.lit(p)) / n
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
-    return found.withColumns({
+    return found.join(covered(found, words), "candidate", "left").withColumns({
         "length": F.length(c).cast("double"), "digits": _share(c, "[^0-9]"), "uppers": _share(c, "[^A-Z]"), "signs": _share(c, "[A-Za-z0-9]"),
         "variety": F.size(F.array_distinct(F.split(c, ""))) / F.length(c), "changes": runs / n,
         "digit_letter": pairs("9(?=[aA])"), "letter_digit": pairs("[aA](?=9)"), "case_changes": pairs("a(?=A)|A(?=a)"),
-        "hexadecimal": _share(c, "[^0-9a-fA-F]"), "coverage": covered, "in_path": flag(c.contains("/") | before.rlike("[/\\\\]$") | after.startswith("/")),
+        "hexadecimal": _share(c, "[^0-9a-fA-F]"), "coverage": F.coalesce("coverage", F.lit(0.0)), "in_path": flag(c.contains("/") | before.rlike("[/\\\\]$") | after.startswith("/")),
         "in_address": flag(before.rlike("[@.]$") | after.rlike("^[@.][A-Za-z0-9]")), "cue": flag(before.rlike(rf"(?i)(?:{CUES})[\"']?\s*[=:]?\s*[\"']?$")),
         "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")), "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         "word_before": flag(before.rlike(r"[A-Za-z]{2,}[,.]?\s$"))})
@@ -91,13 +117,9 @@ def known_form(candidate: Column, before: Column) -> Column:
     return out
 
 
-def labelled(found: DataFrame, per_label: int = SAMPLE) -> DataFrame:
-    """Up to ``per_label`` findings with label 1 (a known form) and 0 each, in
-    the order of a hash; for use where no reviewed findings are at hand."""
-    marked = found.withColumn("label", known_form(F.col("candidate"), F.col("before")).cast("double"))
-    order = [F.xxhash64("candidate", "before"), "doc_id", "begin"]
-    return (marked.where("label = 1").orderBy(*order).limit(per_label)
-            .unionAll(marked.where("label = 0").orderBy(*order).limit(per_label)))
+def labelled(spark: SparkSession) -> DataFrame:
+    """The shipped findings: candidate, before, after, label."""
+    return spark.createDataFrame(shipped(), "candidate string, before string, after string, label double")
 
 
 def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> PipelineModel | None:
@@ -117,11 +139,11 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5)
     that the forest scores ``least`` or more.
 
     ``findings`` are labelled ones (candidate, before, after, label); without
-    them a bounded sample of the corpus' own, labelled by known forms.  If they
-    hold one label only, all candidates of a known form stay with score 1.
+    them the shipped ones.  If they hold one label only, all candidates of a known form stay with score 1.
     Null and empty texts have no candidates; only doc_id and text are read."""
-    found = settled(features(candidates(docs), dictionary(docs)))
-    known = settled(labelled(found)) if findings is None else features(findings, dictionary(docs))
+    words = vocabulary(docs)
+    found = settled(features(settled(candidates(docs)), words))
+    known = settled(features(labelled(docs.sparkSession) if findings is None else findings, words))
     model = train(known)
     if model is None:
         kept = found.where(known_form(F.col("candidate"), F.col("before"))).withColumn("score", F.lit(1.0))

@@ -15,7 +15,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,12 +48,12 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id``, ``fp`` (signed long) of every row; a null text is empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *more: Column) -> DataFrame:
+    """``doc_id``, ``fp`` (signed long) and ``more`` of every row; a null text is empty."""
     @F.pandas_udf(T.LongType())
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
-    return docs.select("doc_id", fp(F.col("text")).alias("fp"))
+    return docs.select("doc_id", fp(F.col("text")).alias("fp"), *more)
 
 
 def _masks(segments: int) -> list[int]:
@@ -123,6 +123,13 @@ def near_links(fps: DataFrame, max_bits: int = 2, segments: int = 5, dense: int
     return pairs.unionAll(stars).distinct()
 
 
+def _roots(fps: DataFrame, max_bits: int, segments: int, dense: int) -> DataFrame:
+    """``fp``, ``root`` (least fingerprint of its component), ``least`` (doc_id)."""
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(near_links(fps, max_bits, segments, dense)).withColumnRenamed("node", "fp")
+    return settled(least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int = 5,
                     dense: int = 64) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` per row:
@@ -133,9 +140,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segmen
     component's id unless it has no other.  An empty table gives no rows.
     Only columns doc_id and text are read, so others may have any name."""
     fps = settled(fingerprints(docs, shingle))
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(fps, max_bits, segments, dense)).withColumnRenamed("node", "fp")
-    named = settled(least.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    named = _roots(fps, max_bits, segments, dense)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(
@@ -143,17 +148,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segmen
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, segments: int = 5) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the smallest
-    doc_id.  Of rows that repeat both its id and its text one stays (the first
-    by the other columns).  Rows without an id stay unless their group has an
-    id or they repeat each other."""
-    groups = near_duplicates(docs, shingle, max_bits, segments)
-    keep = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(key_of(F.col("doc_id")).alias("_keep")).distinct())
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id,
+    of its texts the one with the least hash, and of rows that repeat both the
+    first by the other columns.  Rows without an id come after all others of
+    their group."""
+    fps = settled(fingerprints(docs, shingle, F.xxhash64("text").alias("_mark")))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), key_of(F.col("doc_id")).alias("key"), F.col("_mark").alias("mark"))
+    by_fp = fps.groupBy("fp").agg(F.min(rank).alias("first"))       # of each fingerprint, then of each group
+    keep = (by_fp.join(_roots(fps, max_bits, segments, 64).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+            .select(F.col("first.key").alias("_keep"), F.col("first.mark").alias("_mark")))
     cols = [docs[c] for c in docs.columns]
     key = key_of(docs["doc_id"])
     rows = docs.select(key.alias("_key"), F.xxhash64(docs["text"]).alias("_text"),
                        F.struct(*cols).alias("_row"), F.struct(*[docs[c] for c in orderable(docs, ["text"])]).alias("_order"))
     first = W.partitionBy("_key", "_text").orderBy("_order")
-    return (rows.join(keep, F.col("_key") == F.col("_keep"), "left_semi")
+    return (rows.join(keep, (F.col("_key") == F.col("_keep")) & (F.col("_text") == F.col("_mark")), "left_semi")
             .withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select("_row.*"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lm, minhash, mixing, pii, quality, secrets, simhash, urls
+from . import decontaminate, licenses, lm, minhash, mixing, pii, quality, repeats, secrets, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"), repeats.planted)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_lm_scores, op2_simhash_near_duplicates, op3_benchmark_decontamination, op4_mix_sources, op5_quality_classifier, op6_secret_scan,
-    op7_minhash_fingerprints, op8_url_filter, op9_license_scan, op10_personal_data)}
+    op7_minhash_fingerprints, op8_url_filter, op9_license_scan, op10_personal_data, op12_periodic_runs)}
 
 SQL: dict[str, str] = {"op1_lm_scores": lm.LM_SQL, "op4_mix_sources": mixing.MIX_SQL, "op8_url_filter": urls.URL_SQL}

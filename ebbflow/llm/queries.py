@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, minhash, mixing, pii, quality, repeats, secrets, simhash, urls
+from . import decontaminate, licenses, lm, minhash, mixing, negatives, pii, quality, repeats, secrets, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +61,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"), repeats.planted)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), lambda vec_id: vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_lm_scores, op2_simhash_near_duplicates, op3_benchmark_decontamination, op4_mix_sources, op5_quality_classifier, op6_secret_scan,
-    op7_minhash_fingerprints, op8_url_filter, op9_license_scan, op10_personal_data, op12_periodic_runs)}
+    op7_minhash_fingerprints, op8_url_filter, op9_license_scan, op10_personal_data, op12_periodic_runs, op13_hard_negatives)}
 
-SQL: dict[str, str] = {"op1_lm_scores": lm.LM_SQL, "op4_mix_sources": mixing.MIX_SQL, "op8_url_filter": urls.URL_SQL}
+SQL: dict[str, str] = {"op1_lm_scores": lm.LM_SQL, "op4_mix_sources": mixing.MIX_SQL, "op8_url_filter": urls.URL_SQL,
+                       "op13_hard_negatives": negatives.NEGATIVES_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, minhash, mixing, negatives, pii, quality, repeats, secrets, simhash, urls
+from . import decontaminate, licenses, lm, main_text, minhash, mixing, negatives, pii, quality, repeats, secrets, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"), repeats.planted)
 
@@ -69,7 +73,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_lm_scores, op2_simhash_near_duplicates, op3_benchmark_decontamination, op4_mix_sources, op5_quality_classifier, op6_secret_scan,
-    op7_minhash_fingerprints, op8_url_filter, op9_license_scan, op10_personal_data, op12_periodic_runs, op13_hard_negatives)}
+    op7_minhash_fingerprints, op8_url_filter, op9_license_scan, op10_personal_data,
+    op11_main_text, op12_periodic_runs, op13_hard_negatives)}
 
 SQL: dict[str, str] = {"op1_lm_scores": lm.LM_SQL, "op4_mix_sources": mixing.MIX_SQL, "op8_url_filter": urls.URL_SQL,
                        "op13_hard_negatives": negatives.NEGATIVES_SQL}

@@ -14,11 +14,8 @@ equi-joins after a rewrite:
 
 from __future__ import annotations
 
-import difflib
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import canon_id, norm_text
 from . import clean
+from .similar import budget_of, matching_ratio, similar_pairs
 
 EPOCH = "1970-01-01"
 
@@ -55,124 +53,22 @@ def crosswalk_unmatched(left: DataFrame, exact: DataFrame, left_col: str = "left
     return a.join(hit, "canon_orders_pid", "left_anti")
 
 
-def _min_shared_grams(length: int, ratio: float, q: int) -> int:
-    """Lower bound on shared positional q-grams of a string of this length
-    with any partner whose SequenceMatcher ratio can reach ``ratio``.
-
-    ratio = 2M/T with M matched characters forming a common subsequence, so
-    the indel distance d <= (1 - ratio) * T; each edit destroys at most q
-    q-grams (count filter): shared >= max(La, Lb) - q + 1 - q * d.  Partners
-    are limited by the length filter min/max >= ratio / (2 - ratio)."""
-    lo = ratio / (2 - ratio)
-    best = None
-    lb_min = max(1, int(length * lo) - 1)
-    lb_max = int(length / lo) + 2
-    for lb in range(lb_min, lb_max + 1):
-        if min(length, lb) / max(length, lb) < lo:
-            continue
-        d = int((1 - ratio) * (length + lb) + 1e-9)
-        bound = max(length, lb) - q + 1 - q * d
-        best = bound if best is None else min(best, bound)
-    return 0 if best is None else best
-
-
-def _shared_grams(length, ratio: float, q: int):
-    """``_min_shared_grams`` as an expression for any length (a little lower):
-    the bound falls by 2 q (1 - ratio) a character up to the same length, and
-    by q (1 - ratio) - 1, where that is more than nothing, beyond it."""
-    lo = ratio / (2 - ratio)
-    beyond = max(0.0, q * (1 - ratio) - 1) * (1 / lo - 1)
-    return F.floor(length * (1 - 2 * q * (1 - ratio) - beyond) - (q - 1) - 2 * beyond - 1e-6)
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib ratio of two string columns, Arrow-batched (the one Python
-    function of the engine: no SQL equivalent)."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
-                     dtype="float64")
-
-
-def _grams(df: DataFrame, id_col: str, q: int) -> DataFrame:
-    """Positional-multiset q-grams: (id, gram#occurrence)."""
-    n = F.length(id_col)
-    starts = F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1)))
-    g = (df.where(n >= q)
-           .select(id_col, F.explode(starts).alias("_s"))
-           .select(id_col, F.substring(F.col(id_col), F.col("_s"), q).alias("_g"), "_s"))
-    occ = F.row_number().over(W.partitionBy(id_col, "_g").orderBy("_s"))
-    return (g.withColumn("_o", occ)
-             .select(id_col, F.concat(F.col("_g"), F.lit("#"), F.col("_o").cast("string")).alias("gram")))
-
-
-def fuzzy_candidates(left_ids: DataFrame, right_ids: DataFrame, min_ratio: float = 0.92,
-                     q: int = 3) -> DataFrame:
-    """Exact candidate pairs for ratio >= min_ratio by q-gram prefix filtering.
-
-    Every pair that can reach the ratio shares at least t(L) positional
-    q-grams (``_min_shared_grams``).  With grams ordered globally from rare to
-    frequent, two sets sharing >= t grams must share one of their first
-    |G| - t + 1 grams, so each id only emits that prefix.  An id for which no
-    shared gram is certain (very short, or a low ratio) is compared with all
-    ids of its length bands.  Candidates further apart than the ratio allows
-    are cut by Spark's bounded ``levenshtein``, which never exceeds the
-    insert/delete distance, before any Python runs.
-
-    On ids of one template (a long common part and a short number) the grams
-    that stay are shared by many ids, so candidates grow with the square of
-    the ids that differ in few characters; only the exact cut is cheap there."""
-    a = left_ids.select(F.col("canon_orders_pid").alias("_id")).distinct()
-    b = right_ids.select(F.col("canon_inv_pid").alias("_id")).distinct()
-    ga = _grams(a, "_id", q)
-    gb = _grams(b, "_id", q)
-    freq = ga.unionByName(gb).groupBy("gram").agg(F.count(F.lit(1)).alias("_f"))
-    # t(L) table for usual lengths, as a Spark map literal; the formula beyond
-    max_len = 256
-    table = F.create_map(*[x for L in range(1, max_len + 1)
-                           for x in (F.lit(L), F.lit(_min_shared_grams(L, min_ratio, q)))])
-
-    def certain(c):     # grams shared for certain with any partner
-        n = F.length(c)
-        return F.when(n <= max_len, F.element_at(table, n)).otherwise(_shared_grams(n, min_ratio, q)).cast("int")
-
-    def prefix(g: DataFrame) -> DataFrame:
-        x = g.join(freq, "gram")
-        rank = F.row_number().over(W.partitionBy("_id").orderBy("_f", "gram"))
-        n_grams = F.length("_id") - q + 1
-        keep = n_grams - F.greatest(certain("_id"), F.lit(1)) + 1
-        return x.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("_id", "gram")
-
-    lo = min_ratio / (2 - min_ratio)
-    # length bands of width -ln(lo) in log space: lengths that can pair
-    # (min/max >= lo) lie in the same or a neighbouring band, so the left side
-    # is copied into its three bands and blocks are (gram, band), not gram
-    width = -math.log(lo) * (1 + 1e-9)        # margin: float error cannot skip a band
-    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.lit(width)).cast("int")
-    pa = (prefix(ga).withColumnRenamed("_id", "canon_orders_pid")
-                    .withColumn("_b", F.explode(F.array(*[band("canon_orders_pid") + d for d in (-1, 0, 1)]))))
-    pb = prefix(gb).withColumnRenamed("_id", "canon_inv_pid").withColumn("_b", band("canon_inv_pid"))
-    la, lb = F.length("canon_orders_pid"), F.length("canon_inv_pid")
-    pairs = pa.join(pb, ["gram", "_b"]).select("canon_orders_pid", "canon_inv_pid").distinct()
-    # ids without a certain shared gram (on either side) meet the other side's bands as a whole
-    full_a = (a.where(F.length("_id") > 0).withColumnRenamed("_id", "canon_orders_pid")
-               .withColumn("_b", F.explode(F.array(*[band("canon_orders_pid") + d for d in (-1, 0, 1)]))))
-    full_b = b.where(F.length("_id") > 0).withColumnRenamed("_id", "canon_inv_pid").withColumn("_b", band("canon_inv_pid"))
-    loose = (full_a.where(certain("canon_orders_pid") < 1).join(full_b, "_b").select("canon_orders_pid", "canon_inv_pid")
-             .unionByName(full_a.join(full_b.where(certain("canon_inv_pid") < 1), "_b").select("canon_orders_pid", "canon_inv_pid")))
-    most = F.floor((1 - min_ratio) * (la + lb) + 1e-9).cast("int")       # inserts and deletes that the ratio allows
-    return (pairs.unionByName(loose).distinct().where(F.least(la, lb) >= F.greatest(la, lb) * lo)
-            .where(F.levenshtein("canon_orders_pid", "canon_inv_pid") <= most))
+def fuzzy_candidates(left_ids: DataFrame, right_ids: DataFrame, min_ratio: float = 0.92) -> DataFrame:
+    """Pairs of canonical ids that may reach the ratio, none lost (see ``similar``)."""
+    return similar_pairs(left_ids, right_ids, "canon_orders_pid", "canon_inv_pid", min_ratio)
 
 
 def crosswalk_fuzzy(unmatched: DataFrame, right: DataFrame, right_col: str = "right_id",
                     min_ratio: float = 0.92) -> DataFrame:
-    """Best right id per unmatched left id with ratio >= min_ratio
-    (ties: smallest right canonical id)."""
+    """Best right id per unmatched left id with matching-block ratio >=
+    min_ratio (ties: smallest right canonical id).  The ratio is that of whole
+    strings: frequent characters of ids of 200 and more are not set aside."""
     b = right.select(F.col(right_col).alias("inv_product_id_raw")).where(
         F.col("inv_product_id_raw").isNotNull()).distinct() \
         .withColumn("canon_inv_pid", canon_id("inv_product_id_raw"))
     cands = fuzzy_candidates(unmatched, b, min_ratio)
-    scored = (cands.withColumn("score", sequence_ratio("canon_orders_pid", "canon_inv_pid"))
+    a, c = F.col("canon_orders_pid"), F.col("canon_inv_pid")
+    scored = (cands.withColumn("score", matching_ratio(a, c, budget_of(F.length(a), F.length(c), min_ratio)))
                    .where(F.col("score") >= min_ratio))
     w = W.partitionBy("canon_orders_pid").orderBy(F.desc("score"), "canon_inv_pid")
     best = scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
@@ -201,12 +97,42 @@ def build_crosswalk(left: DataFrame, right: DataFrame, left_col: str = "left_id"
     return crosswalk_best(exact.unionByName(fuzzy, allowMissingColumns=True))
 
 
-def apply_crosswalk(df: DataFrame, cw: DataFrame, col: str = "product_id") -> DataFrame:
+def _mapping(cw: DataFrame, left: str, right: str, form) -> DataFrame:
+    """One row (_k, _v) per left value in the given form; of several targets the smallest."""
+    return (cw.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+              .groupBy(form(left).alias("_k")).agg(F.min(form(right)).alias("_v")))
+
+
+def _mapped(df: DataFrame, col: str, mapping: DataFrame, form) -> DataFrame:
+    return (df.withColumn("_k", form(col)).join(mapping, "_k", "left")
+              .withColumn(col, F.coalesce(F.col("_v"), F.col("_k"))).drop("_k", "_v"))
+
+
+def apply_crosswalk(df: DataFrame, cw: DataFrame, col: str = "product_id",
+                    left_col: str = "canon_orders_pid", right_col: str = "canon_inv_pid") -> DataFrame:
     """Canonicalise ``col`` and replace it by its mapped id when mapped."""
-    m = cw.select(F.col("canon_orders_pid").alias("_k"), F.col("canon_inv_pid").alias("_v")).distinct()
-    x = df.withColumn("_k", canon_id(col))
-    return (x.join(m, "_k", "left")
-             .withColumn(col, F.coalesce(F.col("_v"), F.col("_k"))).drop("_k", "_v"))
+    return _mapped(df, col, _mapping(cw, left_col, right_col, canon_id), canon_id)
+
+
+def apply_city_crosswalk(df: DataFrame, cw: DataFrame, col: str = "city",
+                         left_col: str = "orders_city", right_col: str = "inv_city") -> DataFrame:
+    """D05, cities: lower case and trimmed, replaced by the mapped city when mapped."""
+    return _mapped(df, col, _mapping(cw, left_col, right_col, norm_text), norm_text)
+
+
+def align_sides(left: DataFrame, right: DataFrame, cw: DataFrame, product: str = "product_id", city: str = "city",
+                products: tuple[str, str] = ("canon_orders_pid", "canon_inv_pid"),
+                cities: tuple[str, str] = ("orders_city", "inv_city")) -> tuple[DataFrame, DataFrame]:
+    """D05 on both sides of a join: the left side's ids (and cities, if the
+    crosswalk and both sides have them) are mapped into the right side's, and
+    both sides are brought into the same form."""
+    if set(products) <= set(cw.columns):
+        left = apply_crosswalk(left, cw, product, *products)
+        right = right.withColumn(product, canon_id(product))
+    if set(cities) <= set(cw.columns) and city in left.columns and city in right.columns:
+        left = apply_city_crosswalk(left, cw, city, *cities)
+        right = right.withColumn(city, norm_text(city))
+    return left, right
 
 
 # ------------------------------------------------------------------ as-of

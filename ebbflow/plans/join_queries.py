@@ -8,6 +8,7 @@ from ..functions.columns import r6
 from ..operators import features as fe
 from ..operators import joins as jn
 from ..sources import fixtures as fx
+from ..sources.tables import read_table
 from . import query
 from .oracle_views import r, with_views
 
@@ -41,25 +42,76 @@ def crosswalk_unmatched(spark, sf_dir):
     return jn.crosswalk_unmatched(left, exact)
 
 
-@query("crosswalk_fuzzy")
+#: Longest common substring of x and y as length * 10000 + (9999 - place in x): the longest, of equals the first.
+_BLOCK = """list_max([len([n for n in range(1, length(x) - i + 2) if contains(y, substr(x, i, n))]) * 10000 + (9999 - i)
+                   for i in range(1, length(x) + 1)])"""
+_FUZZY = f"""{_XW},
+rest AS (SELECT * FROM a WHERE canon_orders_pid NOT IN (SELECT canon_orders_pid FROM ex)),
+part AS (
+  SELECT p, q, p AS x, q AS y, {_BLOCK} AS m
+  FROM (SELECT DISTINCT canon_orders_pid AS p, canon_orders_pid AS x FROM rest WHERE canon_orders_pid <> '') l
+  JOIN (SELECT DISTINCT canon_inv_pid AS q, canon_inv_pid AS y FROM b WHERE canon_inv_pid <> '') r
+    ON 100 * 2 * least(length(p), length(q)) >= 92 * (length(p) + length(q))
+  UNION ALL
+  SELECT p, q, x, y, {_BLOCK} AS m
+  FROM (SELECT p, q, CASE side WHEN 0 THEN substr(x, 1, i - 1) ELSE substr(x, i + n) END AS x,
+               CASE side WHEN 0 THEN substr(y, 1, j - 1) ELSE substr(y, j + n) END AS y
+        FROM (SELECT p, q, x, y, i, n, strpos(y, substr(x, i, n)) AS j, unnest([0, 1]) AS side
+              FROM (SELECT p, q, x, y, 9999 - m % 10000 AS i, m // 10000 AS n FROM part WHERE m >= 10000) u) v) w
+  WHERE length(x) > 0 AND length(y) > 0
+),
+scored AS (SELECT p, q, CAST(2 * sum(m // 10000) AS DOUBLE) / (length(p) + length(q)) AS score FROM part GROUP BY p, q),
+top AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, q) AS n FROM scored WHERE score >= 0.92),
+fz AS (
+  SELECT rest.orders_product_id_raw, top.p AS canon_orders_pid, inv_product_id_raw, top.q AS canon_inv_pid, 'fuzzy_92' AS method, score
+  FROM rest JOIN top ON rest.canon_orders_pid = top.p AND top.n = 1
+  JOIN (SELECT canon_inv_pid, min(inv_product_id_raw) AS inv_product_id_raw FROM b GROUP BY 1) c ON c.canon_inv_pid = top.q
+)"""
+_BEST = f"""{_FUZZY},
+best AS (
+  SELECT orders_product_id_raw, inv_product_id_raw, canon_orders_pid, canon_inv_pid, method, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY canon_orders_pid ORDER BY score DESC, orders_product_id_raw, inv_product_id_raw) AS n
+    FROM (SELECT orders_product_id_raw, canon_orders_pid, inv_product_id_raw, canon_inv_pid, method, CAST(score AS DOUBLE) AS score FROM ex
+          UNION ALL SELECT orders_product_id_raw, canon_orders_pid, inv_product_id_raw, canon_inv_pid, method, score FROM fz) u) v
+  WHERE n = 1
+)"""
+
+
+@query("crosswalk_fuzzy", with_views(f"WITH RECURSIVE {_FUZZY} SELECT * FROM fz", "ids_left", "ids_right"))
 def crosswalk_fuzzy(spark, sf_dir):
     left, right = fx.ids_left(spark, sf_dir), fx.ids_right(spark, sf_dir)
     rest = jn.crosswalk_unmatched(left, jn.crosswalk_exact(left, right))
     return jn.crosswalk_fuzzy(rest, right)
 
 
-@query("crosswalk_best")
+@query("crosswalk_best", with_views(f"WITH RECURSIVE {_BEST} SELECT * FROM best", "ids_left", "ids_right"))
 def crosswalk_best(spark, sf_dir):
     return jn.build_crosswalk(fx.ids_left(spark, sf_dir), fx.ids_right(spark, sf_dir))
 
 
-@query("apply_crosswalk")
+@query("apply_crosswalk", with_views(f"""
+WITH RECURSIVE {_BEST}
+SELECT left_id, coalesce(canon_inv_pid, {_canon('left_id')}) AS product_id
+FROM ids_left LEFT JOIN best ON best.canon_orders_pid = {_canon('left_id')}""", "ids_left", "ids_right"))
 def apply_crosswalk(spark, sf_dir):
     cw = jn.build_crosswalk(fx.ids_left(spark, sf_dir), fx.ids_right(spark, sf_dir))
     left = fx.ids_left(spark, sf_dir).withColumn("product_id", F.col("left_id"))
     return jn.apply_crosswalk(left, cw, "product_id")
 
 
+@query("apply_city_crosswalk", """
+WITH cw AS (SELECT ' ' || n_name AS orders_city, 'Store ' || n_regionkey || '-' || n_name AS inv_city FROM nation WHERE n_nationkey % 3 <> 0)
+SELECT c_custkey, coalesce(lower(trim(inv_city)), lower(trim(n_name))) AS city
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN cw ON lower(trim(orders_city)) = lower(trim(n_name))""")
+def apply_city_crosswalk(spark, sf_dir):
+    nation = read_table(spark, sf_dir, "nation")
+    cw = nation.where("n_nationkey % 3 <> 0").select(
+        F.concat(F.lit(" "), "n_name").alias("orders_city"), F.concat(F.lit("Store "), "n_regionkey", F.lit("-"), "n_name").alias("inv_city"))
+    cities = (read_table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+              .select("c_custkey", F.concat("n_name", F.lit(" ")).alias("city")))
+    return jn.apply_city_crosswalk(cities, cw)
+
+
 # ---- as-of joins: daily series (product, nation) to monthly inventory (product, nation)
 
 def _inv(spark, sf_dir):

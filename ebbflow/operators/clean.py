@@ -28,6 +28,13 @@ def scalars(one_row: DataFrame) -> dict[str, Column]:
     return {c: s.getField(c) for c in one_row.columns}
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row table (broadcast: one row by
+    construction).  Unlike a scalar subquery, which is copied to every place
+    that uses it, the row is computed once."""
+    return df.crossJoin(F.broadcast(one_row))
+
+
 def impute_ids(df: DataFrame, order_id: str = "order_id", product_id: str = "sku_id",
                content: Sequence[str] | None = None) -> DataFrame:
     """Missing-like ids replaced by ids derived from the row content
@@ -46,9 +53,9 @@ def impute_ids(df: DataFrame, order_id: str = "order_id", product_id: str = "sku
 def impute_median_date(df: DataFrame, ds: str = "order_date") -> DataFrame:
     """Null dates take the median date (midpoint of the two middle days
     rounded down to a day)."""
-    med = quantiles(df, {"m": F.unix_date(F.col(ds).cast("date"))}, [0.5]).select(F.col("m")[0]).scalar()
-    fill = F.date_from_unix_date(F.floor(med).cast("int"))
-    return df.withColumn(ds, F.coalesce(F.col(ds).cast("date"), fill))
+    middle = quantiles(df, {"m": F.unix_date(F.col(ds).cast("date"))}, [0.5]).select(
+        F.date_from_unix_date(F.floor(F.col("m")[0]).cast("int")).alias("_middle"))
+    return beside(df, middle).withColumn(ds, F.coalesce(F.col(ds).cast("date"), "_middle")).drop("_middle")
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -83,6 +90,10 @@ def impute_constant(df: DataFrame, fills: Mapping[str, object] | None = None,
     return df.withColumns(out)
 
 
+#: Sketch accuracy, half width of a bracket (in shares of the rows), rows up to which all values are counted, parts of a bracket.
+SKETCH, BRACKET, FEW, PARTS = 10_000, 0.001, 2_000, 4_096
+
+
 def quantiles(df: DataFrame, cols, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """For every column an array of its exact linear percentiles at ``probs``
     (Spark's ``percentile`` values; null when the column is all null): one
@@ -91,61 +102,72 @@ def quantiles(df: DataFrame, cols, probs: Sequence[float], by: Sequence[str] = (
 
     Spark's exact ``percentile`` merges one counter per distinct value in a
     single task per group -- unbounded for continuous columns or a hot group.
-    Here the values of all columns are stacked as (group, column, value),
-    counted per distinct value (partial aggregation), and ranked with
-    ``running_offsets`` range by range; the two values around each
-    percentile position are picked by a filter on those ranks.  No task holds
-    more than one range of distinct values."""
+    Here a mergeable sketch first brackets the values around each percentile
+    (0.2 % of the rows; all rows of small groups).  Then values in the bracket
+    are counted one by one and all values below it as one, so partial
+    aggregation leaves little to shuffle; the bracket's counts are summed in
+    PARTS equal intervals, and only the interval with the wanted rank is
+    ranked value by value.  Nothing runs before an action."""
     by = list(by)
     items = list(cols.items()) if isinstance(cols, dict) else [(c, F.col(c)) for c in cols]
-    stacked = (df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), e.cast("double").alias("v"))
-                                                  for i, (_, e) in enumerate(items)])).alias("s"))
-                 .select(*by, "s._i", "s.v").where(F.col("v").isNotNull()))
-    g = by + ["_i"]
-    cnt = stacked.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
-    offs = running_offsets(cnt, g + ["v"], "c")
-    # where each (group, column) starts in the global order: running offsets of
-    # the per-(group, column) totals (a far smaller table than the values)
-    tot = running_offsets(offs.groupBy(*g).agg(F.sum("c").alias("_n")), g, "_n") \
-        .withColumnRenamed("_off", "_base")
-    if by:      # one row per (group, column): a join (AQE splits a hot group's side)
-        t = tot.select(*[F.col(c).alias(f"_t_{c}") for c in g], "_base", "_n")
-        x = offs.join(t, [offs[c].eqNullSafe(t[f"_t_{c}"]) for c in g]).drop(*[f"_t_{c}" for c in g])
-    else:       # one row per column: bounded broadcast
-        x = offs.join(F.broadcast(tot), "_i")
-    x = x.withColumn("_lo", F.col("_off") - F.col("_base")).withColumn("_hi", F.col("_lo") + F.col("c"))
-    aggs = []
-    for j, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        for side, rank in (("a", F.floor(pos)), ("b", F.ceil(pos))):
-            aggs.append(F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("v")))
-                        .alias(f"_{side}{j}"))
-        aggs.append(F.max(pos).alias(f"_p{j}"))
-    per = x.groupBy(*g).agg(*aggs)
-
-    def value(j):
-        a, b, pos = F.col(f"_a{j}"), F.col(f"_b{j}"), F.col(f"_p{j}")
-        lo, hi = F.floor(pos), F.ceil(pos)
-        return F.when((lo == hi) | (a == b), a).otherwise((hi - pos) * a + (pos - lo) * b)
-
-    per = per.select(*g, F.array(*[value(j) for j in range(len(probs))]).alias("q"))
-    out = [F.first(F.when(F.col("_i") == i, F.col("q")), ignorenulls=True).alias(name)
-           for i, (name, _) in enumerate(items)]
+    ends = [x for p in probs for x in (max(0.0, p - BRACKET), min(1.0, p + BRACKET))]
+    sketch = []
+    for i, (_, e) in enumerate(items):
+        v = e.cast("double")
+        sketch += [F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_l{i}"), F.max(v).alias(f"_h{i}"),
+                   F.percentile_approx(v, F.array(*[F.lit(float(x)) for x in ends]), SKETCH).alias(f"_e{i}")]
+    small = lambda i: F.col(f"_n{i}") <= FEW
+    wanted = [F.struct(
+        F.lit(i).alias("_i"), F.lit(j).alias("_j"), F.col(f"_n{i}").alias("_n"), ((F.col(f"_n{i}") - 1) * F.lit(float(p))).alias("_pos"),
+        F.when(small(i), F.col(f"_l{i}")).otherwise(F.col(f"_e{i}")[2 * j]).alias("_low"),
+        F.when(small(i), F.col(f"_h{i}")).otherwise(F.col(f"_e{i}")[2 * j + 1]).alias("_high"))
+        for i in range(len(items)) for j, p in enumerate(probs)]
+    brackets = (df.groupBy(*by).agg(*sketch).select(*[F.col(c).alias(f"_t_{c}") for c in by], F.explode(F.array(*wanted)).alias("_b"))
+                .select(*[f"_t_{c}" for c in by], "_b.*").where("_n > 0"))
+    values = (df.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("_vi"), e.cast("double").alias("_v"))
+                                                 for i, (_, e) in enumerate(items)])).alias("_s"))
+                .select(*by, "_s._vi", "_s._v").where(F.col("_v").isNotNull()))
+    on = [values["_vi"] == brackets["_i"], values["_v"] <= brackets["_high"]] + [values[c].eqNullSafe(brackets[f"_t_{c}"]) for c in by]
+    met = values.join(brackets if by else F.broadcast(brackets), on)       # without groups: one row a column and percentile
+    g = [f"_t_{c}" for c in by] + ["_i", "_j"]
+    fixed = ["_pos", "_low", "_high"]
+    width = F.col("_high") - F.col("_low")
+    part = F.when(F.col("_v").isNull(), -1).when(width > 0, F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width * (PARTS - 1)), F.lit(0))) \
+        .otherwise(0).cast("int")
+    counts = (met.select(*g, *fixed, F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v"))
+                 .groupBy(*g, *fixed, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_part", part))
+    before = lambda *order: F.coalesce(F.sum("_c").over(
+        W.partitionBy(*g, *order[:-1]).orderBy(order[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    holds = lambda low: (low <= F.ceil("_pos")) & (F.floor("_pos") < low + F.col("_c"))
+    parts = (counts.groupBy(*g, "_pos", "_part").agg(F.sum("_c").alias("_c")).withColumn("_off", before("_part")).where(holds(F.col("_off"))))
+    p = parts.select(*[F.col(c).alias(f"_p{c}") for c in [*g, "_part"]], "_off")
+    near = counts.join(p, [counts[c].eqNullSafe(p[f"_p{c}"]) for c in [*g, "_part"]])
+    ranked = near.withColumn("_lo", F.col("_off") + before("_part", "_v")).where(holds(F.col("_lo")))
+    at = lambda rank: F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_lo") + F.col("_c")), F.col("_v")))
+    low, high = F.floor("_pos"), F.ceil("_pos")
+    per = ranked.groupBy(*g, "_pos").agg(at(low).alias("_a"), at(high).alias("_z"))
+    a, z = F.col("_a"), F.col("_z")
+    missed = F.raise_error(F.lit("a percentile lies outside the bracket of its sketch")).cast("double")
+    value = (F.when(a.isNull() | z.isNull(), missed).when((low == high) | (a == z), a)
+             .otherwise((high - F.col("_pos")) * a + (F.col("_pos") - low) * z))
+    per = per.select(*g, value.alias("_q"))
+    some = lambda i, j: F.max(F.when((F.col("_i") == i) & (F.col("_j") == j), F.col("_q")))
+    known = lambda i: F.max(F.when(F.col("_i") == i, F.lit(1)))
+    out = [F.when(known(i) == 1, F.array(*[some(i, j) for j in range(len(probs))])).alias(name) for i, (name, _) in enumerate(items)]
     if not by:
         return per.agg(*out)
-    # groups whose columns are all null have no stacked rows: keep them (null arrays)
+    # groups whose columns are all null have no values: keep them (null arrays)
     groups = df.select(*by).distinct()
-    got = per.groupBy(*by).agg(*out)
-    r = got.select(*[F.col(c).alias(f"_g_{c}") for c in by], *[n for n, _ in items])
-    return (groups.join(r, [groups[c].eqNullSafe(r[f"_g_{c}"]) for c in by], "left")
-                  .drop(*[f"_g_{c}" for c in by]))
+    r = per.groupBy(*[f"_t_{c}" for c in by]).agg(*out)
+    return (groups.join(r, [groups[c].eqNullSafe(r[f"_t_{c}"]) for c in by], "left")
+                  .drop(*[f"_t_{c}" for c in by]))
 
 
 def medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """One row: the median of every column (null when all null).
 
-    Exact medians are ranked range by range (``quantiles``); ``approx=True``
-    uses bounded sketches instead."""
+    Exact medians are selected within sketched brackets (``quantiles``);
+    ``approx=True`` takes the sketch's own values instead."""
     if approx:
         return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c) for c in cols])
     q = quantiles(df, list(cols), [0.5])
@@ -156,8 +178,10 @@ def impute_median(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = No
                   approx: bool = False) -> DataFrame:
     """Null numerics take the median (of ``fit``, e.g. the training
     split, else of ``df``); 0 when the column is all null."""
-    m = scalars(medians(fit if fit is not None else df, cols, approx))
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), m[c], F.lit(0.0)) for c in cols})
+    m = medians(fit if fit is not None else df, cols, approx)
+    x = beside(df, m.select(*[F.col(c).alias(f"_median_{c}") for c in cols]))
+    return (x.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_median_{c}"), F.lit(0.0)) for c in cols})
+             .drop(*[f"_median_{c}" for c in cols]))
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import r6, round_to
-from .clean import quantiles
+from .clean import beside, quantiles
 
 K = ["customer_id", "product_id"]
 DS = "ds"
@@ -100,16 +100,16 @@ def distribution_stats(df: DataFrame, q: str = Q, approx: bool = False,
                        accuracy: int = 10000) -> DataFrame:
     """count, min, median, p90, p95, max, mean, std.
 
-    Exact percentiles are ranked range by range (``clean.quantiles``);
+    Exact percentiles are selected within brackets (``clean.quantiles``);
     ``approx=True`` uses a bounded sketch per task instead."""
     ps = [0.5, 0.9, 0.95]
     if approx:
         pct = df.agg(F.percentile_approx(q, ps, accuracy).alias("_p"))
     else:
         pct = quantiles(df, {"_p": F.col(q)}, ps)
-    g = df.agg(F.count(q).alias("count"), F.min(q).alias("min"),
-               F.max(q).alias("max"), r6(F.avg(q)).alias("mean"),
-               r6(F.stddev_samp(q)).alias("std")).withColumn("_p", pct.scalar())
+    g = beside(df.agg(F.count(q).alias("count"), F.min(q).alias("min"),
+                      F.max(q).alias("max"), r6(F.avg(q)).alias("mean"),
+                      r6(F.stddev_samp(q)).alias("std")), pct)
     return g.select("count", "min", r6(F.col("_p")[0]).alias("median"),
                     r6(F.col("_p")[1]).alias("p90"), r6(F.col("_p")[2]).alias("p95"),
                     "max", "mean", "std")
@@ -117,9 +117,9 @@ def distribution_stats(df: DataFrame, q: str = Q, approx: bool = False,
 
 def quantity_gate(df: DataFrame, pct: float, min_qty: float, q: str = Q) -> DataFrame:
     """rows at or above the pct-th percentile of q, then at or above min_qty.
-    The percentile is a scalar subquery evaluated once."""
-    cut = quantiles(df, [q], [pct]).select(F.col(q)[0]).scalar()
-    return df.where((F.col(q) >= cut) & (F.col(q) >= min_qty))
+    The percentile is one row, computed once."""
+    cut = quantiles(df, [q], [pct]).select(F.col(q)[0].alias("_cut"))
+    return beside(df.where(F.col(q) >= min_qty), cut).where(F.col(q) >= F.col("_cut")).drop("_cut")
 
 
 def sort_page(df: DataFrame, by: str = Q, descending: bool = True, page: int = 1,

@@ -130,36 +130,34 @@ def schema_drift(old: DataFrame, new: DataFrame, expected: Sequence[str] | None
     return out.where(F.col("change").isNotNull() | (F.col("unexpected") if expected else F.lit(False)))
 
 
-def _fences(df: DataFrame, col: str, m: float):
-    q = clean.quantiles(df, [col], [0.25, 0.75]).select(F.col(col).alias("q")).scalar()
-    q1, q3 = q[0], q[1]
-    iqr = q3 - q1
-    return q1 - m * iqr, q3 + m * iqr
+def _fenced(df: DataFrame, col: str, m: float) -> DataFrame:
+    """``df`` with the fences of ``col`` as ``_low`` and ``_high``."""
+    q1, q3 = F.col(col)[0], F.col(col)[1]
+    fences = clean.quantiles(df, [col], [0.25, 0.75]).select(
+        (q1 - m * (q3 - q1)).alias("_low"), (q3 + m * (q3 - q1)).alias("_high"))
+    return clean.beside(df, fences)
 
 
 def iqr_outliers(df: DataFrame, col: str, m: float = 1.5) -> DataFrame:
     """Rows outside [q1 - m*iqr, q3 + m*iqr] (linear quantiles)."""
-    lo, hi = _fences(df, col, m)
-    return df.where((F.col(col) < lo) | (F.col(col) > hi))
+    return _fenced(df, col, m).where((F.col(col) < F.col("_low")) | (F.col(col) > F.col("_high"))).drop("_low", "_high")
 
 
 def iqr_remove(df: DataFrame, col: str, m: float = 1.5) -> DataFrame:
     """Rows inside the fences (null values dropped)."""
-    lo, hi = _fences(df, col, m)
-    return df.where((F.col(col) >= lo) & (F.col(col) <= hi))
+    return _fenced(df, col, m).where((F.col(col) >= F.col("_low")) & (F.col(col) <= F.col("_high"))).drop("_low", "_high")
 
 
 def iqr_summary(df: DataFrame, cols: Sequence[str], m: float = 1.5) -> DataFrame:
     """Outlier count per column: one pass for all quantiles, one pass
     for all counts."""
-    qs = clean.quantiles(df, list(cols), [0.25, 0.75])
-    q = qs.select(F.struct(*cols)).scalar()
-    counts = []
+    limits = []
     for c in cols:
-        q1, q3 = q[c][0], q[c][1]
-        lo, hi = q1 - m * (q3 - q1), q3 + m * (q3 - q1)
-        counts.append(F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c))
-    g = df.agg(*counts)
+        q1, q3 = F.col(c)[0], F.col(c)[1]
+        limits += [(q1 - m * (q3 - q1)).alias(f"_low_{c}"), (q3 + m * (q3 - q1)).alias(f"_high_{c}")]
+    fenced = clean.beside(df.select(*cols), clean.quantiles(df, list(cols), [0.25, 0.75]).select(*limits))
+    counts = [F.count_if((F.col(c) < F.col(f"_low_{c}")) | (F.col(c) > F.col(f"_high_{c}"))).alias(c) for c in cols]
+    g = fenced.agg(*counts)
     rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_outliers"))
                      for c in cols])
     return g.select(F.explode(rows).alias("r")).select("r.*")

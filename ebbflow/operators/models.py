@@ -1,8 +1,8 @@
 """Train/test splits, feature matrices and MLlib models.
 
 Learners are MLlib's (distributed): gradient-boosted trees for revenue and
-scenario models, a Poisson GLM for order counts (MLlib trees have no
-Poisson loss).  Splits are computed without a global row sort: the
+scenario models; for order counts a Poisson GLM and boosted trees with
+Poisson loss (``boosting``: MLlib's trees have none).  Splits are computed without a global row sort: the
 chronological split ranks *distinct dates* (bounded by the calendar), the
 positional split ranks *distinct keys* by cumulative counts.
 """
@@ -175,13 +175,19 @@ def predict(model: PipelineModel, df: DataFrame, clip: bool = True) -> DataFrame
 
 
 def evaluate(model: PipelineModel, mat: DataFrame, label: str = "label", split: str = "split") -> DataFrame:
-    """Per split: rows, label total, the model's mean error (``mae``) and that
-    of always saying the training rows' mean (``naive_mae``).  Scoring is one
-    distributed pass."""
-    naive = mat.where(F.col(split) == "train").agg(F.avg(label)).scalar()
-    p = predict(model, mat)
-    g = p.groupBy(split).agg(F.count(F.lit(1)).alias("n"), fc.r6(F.sum(label)).alias("label_sum"),
-                             F.avg(F.abs(F.col(label) - naive)).alias("_naive"), F.avg(F.abs(F.col(label) - F.col("prediction"))).alias("_mae"))
+    """``evaluate_predictions`` of a fitted model's predictions."""
+    return evaluate_predictions(predict(model, mat), "prediction", label, split)
+
+
+def evaluate_predictions(df: DataFrame, prediction: str, label: str = "label", split: str = "split") -> DataFrame:
+    """Per split: rows, label total, the predictions' mean error (``mae``) and
+    that of always saying the training rows' mean (``naive_mae``).  Scoring is
+    one distributed pass; the total is exact to six places in any order."""
+    naive = df.where(F.col(split) == "train").agg(F.avg(label).alias("_naive_mean"))
+    p = clean.beside(df, naive)
+    g = p.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("decimal(38,6)")).cast("double").alias("label_sum"),
+                             F.avg(F.abs(F.col(label) - F.col("_naive_mean"))).alias("_naive"),
+                             F.avg(F.abs(F.col(label) - F.col(prediction))).alias("_mae"))
     return g.select(split, "n", "label_sum", F.col("_mae").alias("mae"), F.col("_naive").alias("naive_mae"))
 
 

@@ -148,6 +148,7 @@ def scenario_units(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ scenario model
 
+# Features of the scenario model.
 SCN_FEATURES = ["order_year", "order_month", "order_day", "order_day_of_week", "quarter", "is_weekend",
                 "month_sin", "month_cos", "dow_sin", "dow_cos", "day_sin", "day_cos",
                 "lag_1", "lag_3", "lag_7", "lag_14",
@@ -170,10 +171,25 @@ def scenario_training_frame(daily: DataFrame, scenarios, k: Sequence[str], ds: s
     return fe.rolling_multi(x, keys, ds, "order_qty_scn")
 
 
+def training_rows(daily: DataFrame, k: Sequence[str], ds: str = "ds", q: str = "order_qty", min_rows: int = 200,
+                  max_rows: int | None = None) -> DataFrame:
+    """What the scenario model learns from, per series: the block that ends at
+    the last signal and has enough non-zero rows and variance (E18), of it the
+    non-zero rows where there are enough (E19), and only of series that vary and
+    have enough different values (B20)."""
+    from . import features as fe, quality
+    keys = list(k)
+    x = fe.training_slice(fe.recent_signal_window(daily, keys, ds, q, max_rows), keys, ds, q, min_rows)
+    ready = quality.training_ready(x, keys, q).where("ready").select(*[F.col(c).alias(f"_k_{c}") for c in keys])
+    return x.join(ready, [x[c].eqNullSafe(ready[f"_k_{c}"]) for c in keys], "left_semi")
+
+
 def train_scenario(frame: DataFrame, min_rows: int = 20, **gbt):
-    """Gradient-boosted trees on the scenario frame, split at the 0.8 date
-    quantile; refuses fewer than ``min_rows`` rows."""
+    """Gradient-boosted trees on the scenario frame (of ``training_rows``),
+    split at the 0.8 date quantile; refuses fewer than ``min_rows`` rows."""
+    from ..session import cut_lineage
     from .models import split_quantile, train_gbt
+    frame = cut_lineage(frame)
     n = frame.count()
     if n < min_rows:
         raise ValueError(f"insufficient samples for scenario training: {n} < {min_rows}")
@@ -185,7 +201,9 @@ def train_scenario(frame: DataFrame, min_rows: int = 20, **gbt):
 def score_scenario(model, daily: DataFrame, scenarios, k: Sequence[str], days: int = 14,
                    ds: str = "ds", q: str = "order_qty") -> DataFrame:
     """Next ``days`` per (scenario, series) scored from the series tail
-    (E20) and future calendar features; bands x1.15 / x0.85."""
+    (E20) and future calendar features.  The forecast is a whole number, never
+    below 0; the band is 1.15 and 0.85 times it, whole as well (half to even).
+    A lag or window that is longer than the series is the tail's (E20)."""
     from . import clean, features as fe
     from .joins import future_grid
     from .models import predict
@@ -200,5 +218,6 @@ def score_scenario(model, daily: DataFrame, scenarios, k: Sequence[str], days: i
     grid = clean.cyclical_features(clean.calendar_features(grid, ds), ds)
     out = predict(model, grid.select(*keys, ds, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                                                   for c in SCN_FEATURES]))
-    return out.select(*keys, ds, F.col("prediction").alias("forecast"),
-                      (F.col("prediction") * 1.15).alias("upper"), (F.col("prediction") * 0.85).alias("lower"))
+    whole = lambda c: F.bround(c, 0).cast("long")
+    value = F.greatest(whole(F.col("prediction")), F.lit(0).cast("long"))
+    return out.select(*keys, ds, value.alias("forecast"), whole(value * F.lit(1.15)).alias("upper"), whole(value * F.lit(0.85)).alias("lower"))

@@ -56,6 +56,18 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+_FITTED: dict[tuple[str, str, str], object] = {}
+
+
+def fitted(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """What ``build`` gives (a written matrix, a fitted model), made once an
+    application and folder: queries over one fit share it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     """Import every plan module so that its queries register."""
     from . import catalog  # noqa: F401

@@ -1,6 +1,6 @@
 """Queries for forecasts (G01-G15), accuracy (I01-I10), the forecast-vs-actual
 timeline and accuracy by group (F37, F40), splits and the feature matrix
-(G21-G23, E15, E17), and the MLlib models (G16-G20, G24: rows-only)."""
+(G21-G23, E15, E17), and the models (G16-G18, G24)."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6, round_to
 from ..operators import accuracy as ac
+from ..operators import boosting as bo
 from ..operators import cube
 from ..operators import features as fe
 from ..operators import forecast as fcst
 from ..operators import models as md
+from ..operators.clean import beside
+from ..session import cut_lineage
 from ..sources import fixtures as fx
-from . import query
+from . import fitted, query
 from .feature_queries import TAIL_SQL
 from .join_queries import _GRID
 from .oracle_views import r, with_views
@@ -541,12 +544,26 @@ def future_features(spark, sf_dir):
 
 # ------------------------------------------------------------------ MLlib models: what an oracle can tell of a fit
 
-def _count_data(spark, sf_dir):
+def _count_matrix(spark, sf_dir):
+    """The written feature matrix with its split."""
     d = fx.daily_series(spark, sf_dir)
     x = md.split_chronological(md.training_frame(d, fx.promo_calendar(spark, sf_dir)))
     train = x.where(F.col("split") == "train")
     mat = md.feature_matrix(x, md.COUNT_FEATURES, fit=train, keep=["customer_id", "product_id", "ds", "split"])
-    return d, mat
+    return cut_lineage(mat)
+
+
+def _count_fits(spark, sf_dir):
+    """(matrix, Poisson GLM, boosted counts)."""
+    mat = fitted(spark, sf_dir, "count matrix", lambda: _count_matrix(spark, sf_dir))
+    train = mat.where(F.col("split") == "train")
+    return (mat, fitted(spark, sf_dir, "count glm", lambda: md.train_counts(train, md.COUNT_FEATURES)),
+            fitted(spark, sf_dir, "boosted counts", lambda: bo.train_boosted_counts(train, md.COUNT_FEATURES)))
+
+
+def _count_predictions(spark, sf_dir):
+    mat, glm, boosted = _count_fits(spark, sf_dir)
+    return boosted.transform(md.predict(glm, mat), "boosted")
 
 
 _NAIVE = """
@@ -567,20 +584,35 @@ def _learned(evaluation):
     return evaluation.select("split", "n", "label_sum", round_to("naive_mae", 4).alias("naive_mae"), better.alias("learned"))
 
 
-@query("count_model", with_views(f"WITH {_G21}, " + _evaluation_sql("order_qty", "g21"), "daily_series"))
+@query("count_model", with_views(f"WITH {_G21}, " + _evaluation_sql("order_qty", "g21").replace(
+    "true AS learned", "true AS learned, true AS boosted_learned"), "daily_series"))
 def count_model(spark, sf_dir):
-    """The fitted counts on both splits, against always saying the training mean."""
-    _, mat = _count_data(spark, sf_dir)
-    model = md.train_counts(mat.where(F.col("split") == "train"), md.COUNT_FEATURES)
-    return _learned(md.evaluate(model, mat))
+    """Both learners on both splits, against always saying the training mean."""
+    p = _count_predictions(spark, sf_dir)
+    one = _learned(md.evaluate_predictions(p, "prediction"))
+    two = _learned(md.evaluate_predictions(p, "boosted")).select("split", F.col("learned").alias("boosted_learned"))
+    return one.join(two, "split")
 
 
 @query("count_model_rows")
 def count_model_rows(spark, sf_dir):
-    """The predicted count of every row on both splits."""
-    _, mat = _count_data(spark, sf_dir)
-    model = md.train_counts(mat.where(F.col("split") == "train"), md.COUNT_FEATURES)
-    return md.predict(model, mat).select("split", "customer_id", "product_id", "ds", "label", "prediction")
+    """The count of every row on both splits, predicted by both learners."""
+    return _count_predictions(spark, sf_dir).select("split", "customer_id", "product_id", "ds", "label", "prediction", "boosted")
+
+
+@query("count_model_metrics")
+def count_model_metrics(spark, sf_dir):
+    """I09 of both fitted learners on both splits."""
+    p = _count_predictions(spark, sf_dir)
+    both = [ac.regression_metrics(p, "label", c).withColumn("learner", F.lit(n)) for n, c in (("glm", "prediction"), ("boosted", "boosted"))]
+    return both[0].unionByName(both[1])
+
+
+@query("count_model_leaderboard")
+def count_model_leaderboard(spark, sf_dir):
+    """I10 of the boosted counts on the test rows, by customer."""
+    p = _count_predictions(spark, sf_dir).where(F.col("split") == "test")
+    return ac.smape_leaderboard(p, "customer_id", "label", "boosted")
 
 
 _REV_FEATURES = ["order_year", "order_month", "order_day", "order_day_of_week", "quarter", "is_month_start",
@@ -589,12 +621,12 @@ _REV_FEATURES = ["order_year", "order_month", "order_day", "order_day_of_week",
 
 
 def _revenue_model(spark, sf_dir):
-    d = md.training_frame(fx.daily_series(spark, sf_dir))
-    x = md.split_fraction(d)
-    mat = md.feature_matrix(x, _REV_FEATURES, target="revenue", fit=x.where(F.col("split") == "train"),
-                            keep=["customer_id", "product_id", "ds", "split"])
-    model = md.train_gbt(mat.where(F.col("split") == "train"), _REV_FEATURES)
-    return model, mat
+    def build():
+        x = md.split_fraction(md.training_frame(fx.daily_series(spark, sf_dir)))
+        mat = cut_lineage(md.feature_matrix(x, _REV_FEATURES, target="revenue", fit=x.where(F.col("split") == "train"),
+                                            keep=["customer_id", "product_id", "ds", "split"]))
+        return md.train_gbt(mat.where(F.col("split") == "train"), _REV_FEATURES), mat
+    return fitted(spark, sf_dir, "revenue model", build)
 
 
 _G22 = f"""
@@ -628,21 +660,29 @@ _SCORE_FEATURES = ["order_month", "order_day_of_week", "is_weekend", "lag_1", "l
 
 def _score_range(spark, sf_dir):
     d = fx.daily_series(spark, sf_dir)
-    x = md.split_chronological(d)
-    train = fe.series_lags(fe.rolling_multi(x.where(F.col("split") == "train")))
-    train = train.select("*", F.month("ds").alias("order_month"), F.weekday("ds").alias("order_day_of_week"),
-                         (F.weekday("ds") >= 5).cast("int").alias("is_weekend"))
-    mat = md.feature_matrix(train, _SCORE_FEATURES, keep=["customer_id", "product_id", "ds"])
-    model = md.train_counts(mat, _SCORE_FEATURES)
+
+    def build():
+        x = md.split_chronological(d)
+        train = fe.series_lags(fe.rolling_multi(x.where(F.col("split") == "train")))
+        train = train.select("*", F.month("ds").alias("order_month"), F.weekday("ds").alias("order_day_of_week"),
+                             (F.weekday("ds") >= 5).cast("int").alias("is_weekend"))
+        mat = md.feature_matrix(train, _SCORE_FEATURES, keep=["customer_id", "product_id", "ds"])
+        return md.train_counts(mat, _SCORE_FEATURES)
+
     last = d.agg(F.max("ds")).scalar()
-    return md.score_range(model, d, F.date_add(last, 1), F.date_add(last, 14), _SCORE_FEATURES)
+    return md.score_range(fitted(spark, sf_dir, "range model", build), d, F.date_add(last, 1), F.date_add(last, 14), _SCORE_FEATURES)
 
 
-@query("score_range", with_views(f"WITH {_GRID} SELECT {KEYS}, ds, true AS not_negative FROM g", "daily_series"))
+@query("score_range", with_views(f"WITH {_GRID} SELECT {KEYS}, ds, true AS near_history FROM g", "daily_series"))
 def score_range(spark, sf_dir):
-    """Every recent series on every day of the range, and that it has a count."""
+    """Every recent series on every day of the range, and whether all counts
+    together lie within half and one and a half times what the history's mean
+    makes of as many rows (a model that says 0, or explodes, does not)."""
     out = _score_range(spark, sf_dir)
-    return out.select("customer_id", "product_id", "ds", (F.col("pred_order_qty") >= 0).alias("not_negative"))
+    total = out.agg((F.sum("pred_order_qty") / F.count(F.lit(1))).alias("_said"))
+    mean = fx.daily_series(spark, sf_dir).agg(F.avg("order_qty").alias("_mean"))
+    return (beside(beside(out, total), mean)
+            .select("customer_id", "product_id", "ds", (F.col("_said") / F.col("_mean")).between(0.5, 1.5).alias("near_history")))
 
 
 @query("score_range_rows")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,18 +94,39 @@ _NUMBER = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
            "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _DIGIT = "(?:" + "|".join(_NUMBER) + ")"
 _ODD = re.compile("[" + re.escape("".join(_LOOK) + "".join(_SIGN)) + "！-～٠-٩۰-۹०-९]")
-_OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+_OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
+# signs in brackets; the space around them is taken by hand, as patterns that begin with space take quadratic time
 _AT_SIGN = re.compile(_OPEN + r"(?:at|@)" + _CLOSE, re.I)
 _DOT_SIGN = re.compile(_OPEN + r"(?:dot|punkt|\.)" + _CLOSE, re.I)
-#: A spoken "at" before one of these words is the preposition.
-_SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?!(?:an?|the|this|that|my|your|our|their|his|her|its)\b)"
-                        r"(?=[A-Za-z0-9-]+(?:\s+dot\s+|\.)[A-Za-z0-9-]+)", re.I)
+#: A spoken "at" is a sign where the dot behind it is spoken or in brackets too; before these words it is the preposition.
+_NO_HOST = r"(?!(?:an?|the|this|that|my|your|our|their|his|her|its)\b)"
+_SPOKEN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+at\s+{_NO_HOST}(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*{_OPEN}(?:dot|punkt|\.){_CLOSE}\s*)[A-Za-z0-9-]+)", re.I)
+#: Before a host with plain dots ("seen at www.example.org") it is one only behind a cue.
+_PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+at\s+{_NO_HOST}(?=[A-Za-z0-9-]+\.[A-Za-z0-9-]+)", re.I)
+_CUE = re.compile(r"\b(?:e-?mail|mail|mailto|address)\s*(?::|=|\bis\b)\s*[A-Za-z0-9._%+-]+\Z", re.I)
+_CUE_SPACE = 120
 _SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?{_DIGIT}(?:(?:[\s-]+|\s+dot\s+){_DIGIT})+\b", re.I)
 _PART = re.compile(rf"plus|dot|{_DIGIT}", re.I)
 _SPOKEN_DOMAIN = re.compile(r"@[A-Za-z0-9.-]+(?:\s+dot\s+[A-Za-z0-9-]+)+", re.I)
-# the signs in brackets once more, without the space around them: a text has the one exactly if it has the other
-_BARE_SIGN = re.compile(r"[\[({<]\s*(?:at|@|dot|punkt|\.)\s*[\])}>]", re.I)
+
+
+def _signs(pattern: re.Pattern, text: str):
+    """(begin, end) of signs in brackets, with the space around them."""
+    last = 0
+    for m in pattern.finditer(text):
+        a, b = m.span()
+        while a > last and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        yield a, b
+        last = b
+
+
+def _cued(text: str):
+    """(begin, end) of spoken "at" before plain hosts, behind a cue."""
+    return (m.span() for m in _PLAIN_AT.finditer(text) if _CUE.search(text[max(0, m.start() - _CUE_SPACE):m.start()]))
 
 
 def _spelled(text: str):
@@ -114,8 +136,8 @@ def _spelled(text: str):
 
 def _hint(text: str) -> bool:
     """Whether a transducer would change the text: their own patterns, on the text as it stands."""
-    return (bool(_BARE_SIGN.search(text) or _SPOKEN_AT.search(text) or _SPOKEN_DOMAIN.search(text))
-            or next(_spelled(text), None) is not None)
+    return (any(p.search(text) for p in (_AT_SIGN, _DOT_SIGN, _SPOKEN_AT, _SPOKEN_DOMAIN))
+            or next(_cued(text), None) is not None or next(_spelled(text), None) is not None)
 
 
 class _Tape:
@@ -168,10 +190,12 @@ def _undone(text: str, odd) -> list[tuple[int, int, int]]:
     tape = _Tape(text)
     tape.rewrite([(m.start(), m.end(), _letter(m.group())) for m in _ODD.finditer(tape.text)] if odd else [])
     tape.rewrite([(m.start(), m.end(), _digits(m)) for m in _spelled(tape.text)])
-    for pattern, sign in ((_AT_SIGN, "@"), (_DOT_SIGN, "."), (_SPOKEN_AT, "@")):
-        tape.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(tape.text)])
+    tape.rewrite([(*m.span(), "@") for m in _SPOKEN_AT.finditer(tape.text)])
+    tape.rewrite([(a, b, "@") for a, b in _cued(tape.text)])
+    for pattern, sign in ((_AT_SIGN, "@"), (_DOT_SIGN, ".")):
+        tape.rewrite([(a, b, sign) for a, b in _signs(pattern, tape.text)])
     # a spoken dot counts only in a domain, after an @ and whole labels
-    dots, reach = [], None
+    dots = []
     for m in _SPOKEN_DOMAIN.finditer(tape.text):
         dots += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _SPOKEN_DOT.finditer(m.group())]
     tape.rewrite(dots)
@@ -190,7 +214,14 @@ def find(text: str | None) -> list[tuple[str, int, int, bool]]:
     if not text:
         return []
     plain = _plain(text)
-    more = [s for s in _disguised(text) if not any(a <= s[0] and s[2] <= b and k == s[1] for a, k, b in plain)]
+    of_kind = [([a for a, k, _ in plain if k == kind], [b for _, k, b in plain if k == kind]) for kind in range(len(KINDS))]
+
+    def covered(a: int, kind: int, b: int) -> bool:     # plain ones of a kind do not overlap: the last that begins before it
+        begins, ends = of_kind[kind]
+        at = bisect_right(begins, a) - 1
+        return at >= 0 and b <= ends[at]
+
+    more = [s for s in _disguised(text) if not covered(*s)]
     both = sorted([(*s, True) for s in plain] + [(*s, False) for s in dict.fromkeys(more)])
     return [(KINDS[k], a, b, p) for a, k, b, p in both]
 
@@ -241,7 +272,9 @@ def _count(kind: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id``, the number of plain identifiers of each kind, the digest of
     the plain spans, all spans, and how many of them were disguised.  Null and
-    empty texts have none; repeated rows repeat.  Only doc_id and text are read."""
+    empty texts have none; repeated rows repeat; an empty table gives an empty
+    result; texts of any length are read whole, in time that grows with their
+    length.  Only doc_id and text are read, whatever other columns are called."""
     found = docs.select("doc_id", spans(F.col("text")).alias("s"))
     return found.select("doc_id", *[_count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("s"), True), 256).alias("base_sha256"), joined(F.col("s"), False).alias("spans"),
@@ -250,7 +283,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with identifiers in ``text`` replaced by their kinds, and
-    ``n_chars``, where there is such a column, set to the new length."""
+    ``n_chars``, where there is such a column, set to the new length.  Null
+    texts stay null and keep their ``n_chars``; rows that repeat stay; an empty
+    table stays empty; all other columns pass through, whatever their names."""
     text, = fresh(docs, "clean_text")
     out = docs.withColumn(text, _redact(docs["text"]))
     cols = []

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions.columns import canon_id, norm_text
+from ..session import cut_lineage
 from . import clean
 from .similar import budget_of, matching_ratio, similar_pairs
 
@@ -171,6 +172,9 @@ def asof_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
                       F.col(right_ds).alias("_d"), F.lit(0).alias("_f"),
                       F.struct(F.col(right_ds).cast("date").alias("_rd"),
                                *[F.col(c) for c in payload]).alias("_p")).where(complete)
+    if all(f.dataType.typeName() not in ("map", "variant") for f in right.select(*payload).schema.fields):
+        # one right row a key and date, the one that would win: a hot key's rows are pre-aggregated where they are read
+        rs = rs.groupBy(*kn, "_d", "_f").agg(F.max("_p").alias("_p"))
     if left_unique:
         rs = rs.withColumn("_l", F.lit(None).cast(probes.schema["_l"].dataType))
     part = list(kn)
@@ -220,10 +224,10 @@ def asof_cascade(left: DataFrame, right: DataFrame, candidates: Sequence[tuple],
     to that grain -- and of these the one with the best match rate (first
     candidate on ties).  ``payload`` must be additive.
 
-    One pass: every candidate's match is joined to the left rows (distinct
-    probes only, so a product's many customers do not meet in one window),
-    the rates are one aggregate over them, and the best candidate's columns
-    are picked per row by that scalar.  No job runs before an action."""
+    Every candidate's match is joined to the left rows (distinct probes only,
+    so a product's many customers do not meet in one window) and the result is
+    written once; the rates are one aggregate over that table, and the best
+    candidate's columns are picked from it."""
     date_out = right_ds if right_ds not in left.columns else f"{right_ds}_r"
     out = left
     for i, (lk, rk) in enumerate(candidates):
@@ -236,10 +240,12 @@ def asof_cascade(left: DataFrame, right: DataFrame, candidates: Sequence[tuple],
         for c in payload:
             some = some | F.col(f"{c}__{i}").isNotNull()
         rates.append(F.avg(some.cast("double")))
+    out = cut_lineage(out)
     # the greatest (rate, earlier place) names the candidate
     best = out.agg(F.array_max(F.array(*[F.struct(F.coalesce(r, F.lit(0.0)).alias("rate"), F.lit(-i).alias("place"))
-                                         for i, r in enumerate(rates)])).alias("b")).select(-F.col("b.place")).scalar()
-    pick = lambda c: F.element_at(F.array(*[F.col(f"{c}__{i}") for i in range(len(candidates))]), best + 1)
+                                         for i, r in enumerate(rates)])).alias("b")).select((-F.col("b.place")).alias("_best"))
+    out = clean.beside(out, best)
+    pick = lambda c: F.element_at(F.array(*[F.col(f"{c}__{i}") for i in range(len(candidates))]), F.col("_best") + 1)
     return out.select(*left.columns, pick(right_ds).alias(date_out),
                       *[pick(c).alias(c if c not in left.columns else f"{c}_r") for c in payload])
 

@@ -242,18 +242,54 @@ def key_overlap(a: DataFrame, b: DataFrame, k: Sequence[str], a_ds: str, b_ds: s
         sb.select("a").scalar().alias("right_start"), sb.select("b").scalar().alias("right_end"))
 
 
+def containing_pairs(asked: DataFrame, ids: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs (a, b) where one string contains the other, without case,
+    and they differ.
+
+    An id that contains the request has all its grams of up to three letters:
+    requests probe the ids' grams by the one that the fewest ids have.  An id
+    within the request is one of its substrings: these are joined on equality.
+    So ids of one template are met only by what tells them apart."""
+    def grams(c, n):
+        low, last = F.lower(c), F.length(c) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))) \
+                .otherwise(F.array().cast("array<string>"))
+
+    asked, ids = asked.select(a).where(F.length(a) > 0).distinct(), ids.select(b).where(F.length(b) > 0).distinct()
+    width = F.least(F.length(a), F.lit(3))
+    own = F.when(width == 1, grams(a, 1)).when(width == 2, grams(a, 2)).otherwise(grams(a, 3))
+    postings = ids.select(b, F.explode(F.array_distinct(F.concat(*[grams(b, n) for n in (1, 2, 3)]))).alias("_g"))
+    wanted = asked.select(a, F.explode(F.array_distinct(own)).alias("_g"))
+    counts = postings.join(wanted.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (wanted.join(counts, "_g", "left").groupBy(a)
+              .agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_g")))
+    within = rarest.join(postings, "_g").where(F.lower(b).contains(F.lower(a))).select(a, b)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.transform(
+        F.sequence(F.lit(1), F.length(a) - i + 1), lambda n: F.substr(F.lower(a), i, n))))
+    inside = (asked.select(a, F.explode(F.array_distinct(parts)).alias("_g"))
+              .join(ids.withColumn("_g", F.lower(b)), "_g").select(a, b))
+    return within.unionAll(inside).where(F.col(a) != F.col(b)).distinct()
+
+
+def _first_similar(asked: DataFrame, ids: DataFrame, a: str, b: str, n: int, name: str) -> DataFrame:
+    """The first n ids that contain or are contained in each request, joined by ``|``."""
+    x = containing_pairs(asked, ids, a, b)
+    x = x.withColumn("_rn", F.row_number().over(W.partitionBy(a).orderBy(b))).where(F.col("_rn") <= n)
+    return x.groupBy(a).agg(F.array_join(F.array_sort(F.collect_list(b)), "|").alias(name))
+
+
 def validate_combinations(requests: DataFrame, hist: DataFrame, master: DataFrame,
                           sku: str = "sku_id", channel: str = "channel", location: str = "location",
                           ds: str = "order_date", qty: str = "total_demand_qty",
                           n_similar: int = 3) -> DataFrame:
     """For requested (sku, channel, location): existence of each value and
-    of the combination, its rows, dates and mean, up to three ids containing
-    or contained in the request, and whether the master catalogue has it.
+    of the combination, its rows, dates and mean, up to three similar SKUs and
+    locations (that contain the request or are contained in it) where the value
+    is unknown, the channels there are where the channel is unknown, whether the
+    master catalogue has the SKU, and the warnings that follow (joined by ``|``).
 
     Requests of any number are joined on equal keys (AQE broadcasts them if
-    they are few).  An id that contains another contains the first letters of
-    it, so similar ids meet on those before ``contains`` is tested: no nested
-    loop over all requests and ids."""
+    they are few)."""
     req = requests.select(F.col(sku).alias("r_sku"), F.col(channel).alias("r_channel"),
                           F.col(location).alias("r_location"))
     skus = hist.select(F.col(sku).alias("_s")).distinct()
@@ -273,26 +309,24 @@ def validate_combinations(requests: DataFrame, hist: DataFrame, master: DataFram
     out = out.join(combo, ["r_sku", "r_channel", "r_location"], "left") \
              .withColumn("combination_exists", F.col("combination_rows").isNotNull()) \
              .withColumn("combination_rows", F.coalesce("combination_rows", F.lit(0)))
-    asked = req.select("r_sku").distinct()
-
-    def parts(c):       # all runs of one to three letters
-        low = F.lower(c)
-        return F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.array(
-            *[F.substr(low, i, F.lit(n)) for n in (1, 2, 3)])))))
-
-    first = lambda c: F.substring(F.lower(c), 1, 3)
-    pairs = (asked.withColumn("_p", first("r_sku")).join(skus.withColumn("_p", parts("_s")), "_p")
-             .where(F.lower("_s").contains(F.lower("r_sku"))).select("r_sku", "_s")
-             .unionByName(asked.withColumn("_p", parts("r_sku")).join(skus.withColumn("_p", first("_s")), "_p")
-                          .where(F.lower("r_sku").contains(F.lower("_s"))).select("r_sku", "_s")))
-    sim = pairs.where(F.col("_s") != F.col("r_sku")).distinct()
-    sim = (sim.withColumn("_rn", F.row_number().over(W.partitionBy("r_sku").orderBy("_s")))
-              .where(F.col("_rn") <= n_similar)
-              .groupBy("r_sku").agg(F.array_join(F.array_sort(F.collect_list("_s")), "|")
-                                    .alias("similar_skus")))
+    sim = _first_similar(req, skus, "r_sku", "_s", n_similar, "similar_skus")
+    places = _first_similar(req.join(locs, F.col("r_location") == F.col("_l"), "left_anti"), locs, "r_location", "_l", n_similar, "similar_locations")
     m = master.select(F.col(sku).alias("r_sku")).distinct().withColumn("in_master", F.lit(True))
-    return (out.join(sim, "r_sku", "left").join(m, "r_sku", "left")
-               .withColumn("in_master", F.coalesce("in_master", F.lit(False))))
+    out = (out.join(sim, "r_sku", "left").join(places, "r_location", "left").join(m, "r_sku", "left")
+              .withColumn("in_master", F.coalesce("in_master", F.lit(False))))
+    # the channels are few: one row, shown where the requested one is unknown
+    out = clean.beside(out, chans.where(F.col("_c").isNotNull()).agg(F.array_join(F.array_sort(F.collect_set("_c")), "|").alias("_all")))
+    unknown = lambda exists, value: ~F.col(exists) & (F.length(F.coalesce(value, F.lit(""))) > 0)
+    text = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(F.col(p), F.lit("")) for i, p in enumerate(parts)])
+    # fixed values: the texts of the warnings
+    warnings = F.array_compact(F.array(
+        F.when(~F.col("sku_exists"), text("SKU ", "r_sku", " not found in historical data")),
+        F.when(unknown("location_exists", "r_location"), text("Location ", "r_location", " not found in historical data")),
+        F.when(unknown("channel_exists", "r_channel"), text("Channel ", "r_channel", " not found in historical data")),
+        F.when(~F.col("combination_exists"), text("No historical data for exact combination: SKU=", "r_sku", ", Channel=", "r_channel", ", Location=", "r_location")),
+        F.when(~F.col("in_master"), text("SKU ", "r_sku", " not found in master catalog"))))
+    return (out.withColumn("available_channels", F.when(unknown("channel_exists", "r_channel"), F.col("_all")))
+               .withColumn("warnings", F.array_join(warnings, "|")).drop("_all"))
 
 
 def dataset_structure(df: DataFrame) -> DataFrame:

@@ -224,7 +224,8 @@ def key_overlap(spark, sf_dir):
 
 
 _REQUESTS = [("P1", "BUILDING", "NATION_1"), ("P12", "AUTOMOBILE", "NATION_3"),
-             ("P99999", "FURNITURE", "NOWHERE"), ("P7", "MACHINERY", "NATION_24")]
+             ("P99999", "FURNITURE", "NOWHERE"), ("P7", "MACHINERY", "NATION_24"),
+             ("xp12", "STALL", "ation_2"), ("0", "MACHINERY", "near NATION_7 and nation_1")]
 
 
 @query("validate_combinations", with_views("""
@@ -240,15 +241,31 @@ sim AS (SELECT r_sku, string_agg(s, '|' ORDER BY s) AS similar_skus FROM (
           FROM (SELECT DISTINCT r_sku FROM req) q JOIN skus
             ON s <> r_sku AND (contains(lower(s), lower(r_sku)) OR contains(lower(r_sku), lower(s))))
         WHERE rn <= 3 GROUP BY r_sku),
-m AS (SELECT DISTINCT 'P' || cast(p_partkey AS VARCHAR) AS r_sku FROM part)
+m AS (SELECT DISTINCT 'P' || cast(p_partkey AS VARCHAR) AS r_sku FROM part),
+locs AS (SELECT DISTINCT location AS l FROM demand_history),
+places AS (SELECT r_location, string_agg(l, '|' ORDER BY l) AS similar_locations FROM (
+             SELECT r_location, l, row_number() OVER (PARTITION BY r_location ORDER BY l) AS rn
+             FROM (SELECT DISTINCT r_location FROM req WHERE r_location NOT IN (SELECT l FROM locs)) q JOIN locs
+               ON contains(lower(l), lower(r_location)) OR contains(lower(r_location), lower(l)))
+           WHERE rn <= 3 GROUP BY r_location),
+res AS (
 SELECT req.r_sku, req.r_channel, req.r_location,
        req.r_sku IN (SELECT s FROM skus) AS sku_exists,
        req.r_channel IN (SELECT channel FROM demand_history) AS channel_exists,
        req.r_location IN (SELECT location FROM demand_history) AS location_exists,
        coalesce(combo.n, 0) AS combination_rows, combo.first_date, combo.last_date, combo.mean_qty,
-       combo.n IS NOT NULL AS combination_exists, sim.similar_skus,
+       combo.n IS NOT NULL AS combination_exists, sim.similar_skus, places.similar_locations,
        req.r_sku IN (SELECT r_sku FROM m) AS in_master
-FROM req LEFT JOIN combo USING (r_sku, r_channel, r_location) LEFT JOIN sim USING (r_sku)""",
+FROM req LEFT JOIN combo USING (r_sku, r_channel, r_location) LEFT JOIN sim USING (r_sku) LEFT JOIN places USING (r_location))
+SELECT *, CASE WHEN NOT channel_exists THEN (SELECT string_agg(c, '|' ORDER BY c) FROM (SELECT DISTINCT channel AS c FROM demand_history)) END
+            AS available_channels,
+       concat_ws('|', CASE WHEN NOT sku_exists THEN 'SKU ' || r_sku || ' not found in historical data' END,
+                 CASE WHEN NOT location_exists THEN 'Location ' || r_location || ' not found in historical data' END,
+                 CASE WHEN NOT channel_exists THEN 'Channel ' || r_channel || ' not found in historical data' END,
+                 CASE WHEN NOT combination_exists THEN 'No historical data for exact combination: SKU=' || r_sku || ', Channel=' || r_channel
+                                                       || ', Location=' || r_location END,
+                 CASE WHEN NOT in_master THEN 'SKU ' || r_sku || ' not found in master catalog' END) AS warnings
+FROM res""",
     "demand_history"))
 def validate_combinations(spark, sf_dir):
     req = spark.createDataFrame(_REQUESTS, "sku_id string, channel string, location string")

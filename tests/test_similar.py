@@ -76,3 +76,22 @@ def test_both_sides_of_a_join(spark):
     only = cw.select("canon_orders_pid", "canon_inv_pid")
     a, b = jn.align_sides(left, right, only)
     assert {r.city for r in a.collect()} == {" Lima ", "Rome", None} and b.first().city == "CAPITAL"
+
+
+def test_containing_pairs_are_those_of_all_pairs(spark):
+    from ebbflow.operators import quality as qa
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("aAbB1") for _ in range(rnd.randint(0, 7)))
+    asked, ids = {word() for _ in range(60)}, {word() for _ in range(150)}
+    a = spark.createDataFrame([(x,) for x in [*asked, None]], "a string")
+    b = spark.createDataFrame([(x,) for x in [*ids, None]], "b string")
+    got = {(r.a, r.b) for r in qa.containing_pairs(a, b, "a", "b").collect()}
+    assert got == {(x, y) for x in asked for y in ids if x and y and x != y and (x.lower() in y.lower() or y.lower() in x.lower())}
+
+
+def test_requests_of_one_template_meet_few_ids(spark):
+    """The probe's rarest gram tells templated ids apart: join output stays near the answers."""
+    from ebbflow.operators import quality as qa
+    ids = spark.range(4000).select(F.concat(F.lit("product"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("b"))
+    asked = ids.limit(500).select(F.concat("b", F.lit("-x")).alias("a"))
+    assert qa.containing_pairs(asked, ids, "a", "b").count() == 500

@@ -35,29 +35,35 @@ def apply_adjustments(adj: DataFrame, current: str = "current_value", kind: str
     })
 
 
+#: Stands for "any" where an adjustment names no channel or location.
+ANY = "*"
+
+
 def adjustment_review(adj: DataFrame, hist: DataFrame, master: DataFrame, promo: DataFrame,
                       sku: str = "sku_id", ds: str = "ds", q: str = "order_qty",
-                      high_rows: int = 50) -> DataFrame:
-    """Each adjustment with its validation (does the SKU have history),
-    history context (F22), SKU info (D15), active promotion of the SKU's
-    product on the target date (D12), the system forecast for that date (G06)
-    and the differences; confidence 'high' above ``high_rows`` history rows."""
+                      high_rows: int = 50, places: Sequence[str] = ()) -> DataFrame:
+    """Each adjustment with its validation (does the series it names have
+    history), history context (F22), SKU info (D15), active promotion of the
+    SKU's product on the target date (D12), the system forecast for that date
+    (G06) and the differences; confidence 'high' above ``high_rows`` history
+    rows.  ``places`` are further key columns of adjustments and history."""
     from .joins import promo_days
     from ..functions.columns import norm_text
+    keys = [sku, *places]
     a = apply_adjustments(adj)
-    stats = pr.history_stats(hist, [sku], ds, q)
-    targets = a.select(sku, "target_date").distinct()
-    sysf = fc.current_forecast(hist, [sku], ds, q, targets=targets) \
-             .select(sku, "target_date", F.col("forecast").alias("system_forecast"))
+    stats = pr.history_stats(hist, keys, ds, q)
+    targets = a.select(*keys, "target_date").distinct()
+    sysf = fc.current_forecast(hist, keys, ds, q, targets=targets) \
+             .select(*keys, "target_date", F.col("forecast").alias("system_forecast"))
     m = master.select(sku, "product_name", "brand").dropDuplicates([sku])
     pdays = promo_days(promo).select("_pk", "_day", F.col("_disc").alias("promo_discount"))
-    x = (a.join(stats.select(sku, "total_records", "avg_quantity"), sku, "left")
+    x = (a.join(stats.select(*keys, "total_records", "avg_quantity"), keys, "left")
           .join(m, sku, "left")
-          .join(sysf, [sku, "target_date"], "left"))
+          .join(sysf, [*keys, "target_date"], "left"))
     x = x.join(pdays, (norm_text("brand") == F.col("_pk")) & (F.col("target_date") == F.col("_day")), "left")
     sysv = F.col("system_forecast")
     return x.select(
-        "adjustment_id", sku, "target_date", "adjustment_type", "current_value", "new_value",
+        "adjustment_id", *keys, "target_date", "adjustment_type", "current_value", "new_value",
         F.col("total_records").isNotNull().alias("sku_has_history"),
         F.coalesce("total_records", F.lit(0)).alias("historical_data_points"), "avg_quantity",
         "product_name", "brand",
@@ -69,6 +75,50 @@ def adjustment_review(adj: DataFrame, hist: DataFrame, master: DataFrame, promo:
                .otherwise("medium")).alias("system_confidence"))
 
 
+def series_asked_for(hist: DataFrame, asked: DataFrame, sku: str, places: Sequence[str], ds: str, q: str,
+                     flag: str | None = None) -> DataFrame:
+    """Daily sums of every series in ``asked``, whatever it leaves open (``ANY``).
+
+    Daily sums at the finest grain are copied into the grains that name fewer
+    places (a grouping set for each), cut to the series asked for, and summed
+    again; nothing is computed for a series that nobody named."""
+    flags = [F.bool_or(flag).alias(flag)] if flag else []
+    fine = hist.groupBy(sku, *places, ds).agg(F.sum(q).alias(q), *flags)
+    out = fine.join(asked.select(sku).distinct(), sku, "left_semi")
+    for p in places:
+        out = out.withColumn(p, F.explode(F.array(F.lit(ANY), F.col(p).cast("string"))))
+    out = out.join(asked.select(sku, *places).distinct(), [sku, *places], "left_semi")
+    return out.groupBy(sku, *places, ds).agg(F.sum(q).alias(q), *flags)
+
+
+def adjustment_review_by_place(adj: DataFrame, hist: DataFrame, master: DataFrame, promo: DataFrame, sku: str = "sku_id",
+                               channel: str = "channel", location: str = "location", ds: str = "order_date",
+                               q: str = "total_demand_qty", flag: str = "is_promotional", high_rows: int = 50) -> DataFrame:
+    """J02 by SKU, channel and location: every adjustment is reviewed against
+    the series it names -- an empty channel or location means all of them -- and
+    gets ``warnings`` (B15's, of what it names) and ``recommendations`` (J05, for
+    its target date), each joined by ``|``."""
+    from . import quality
+    places = [channel, location]
+    given = lambda c: F.coalesce(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")), F.lit(ANY))
+    a = adj.withColumns({c: given(c) for c in places})
+    asked = a.select(sku, *places, "target_date").distinct()
+    daily = series_asked_for(hist, asked, sku, places, ds, q, flag)
+    out = adjustment_review(a, daily, master, promo, sku, ds, q, high_rows, places)
+    advice = adjustment_advice(daily, [sku, *places], ds, q, asked).select(sku, *places, "target_date", "recommendations")
+    known = [hist.select(F.col(c).cast("string").alias(c)).distinct().withColumn(f"_has_{c}", F.lit(True)) for c in (sku, *places)]
+    listed = master.select(sku).distinct().withColumn("_listed", F.lit(True))
+    for k, c in zip(known, (sku, *places)):
+        out = out.join(k, c, "left")
+    out = out.join(listed, sku, "left").join(advice, [sku, *places, "target_date"], "left")
+    named = lambda c: F.when(F.col(c) == ANY, "").otherwise(F.col(c))
+    lost = lambda c: F.col(f"_has_{c}").isNull() & (named(c) != "")
+    return (out.withColumn("warnings", F.array_join(quality.combination_warnings(
+                F.col(sku), named(channel), named(location), lost(sku), lost(channel), lost(location),
+                ~F.col("sku_has_history"), F.col("_listed").isNull()), "|"))
+               .drop("_listed", *[f"_has_{c}" for c in (sku, *places)]))
+
+
 def adjustment_history(log: DataFrame, filters: Mapping[str, str] | None = None, days: int = 30,
                        n: int = 50, as_of=None, ts: str = "created_at") -> DataFrame:
     """The log filtered by sku / channel / location and age (relative to

@@ -278,6 +278,19 @@ def _first_similar(asked: DataFrame, ids: DataFrame, a: str, b: str, n: int, nam
     return x.groupBy(a).agg(F.array_join(F.array_sort(F.collect_list(b)), "|").alias(name))
 
 
+def combination_warnings(sku: Column, channel: Column, location: Column, no_sku: Column, no_channel: Column, no_location: Column,
+                         no_combination: Column, not_listed: Column) -> Column:
+    """Array of the warnings that hold for a (SKU, channel, location)."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])
+    # The texts.
+    return F.array_compact(F.array(
+        F.when(no_sku, text("SKU ", sku, " not found in historical data")),
+        F.when(no_location, text("Location ", location, " not found in historical data")),
+        F.when(no_channel, text("Channel ", channel, " not found in historical data")),
+        F.when(no_combination, text("No historical data for exact combination: SKU=", sku, ", Channel=", channel, ", Location=", location)),
+        F.when(not_listed, text("SKU ", sku, " not found in master catalog"))))
+
+
 def validate_combinations(requests: DataFrame, hist: DataFrame, master: DataFrame,
                           sku: str = "sku_id", channel: str = "channel", location: str = "location",
                           ds: str = "order_date", qty: str = "total_demand_qty",
@@ -317,15 +330,9 @@ def validate_combinations(requests: DataFrame, hist: DataFrame, master: DataFram
     # the channels are few: one row, shown where the requested one is unknown
     out = clean.beside(out, chans.where(F.col("_c").isNotNull()).agg(F.array_join(F.array_sort(F.collect_set("_c")), "|").alias("_all")))
     unknown = lambda exists, value: ~F.col(exists) & (F.length(F.coalesce(value, F.lit(""))) > 0)
-    text = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.coalesce(F.col(p), F.lit("")) for i, p in enumerate(parts)])
-    # fixed values: the texts of the warnings
-    warnings = F.array_compact(F.array(
-        F.when(~F.col("sku_exists"), text("SKU ", "r_sku", " not found in historical data")),
-        F.when(unknown("location_exists", "r_location"), text("Location ", "r_location", " not found in historical data")),
-        F.when(unknown("channel_exists", "r_channel"), text("Channel ", "r_channel", " not found in historical data")),
-        F.when(~F.col("combination_exists"), text("No historical data for exact combination: SKU=", "r_sku", ", Channel=", "r_channel", ", Location=", "r_location")),
-        F.when(~F.col("in_master"), text("SKU ", "r_sku", " not found in master catalog"))))
-    return (out.withColumn("available_channels", F.when(unknown("channel_exists", "r_channel"), F.col("_all")))
+    warnings = combination_warnings(F.col("r_sku"), F.col("r_channel"), F.col("r_location"), ~F.col("sku_exists"), unknown("channel_exists", F.col("r_channel")),
+                                    unknown("location_exists", F.col("r_location")), ~F.col("combination_exists"), ~F.col("in_master"))
+    return (out.withColumn("available_channels", F.when(unknown("channel_exists", F.col("r_channel")), F.col("_all")))
                .withColumn("warnings", F.array_join(warnings, "|")).drop("_all"))
 
 

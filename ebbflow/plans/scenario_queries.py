@@ -294,6 +294,70 @@ def adjustment_review(spark, sf_dir):
                                 _master(spark, sf_dir), fx.promo_calendar(spark, sf_dir))
 
 
+#: The place that an adjustment names: every third one a channel, every second one a location, every seventh an unknown one.
+_PLACED = """
+ja AS (SELECT *, CASE WHEN adjustment_id % 3 = 0 THEN 'MACHINERY' WHEN adjustment_id % 7 = 0 THEN 'STALL' ELSE '*' END AS ch,
+              CASE WHEN adjustment_id % 2 = 0 THEN 'NATION_' || cast(adjustment_id % 25 AS VARCHAR) ELSE '*' END AS lo FROM j01)"""
+
+
+@query("adjustment_review_by_place", with_views(f"""
+WITH {_J01}, {_PLACED},
+fine AS (SELECT sku_id, channel, location, order_date AS ds, sum(total_demand_qty) AS order_qty FROM demand_history GROUP BY ALL),
+sd AS (SELECT sku_id, CASE WHEN any_ch THEN '*' ELSE channel END AS ch, CASE WHEN any_lo THEN '*' ELSE location END AS lo, ds, sum(order_qty) AS order_qty
+       FROM fine, (VALUES (true), (false)) a(any_ch), (VALUES (true), (false)) b(any_lo) GROUP BY ALL),
+hs AS (SELECT sku_id, ch, lo, count(*) AS total_records, {r('avg(order_qty)')} AS avg_quantity FROM sd GROUP BY ALL),
+t AS (SELECT DISTINCT sku_id, ch, lo, target_date FROM ja),
+pb AS (SELECT DISTINCT sku_id, ch, lo, isodow(target_date) - 1 AS _tdow, month(target_date) AS _tmon FROM t),
+x AS (SELECT sd.*, pb._tdow, pb._tmon,
+             row_number() OVER (PARTITION BY sd.sku_id, sd.ch, sd.lo, pb._tdow, pb._tmon ORDER BY sd.ds DESC) AS _rd,
+             row_number() OVER (PARTITION BY sd.sku_id, sd.ch, sd.lo, pb._tdow, pb._tmon, isodow(sd.ds) ORDER BY sd.ds DESC) AS _rdd
+      FROM sd JOIN pb ON sd.sku_id = pb.sku_id AND sd.ch = pb.ch AND sd.lo = pb.lo),
+g AS (SELECT sku_id, ch, lo, _tdow, _tmon, count(*) AS n, avg(order_qty) AS mean_all,
+             count_if(isodow(ds) - 1 = _tdow) AS n_dow,
+             avg(CASE WHEN isodow(ds) - 1 = _tdow AND _rdd <= 6 THEN order_qty END) AS recent_dow,
+             avg(CASE WHEN isodow(ds) - 1 = _tdow AND _rdd > 6 THEN order_qty END) AS older_dow,
+             count_if(month(ds) = _tmon) AS n_month, avg(CASE WHEN month(ds) = _tmon THEN order_qty END) AS month_avg,
+             avg(CASE WHEN _rd <= 30 THEN order_qty END) AS m30, avg(CASE WHEN _rd <= 7 THEN order_qty END) AS m7,
+             avg(CASE WHEN _rd > 7 AND _rd <= 14 THEN order_qty END) AS m8_14
+      FROM x GROUP BY ALL),
+c AS (SELECT *, CASE WHEN n_dow > 6 THEN older_dow ELSE recent_dow END AS older FROM g),
+f AS (SELECT sku_id, ch, lo, _tdow, _tmon, {r('''coalesce(
+        CASE WHEN n_dow >= 3 THEN CASE WHEN older > 0 THEN recent_dow * least(greatest(recent_dow / older, 0.5), 2.0) ELSE recent_dow END END,
+        CASE WHEN n_month >= 5 AND m30 > 0 THEN m30 * month_avg / mean_all END,
+        CASE WHEN n >= 14 AND m8_14 > 0 THEN m7 * least(greatest(m7 / m8_14, 0.7), 1.5) END, m30)''')} AS system_forecast FROM c),
+ms AS (SELECT 'P' || cast(p_partkey AS VARCHAR) AS sku_id, p_name AS product_name, p_brand AS brand FROM part),
+pd AS (SELECT lower(trim(product_id)) AS pk, cast(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS day,
+              coalesce(cast(discount AS DOUBLE), 0.0) AS disc FROM promo_calendar),
+pm AS (SELECT pk, day, max(disc) AS promo_discount FROM pd GROUP BY ALL),
+hv AS (SELECT ja.*, ja.sku_id IN (SELECT sku_id FROM demand_history) AS has_sku,
+              ja.ch = '*' OR ja.ch IN (SELECT channel FROM demand_history) AS has_ch,
+              ja.lo = '*' OR ja.lo IN (SELECT location FROM demand_history) AS has_lo FROM ja)
+SELECT hv.adjustment_id, hv.sku_id, hv.ch AS channel, hv.lo AS location, hv.target_date, hv.adjustment_type, hv.current_value, hv.new_value,
+       hs.total_records IS NOT NULL AS sku_has_history, coalesce(hs.total_records, 0) AS historical_data_points,
+       hs.avg_quantity, ms.product_name, ms.brand, pm.pk IS NOT NULL AS active_promotion, pm.promo_discount,
+       f.system_forecast, {r('hv.current_value - f.system_forecast')} AS user_input_vs_system,
+       {r('hv.new_value - f.system_forecast')} AS adjustment_vs_system,
+       CASE WHEN f.system_forecast IS NOT NULL THEN CASE WHEN coalesce(hs.total_records, 0) > 50 THEN 'high' ELSE 'medium' END END
+         AS system_confidence,
+       concat_ws('|', CASE WHEN NOT has_sku THEN 'SKU ' || hv.sku_id || ' not found in historical data' END,
+                 CASE WHEN NOT has_lo THEN 'Location ' || hv.lo || ' not found in historical data' END,
+                 CASE WHEN NOT has_ch THEN 'Channel ' || hv.ch || ' not found in historical data' END,
+                 CASE WHEN hs.total_records IS NULL THEN 'No historical data for exact combination: SKU=' || hv.sku_id || ', Channel='
+                   || replace(hv.ch, '*', '') || ', Location=' || replace(hv.lo, '*', '') END,
+                 CASE WHEN ms.sku_id IS NULL THEN 'SKU ' || hv.sku_id || ' not found in master catalog' END) AS warnings
+FROM hv LEFT JOIN hs ON hv.sku_id = hs.sku_id AND hv.ch = hs.ch AND hv.lo = hs.lo LEFT JOIN ms ON hv.sku_id = ms.sku_id
+LEFT JOIN f ON hv.sku_id = f.sku_id AND hv.ch = f.ch AND hv.lo = f.lo AND isodow(hv.target_date) - 1 = f._tdow AND month(hv.target_date) = f._tmon
+LEFT JOIN pm ON lower(trim(ms.brand)) = pm.pk AND hv.target_date = pm.day""",
+    "adjustments", "demand_history", "promo_calendar"))
+def adjustment_review_by_place(spark, sf_dir):
+    i = F.col("adjustment_id")
+    adj = (fx.adjustments(spark, sf_dir)
+           .withColumn("channel", F.when(i % 3 == 0, "MACHINERY").when(i % 7 == 0, "STALL"))
+           .withColumn("location", F.when(i % 2 == 0, F.concat(F.lit("NATION_"), (i % 25).cast("string"))).otherwise("")))
+    out = aj.adjustment_review_by_place(adj, fx.demand_history(spark, sf_dir), _master(spark, sf_dir), fx.promo_calendar(spark, sf_dir))
+    return out.drop("recommendations")      # tests compare them with J05 of the series
+
+
 @query("adjustment_history", with_views("""
 SELECT * FROM adjustments
 WHERE sku_id = 'P7' AND created_at >= (SELECT max(created_at) FROM adjustments) - INTERVAL 30 DAY

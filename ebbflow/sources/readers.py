@@ -36,24 +36,30 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.csv", depth: in
     return sorted(out.items()) if with_length else sorted(out)
 
 
-def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Per file: size and whether its bytes are valid UTF-8
-    (``is_valid_utf8``); others are read as latin-1 (which decodes any byte)."""
-    sch = "path string, length long, encoding string"
+def file_heads(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[int, str | None, bytes]]:
+    """Per file its length, encoding and first line that is not blank: one job
+    for any number of files, one row a file comes back.
+
+    Lines keep their bytes as they are and no UTF-8 character holds a line end,
+    so a file is valid UTF-8 if its lines are (large files are read in splits);
+    any other is read as latin-1, which decodes any byte.  A file without a
+    line has no encoding."""
     if not paths:
-        return spark.createDataFrame([], sch)
-    # lines keep their bytes as they are and no UTF-8 character holds a line
-    # end, so a file is valid if its lines are: large files are read in splits
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
-                                                F.is_valid_utf8("value").alias("valid"))
-    found = lines.groupBy("path").agg(F.max("length").alias("length"), F.when(F.bool_and("valid"), F.lit("utf-8"))
-                                      .otherwise(F.lit("iso-8859-1")).alias("encoding"))
-    # zero-length files have no line: they are reported here
-    seen = {r["path"] for r in found.select("path").collect()}
-    missing = [(p, 0, None) for p in paths if _qualify(spark, p) not in seen and p not in seen]
-    if missing:
-        found = found.unionByName(spark.createDataFrame(missing, sch))
-    return found
+        return {}
+    head = (F.col("_metadata.file_block_start") == 0) & (F.length(F.trim("value")) > 0)
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.is_valid_utf8("value").alias("valid"),
+        F.when(head, F.col("value").cast("binary")).alias("line"), F.when(head, F.monotonically_increasing_id()).alias("at"))
+    found = lines.groupBy("path").agg(F.max("length").alias("length"), F.bool_and("valid").alias("valid"), F.min_by("line", "at").alias("line"))
+    seen = {r["path"]: (r["length"], ENCODINGS[0] if r["valid"] else ENCODINGS[1], bytes(r["line"] or b"")) for r in found.collect()}
+    return {p: seen.get(_qualify(spark, p), seen.get(p, (0, None, b""))) for p in paths}
+
+
+def detect_encodings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Per file: size and whether its bytes are valid UTF-8; others are
+    read as latin-1; zero-length files have no encoding."""
+    rows = [(p, length, encoding) for p, (length, encoding, _) in file_heads(spark, paths).items()]
+    return spark.createDataFrame(rows, "path string, length long, encoding string")
 
 
 def _qualify(spark: SparkSession, p: str) -> str:
@@ -152,19 +158,16 @@ def conform_schema(df: DataFrame, columns: Sequence[str] = S.CANONICAL_COLUMNS,
 def read_folder_union(spark: SparkSession, root: str, aliases: Mapping[str, str] = S.RAW_ALIASES,
                       depth: int = 1) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Every CSV of a folder and one level of subfolders, conformed and
-    concatenated by name.  Files are grouped by (encoding, header) so each
-    group is one read; a file that fails (no date column, all dates bad) is
-    skipped and reported as (path, reason)."""
-    paths = list_files(spark, root, depth=depth)
-    enc = {r["path"]: r["encoding"] for r in detect_encodings(spark, paths).collect()}
+    concatenated by name.  Files are grouped by (encoding, header line), both
+    from one job over all files, so each group is one read; a file that fails
+    (no date column, all dates bad) is skipped and reported as (path, reason)."""
     groups: dict[tuple, list[str]] = {}
     skipped = []
-    for p in paths:
-        if enc.get(p) is None:
+    for p, (_length, encoding, header) in file_heads(spark, list_files(spark, root, depth=depth)).items():
+        if encoding is None:
             skipped.append((p, "empty file"))
-            continue
-        header = tuple(read_csv(spark, p, enc[p]).columns)   # reads the header line only
-        groups.setdefault((enc[p], header), []).append(p)
+        else:
+            groups.setdefault((encoding, header), []).append(p)
     out = None
     for (e, _h), ps in sorted(groups.items()):
         raw = read_csv(spark, ps, e).withColumn("source_file", F.col("_metadata.file_path"))

@@ -145,3 +145,22 @@ def test_cluster_session_needs_shared_checkpoint_dir():
     for sc.master in ("spark://cluster:7077", "local-cluster[3,2,1000]", "yarn"):
         with pytest.raises(RuntimeError):
             ensure_checkpoint_dir(fake)
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path):
+    """60 files of two headers, some after blank lines, two encodings: one job for the heads whatever the number of files."""
+    root = str(tmp_path / "many")
+    for i in range(60):
+        head = "order_id,order_date,city\n" if i % 2 else "city,order_date,order_id\n"
+        values = f"{i},2024-01-{i % 28 + 1:02d},Zürich\n" if i % 2 else f"Zürich,2024-01-{i % 28 + 1:02d},{i}\n"
+        _write(f"{root}/{i % 5}/f{i}.csv", ("\n" if i % 3 == 0 else "") + head + values, "utf-8" if i % 4 < 2 else "iso-8859-1")
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("heads", "heads")
+    heads = rd.file_heads(spark, rd.list_files(spark, root))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("heads")) <= 3
+    assert {h for _, _, h in heads.values()} == {b"order_id,order_date,city", b"city,order_date,order_id"}
+    assert sorted({e for _, e, _ in heads.values()}) == ["iso-8859-1", "utf-8"]
+    df, skipped = rd.read_folder_union(spark, root)
+    assert skipped == [] and sorted(int(r["order_id"]) for r in df.select("order_id", "city").collect()) == list(range(60))
+    assert {r["city"] for r in df.select("city").distinct().collect()} == {"Zürich"}

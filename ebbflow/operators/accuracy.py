@@ -76,6 +76,7 @@ def bias_messages(summary: DataFrame, version: str = "forecast_version_name") ->
         F.count_if(F.col("bias_direction") == "under_forecasting").alias("_under"),
         F.min_by(F.struct(F.col(version), F.col("bias_percentage")),
                  F.struct(F.abs("bias_percentage"), F.col(version))).alias("_best"))
+    # The texts.
     msgs = F.array(
         F.when(F.col("_high") != "", F.concat(F.lit("High bias detected in models: "), F.col("_high"),
                                               F.lit(". Consider model recalibration."))),
@@ -96,6 +97,20 @@ def bias_messages(summary: DataFrame, version: str = "forecast_version_name") ->
     return per.unionByName(overall)
 
 
+def bias_recommendations(summary: DataFrame, pct: str = "bias_percentage", mape: str = "mape") -> DataFrame:
+    """I05 for one summary a row: the text for its bias, and a second one where
+    the error is high, joined with ' | '."""
+    b = F.coalesce(F.col(pct), F.lit(0.0))
+    # The texts.
+    by_bias = (F.when(F.abs(b) <= 5, "Bias is within acceptable range (±5%)")
+                .when(b > 15, "Significant over-forecasting detected. Consider reducing forecast levels.")
+                .when(b < -15, "Significant under-forecasting detected. Consider increasing forecast levels.")
+                .when(b > 5, "Moderate over-forecasting. Monitor and adjust if trend continues.")
+                .otherwise("Moderate under-forecasting. Monitor and adjust if trend continues."))
+    by_error = F.when(F.col(mape) > 30, "High forecast error detected. Consider model recalibration or alternative methods.")
+    return summary.withColumn("recommendations", F.concat_ws(" | ", by_bias, by_error))
+
+
 def overall_bias(summary: DataFrame) -> DataFrame:
     """Predominantly over / under / mixed across versions; number of
     versions whose severity is not low."""

@@ -283,6 +283,30 @@ def one_hot(df: DataFrame, cols: Sequence[str], codes: Sequence[str] = (),
     return out
 
 
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], suffix: str = "_onehot") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """C10 for wide columns: one sparse indicator vector a column (first level
+    dropped; nulls are all 0) and, per column, the table of its levels with
+    their codes (C07).  Code n > 0 stands at place (levels - 1 - n).
+
+    Levels stay a distributed table: their codes are joined to the rows, and
+    MLlib's encoder learns one number a column, so no list of them reaches the
+    driver and the schema does not depend on the data."""
+    from pyspark.ml.feature import OneHotEncoder
+    out, maps = df, {}
+    for c in cols:
+        m = label_codes(df, c)
+        most = m.agg(F.greatest(F.coalesce(F.max("code"), F.lit(0)), F.lit(1)).alias("_most"))
+        places = beside(m, most).select(F.col("value").alias("_v"), (F.col("_most") - F.col("code")).alias("_place"))
+        out = out.join(places, F.col(c).cast("string") == F.col("_v"), "left").drop("_v")
+        out = beside(out, most).withColumn("_place", F.coalesce("_place", "_most").cast("double")).drop("_most")    # null: as the dropped level
+        # the encoder learns the largest place; a table of places is all that it has to see
+        ends = F.array(F.lit(0.0), F.col("_most").cast("double"))
+        fit_on = most.select(F.explode(ends).alias("_place"))
+        encoder = OneHotEncoder(inputCol="_place", outputCol=f"{c}{suffix}", dropLast=True).fit(fit_on)
+        out, maps[c] = encoder.transform(out).drop("_place", c), m
+    return out, maps
+
+
 def date_to_epoch(df: DataFrame) -> DataFrame:
     """C11: date/timestamp columns to epoch seconds; remaining numeric nulls -> -1."""
     out = {}

@@ -105,6 +105,19 @@ def past_mean_col(k=None, ds: str = DS, q: str = Q, n: int = 14, min_n: int = 3)
     return F.coalesce(_guarded_avg(q, _frame(k, ds, -n, -1), min_n), F.lit(0.0))
 
 
+# Inventory columns that add up to what is on hand.
+ON_HAND_COLUMNS = ("customer_inventory_qty", "current_inventory_units", "warehouse_inventory_qty")
+
+
+def on_hand(df: DataFrame) -> DataFrame:
+    """E07 input: ``on_hand_qty`` as it is, else the sum of the inventory
+    columns that are present (nulls count 0), else 0."""
+    if "on_hand_qty" in df.columns:
+        return df
+    present = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ON_HAND_COLUMNS if c in df.columns]
+    return df.withColumn("on_hand_qty", sum(present[1:], present[0]) if present else F.lit(0.0))
+
+
 def supply_columns(on_hand: Column, roll14: Column) -> dict[str, Column]:
     """Days of supply clipped to 0..365 and the stock-out flag."""
     dos = F.least(F.greatest(on_hand / (roll14 + EPS), F.lit(0.0)), F.lit(365.0))

@@ -365,6 +365,19 @@ def bias_messages(spark, sf_dir):
     return ac.bias_messages(ac.error_summary(fx.backtest(spark, sf_dir), ["forecast_version_name"]))
 
 
+@query("bias_recommendations", with_views(f"""
+SELECT *, concat_ws(' | ',
+         CASE WHEN abs(bias_percentage) <= 5 THEN 'Bias is within acceptable range (±5%)'
+              WHEN bias_percentage > 15 THEN 'Significant over-forecasting detected. Consider reducing forecast levels.'
+              WHEN bias_percentage < -15 THEN 'Significant under-forecasting detected. Consider increasing forecast levels.'
+              WHEN bias_percentage > 5 THEN 'Moderate over-forecasting. Monitor and adjust if trend continues.'
+              ELSE 'Moderate under-forecasting. Monitor and adjust if trend continues.' END,
+         CASE WHEN mape > 30 THEN 'High forecast error detected. Consider model recalibration or alternative methods.' END) AS recommendations
+FROM ({_summary_sql('backtest', 'forecast_version_name')})""", "backtest"))
+def bias_recommendations(spark, sf_dir):
+    return ac.bias_recommendations(ac.error_summary(fx.backtest(spark, sf_dir), ["forecast_version_name"]))
+
+
 @query("overall_bias", with_views(f"""
 WITH c AS (SELECT *, {_CLASS} FROM ({_summary_sql('backtest', 'forecast_version_name')}))
 SELECT CASE WHEN count(*) = 0 THEN 'neutral'

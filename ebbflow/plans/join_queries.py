@@ -305,7 +305,8 @@ def in_list_filter(spark, sf_dir):
 
 @query("supply_position", with_views(f"""
 WITH j AS ({_asof_sql("s.product_id = r.product_id AND s.customer_id = r.city")}),
-x AS (SELECT {KEYS}, ds, order_qty, coalesce(warehouse_inventory_qty, 0.0) AS on_hand_qty,
+x AS (SELECT {KEYS}, ds, order_qty,
+             coalesce(CASE WHEN day(ds) % 2 = 0 THEN order_qty * 3 END, 0.0) + coalesce(warehouse_inventory_qty, 0.0) AS on_hand_qty,
              coalesce(CASE WHEN count(order_qty) OVER f >= 3 THEN avg(order_qty) OVER f END, 0.0) AS roll14
       FROM j WINDOW f AS (PARTITION BY {KEYS} ORDER BY ds ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
 SELECT {KEYS}, ds, order_qty, on_hand_qty, {r('roll14')} AS qty_roll14,
@@ -317,9 +318,9 @@ def supply_position(spark, sf_dir):
                      ["product_id", "customer_id"], ["product_id", "city"], "ds", "snapshot_date", 90,
                      left_unique=True)
     roll = fe.past_mean_col()
-    x = j.select("customer_id", "product_id", "ds", "order_qty",
-                 F.coalesce("warehouse_inventory_qty", F.lit(0.0)).alias("on_hand_qty"),
-                 roll.alias("_roll"))
+    # a second inventory column, known on even days
+    j = j.withColumn("customer_inventory_qty", F.when(F.dayofmonth("ds") % 2 == 0, F.col("order_qty") * 3))
+    x = fe.on_hand(j).select("customer_id", "product_id", "ds", "order_qty", "on_hand_qty", roll.alias("_roll"))
     cols = fe.supply_columns(F.col("on_hand_qty"), F.col("_roll"))
     return x.select("customer_id", "product_id", "ds", "order_qty", "on_hand_qty",
                     r6("_roll").alias("qty_roll14"), cols["days_of_supply"].alias("days_of_supply"),

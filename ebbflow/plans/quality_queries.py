@@ -519,17 +519,26 @@ def _contains_case(col: str) -> str:
     return "CASE " + " ".join(parts) + " ELSE 'Other' END"
 
 
+#: SKUs whose names carry a brand: every known prefix and fragment in turn, a fifth of them none.
+_MARKS = [*cl.BRAND_PREFIX, *(f for _, fragments in cl.BRAND_CONTAINS for f in fragments), "zz", "q-", ""]
+
+
 @query("brand_from_sku", with_views(f"""
-SELECT DISTINCT product_name,
-       coalesce(CASE substr(product_name, 1, 3) """ + " ".join(
+WITH s AS (SELECT DISTINCT sku_id, CAST(substr(sku_id, 2) AS BIGINT) AS i FROM demand_history),
+m AS (SELECT sku_id, [{", ".join(f"'{m}'" for m in _MARKS)}][1 + i % {len(_MARKS)}] AS mark, i FROM s),
+n AS (SELECT sku_id AS id, CASE WHEN i % 2 = 0 THEN mark || sku_id ELSE sku_id || lower(mark) END AS sku_id FROM m)
+SELECT id, sku_id, coalesce(CASE substr(sku_id, 1, 3) """ + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in cl.BRAND_PREFIX.items()) + f""" END, 'Other') AS brand,
-       {_contains_case('product_name')} AS brand_contains
-FROM demand_history""", "demand_history"))
+       {_contains_case('sku_id')} AS brand_contains
+FROM n""", "demand_history"))
 def brand_from_sku(spark, sf_dir):
-    d = fx.demand_history(spark, sf_dir).select("product_name").distinct()
-    a = cl.brand_from_sku(d, "product_name", "prefix")
-    b = cl.brand_from_sku(d, "product_name", "contains").withColumnRenamed("brand", "brand_contains")
-    return a.join(b, "product_name")
+    i = F.substring("sku_id", 2, 20).cast("long")
+    mark = F.element_at(F.array(*[F.lit(m) for m in _MARKS]), (F.lit(1) + i % len(_MARKS)).cast("int"))
+    d = (fx.demand_history(spark, sf_dir).select("sku_id").distinct()
+         .select(F.col("sku_id").alias("id"), F.when(i % 2 == 0, F.concat(mark, "sku_id")).otherwise(F.concat("sku_id", F.lower(mark))).alias("sku_id")))
+    a = cl.brand_from_sku(d, "sku_id", "prefix")
+    b = cl.brand_from_sku(d, "sku_id", "contains").select("id", F.col("brand").alias("brand_contains"))
+    return a.join(b, "id")
 
 
 @query("row_keys", with_views("""

@@ -9,7 +9,8 @@ single ``groupingSets`` pass (one scan, one shuffle).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,30 +215,43 @@ def drill_steps(level: str) -> list[tuple[str, str, str]]:
 def drill_options(df: DataFrame, level: str, samples: int = 3, ds: str = DS) -> DataFrame:
     """valid child and parent levels with the distinct count of the
     dimension each step adds or removes, the first sample values of it and
-    the number of rows the target level has."""
+    the number of rows the target level has.
+
+    One scan: the rows are first cut to distinct combinations of all columns
+    involved, and only these are copied, one (what is counted, its value) row
+    each; distinct ones of those give every count and the samples."""
     steps = drill_steps(level)
-    dims = sorted({d for _, _, d in steps})
-    targets = [t for _, t, _ in steps]
-    stats = df.agg(*[F.count_distinct(d).alias(f"n__{d}") for d in dims],
-                   *[F.count_distinct(*(LEVELS[t] + [ds])).alias(f"r__{t}") for t in targets])
-    opts = F.array(*[F.struct(F.lit(a).alias("direction"), F.lit(t).alias("target_level"),
-                              F.lit(d).alias("dimension")) for a, t, d in steps])
-    x = stats.select("*", F.explode(opts).alias("o")).select("*", "o.*")
-    out = x.select(
-        "direction", "target_level", "dimension",
-        F.coalesce(*[F.when(F.col("dimension") == d, F.col(f"n__{d}")) for d in dims])
-         .alias("distinct_values"),
-        F.coalesce(*[F.when(F.col("target_level") == t, F.col(f"r__{t}")) for t in targets])
-         .alias("row_estimate"))
-    # samples: a bounded top-k per dimension (at most ``samples`` rows each)
-    parts = [dimension_values(df, d, samples).select(F.lit(d).alias("dimension"), "value")
-             for d in dims]
-    samp = parts[0]
-    for p in parts[1:]:
-        samp = samp.unionByName(p)
-    samp = samp.groupBy("dimension").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), "|").alias("sample_values"))
-    return out.join(samp, "dimension", "left")
+    counted = {d: [d] for _, _, d in steps} | {f"rows of {t}": LEVELS[t] + [ds] for _, t, _ in steps}
+    fine = df.select(*sorted({c for cols in counted.values() for c in cols})).distinct()
+    text = lambda c: F.col(c).cast("string")
+    known = lambda cols: reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols])
+    copies = F.array_compact(F.array(*[F.when(known(cols), F.struct(F.lit(name).alias("what"), F.array(*map(text, cols)).alias("value")))
+                                       for name, cols in counted.items()]))
+    values = fine.select(F.explode(copies).alias("_v")).select("_v.what", "_v.value").distinct()
+    counts = values.groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+    dims = [d for _, _, d in steps]
+    first = (values.where(F.col("what").isin(dims)).withColumn("value", F.col("value")[0])
+             .withColumn("_rn", F.row_number().over(W.partitionBy("what").orderBy("value"))).where(F.col("_rn") <= samples)
+             .groupBy(F.col("what").alias("dimension")).agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("sample_values")))
+    opts = F.array(*[F.struct(F.lit(x).alias("direction"), F.lit(t).alias("target_level"), F.lit(d).alias("dimension")) for x, t, d in steps])
+    found = counts.agg(F.map_from_entries(F.collect_list(F.struct("what", "n"))).alias("_n"))       # one entry a step
+    number = lambda c: F.coalesce(F.element_at("_n", c), F.lit(0).cast("long"))
+    out = found.select("_n", F.explode(opts).alias("o")).select(
+        "o.direction", "o.target_level", "o.dimension", number(F.col("o.dimension")).alias("distinct_values"),
+        number(F.concat(F.lit("rows of "), F.col("o.target_level"))).alias("row_estimate"))
+    return out.join(first, "dimension", "left")
+
+
+def distinct_sketches(df: DataFrame, cell: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Per cell a mergeable sketch of each column's distinct values: cells of a
+    coarser level are had by merging, without another scan."""
+    return df.groupBy(*cell).agg(*[F.hll_sketch_agg(F.col(c).cast("string")).alias(c) for c in cols])
+
+
+def merged_distinct(sketches: DataFrame, cell: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Distinct values (estimated, about 1.6 % off) of the cells that
+    ``sketches`` add up to."""
+    return sketches.groupBy(*cell).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in cols])
 
 
 def data_summary(df: DataFrame, ds: str = DS) -> DataFrame:

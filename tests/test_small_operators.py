@@ -47,3 +47,23 @@ def test_texts_of_a_summary(spark):
     assert [g.split(" ")[0] for g in got] == ["Bias", "Significant", "Significant", "Moderate", "Moderate", "Bias"]
     assert ["High forecast error" in g for g in got] == [False, True, False, False, True, False]
     assert "over" in got[1] and "under" in got[2] and "over" in got[3] and "under" in got[4]
+
+
+def test_merged_sketches_count_about_right(spark):
+    from ebbflow.operators import cube
+    df = spark.range(60_000).select((F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 9001).alias("x"), (F.col("id") % 11).alias("y"))
+    fine = cube.distinct_sketches(df, ["a", "b"], ["x", "y"])
+    assert fine.count() == 21
+    got = {r["a"]: (r["x"], r["y"]) for r in cube.merged_distinct(fine, ["a"], ["x", "y"]).collect()}
+    exact = {r["a"]: (r["x"], r["y"]) for r in df.groupBy("a").agg(F.count_distinct("x").alias("x"), F.count_distinct("y").alias("y")).collect()}
+    assert got.keys() == exact.keys()
+    assert all(abs(got[a][0] - exact[a][0]) <= 0.05 * exact[a][0] and got[a][1] == 11 for a in exact)
+
+
+def test_drill_options_read_the_table_once(spark):
+    from ebbflow.operators import cube
+    from ebbflow.sources import fixtures as fx
+    out = cube.drill_options(fx.demand_history(spark, "/root/testdata/sf0.001"), "brand_day")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+    assert out.count() == 4 and out.where("distinct_values > 0 and row_estimate > 0").count() == 4

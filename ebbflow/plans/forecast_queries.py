@@ -589,7 +589,7 @@ def _evaluation_sql(label: str, source: str) -> str:
     """Split sizes, label totals and the naive error, which the model must beat
     on the rows it learned from (on others it must have an error at all)."""
     return (f"rows_ AS (SELECT split, greatest(coalesce(cast({label} AS DOUBLE), 0.0), 0.0) AS label FROM {source} WHERE split IS NOT NULL)"
-            + _NAIVE.format(total=r("sum(label)"), error=r("avg(abs(label - (SELECT avg(label) FROM rows_ WHERE split = 'train')))", 4)))
+            + _NAIVE.format(total="cast(sum(cast(label AS DECIMAL(38,6))) AS DOUBLE)", error=r("avg(abs(label - (SELECT avg(label) FROM rows_ WHERE split = 'train')))", 4)))
 
 
 def _learned(evaluation):

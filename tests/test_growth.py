@@ -33,3 +33,33 @@ def test_days_of_promotions_are_not_broadcast(spark):
     out = jn.active_promotions(dates, promo)
     assert "Broadcast" not in plan(out) and "SortMergeJoin" in plan(out)
     assert sorted(r["ds"].day for r in out.select(dates["ds"]).collect()) == [1, 2, 3]
+
+
+def test_repeats_of_dirty_rows_join_once(spark):
+    d = fx.dirty_history(spark, SF_SMALL)
+    assert line_scans(d) == 1
+    h = fx.demand_history(spark, SF_SMALL)
+    again = h.where((F.col("order_id").cast("long") * 7 + F.col("line_number")) % 50 == 13).count()
+    assert again > 0 and d.count() == h.count() + again
+
+
+def test_profile_reads_the_table_twice(spark):
+    assert line_scans(load_all()["table_profile"][0](spark, SF_SMALL)) <= 2
+    assert line_scans(load_all()["total_drift"][0](spark, SF_SMALL)) <= 2
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (None, "y"), (None, "y"), (2, None)], "a int, b string")
+    for approx in (False, True):
+        got = {r["column_name"]: tuple(r)[2:] for r in qa.table_profile(df, approx).collect()}
+        assert got == {"a": (2, 2, 6, 3), "b": (1, 2, 6, 3)}
+
+
+def test_date_forms_are_tried_on_text_of_their_shape(spark):
+    texts = ["2024-01-05", "1/5/2024", " 1/5/2024 ", "1/5/2024 22:56", "01/05/2024 2:06:07", "1-5-2024", "2024/1/5", "13/1/2024", "1/5/24",
+             "+1/5/2024", "1/5/+12024", "1/5/2024 X", "P12", "NATION_3", "not a date", "", "1/5/2024\n", "١/5/2024", "2024-01-05T01:02:03", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    text = F.trim("t")
+    plain = F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in fc.DATE_FORMATS])
+    rows = df.select("t", fc.parse_timestamp("t").cast("string").alias("got"), plain.cast("string").alias("want")).collect()
+    assert [(r["t"], r["got"]) for r in rows] == [(r["t"], r["want"]) for r in rows] and sum(r["got"] is not None for r in rows) >= 7
+    assert plan(df.select(fc.parse_timestamp("t"))).count("RLIKE") >= len(fc.DATE_FORMATS)
+    month = spark.createDataFrame([("5 Jan 2024",)], "t string").select(fc.parse_timestamp("t", ("d MMM yyyy",)).alias("d")).first()["d"]
+    assert month == dt.datetime(2024, 1, 5)

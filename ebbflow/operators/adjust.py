@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6, round_to
+from ..session import cut_lineage
 from . import forecast as fc
 from . import profiles as pr
 
@@ -79,12 +80,12 @@ def series_asked_for(hist: DataFrame, asked: DataFrame, sku: str, places: Sequen
                      flag: str | None = None) -> DataFrame:
     """Daily sums of every series in ``asked``, whatever it leaves open (``ANY``).
 
-    Daily sums at the finest grain are copied into the grains that name fewer
-    places (a grouping set for each), cut to the series asked for, and summed
-    again; nothing is computed for a series that nobody named."""
+    Rows of the SKUs asked for are summed by day at the finest grain, copied
+    into the grains that name fewer places (a grouping set for each), cut to the
+    series asked for, and summed again; nothing is computed or shuffled for a
+    SKU that nobody named."""
     flags = [F.bool_or(flag).alias(flag)] if flag else []
-    fine = hist.groupBy(sku, *places, ds).agg(F.sum(q).alias(q), *flags)
-    out = fine.join(asked.select(sku).distinct(), sku, "left_semi")
+    out = hist.join(asked.select(sku).distinct(), sku, "left_semi").groupBy(sku, *places, ds).agg(F.sum(q).alias(q), *flags)
     for p in places:
         out = out.withColumn(p, F.explode(F.array(F.lit(ANY), F.col(p).cast("string"))))
     out = out.join(asked.select(sku, *places).distinct(), [sku, *places], "left_semi")
@@ -103,10 +104,12 @@ def adjustment_review_by_place(adj: DataFrame, hist: DataFrame, master: DataFram
     given = lambda c: F.coalesce(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")), F.lit(ANY))
     a = adj.withColumns({c: given(c) for c in places})
     asked = a.select(sku, *places, "target_date").distinct()
-    daily = series_asked_for(hist, asked, sku, places, ds, q, flag)
+    # read by every part of the review: the named series' days are written once
+    daily = cut_lineage(series_asked_for(hist, asked, sku, places, ds, q, flag))
     out = adjustment_review(a, daily, master, promo, sku, ds, q, high_rows, places)
     advice = adjustment_advice(daily, [sku, *places], ds, q, asked).select(sku, *places, "target_date", "recommendations")
-    known = [hist.select(F.col(c).cast("string").alias(c)).distinct().withColumn(f"_has_{c}", F.lit(True)) for c in (sku, *places)]
+    there = quality.distinct_values(hist.select(*[F.col(c).cast("string").alias(c) for c in (sku, *places)]), [sku, *places])
+    known = [there[c].withColumn(f"_has_{c}", F.lit(True)) for c in (sku, *places)]
     listed = master.select(sku).distinct().withColumn("_listed", F.lit(True))
     for k, c in zip(known, (sku, *places)):
         out = out.join(k, c, "left")

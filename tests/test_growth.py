@@ -63,3 +63,8 @@ def test_date_forms_are_tried_on_text_of_their_shape(spark):
     assert plan(df.select(fc.parse_timestamp("t"))).count("RLIKE") >= len(fc.DATE_FORMATS)
     month = spark.createDataFrame([("5 Jan 2024",)], "t string").select(fc.parse_timestamp("t", ("d MMM yyyy",)).alias("d")).first()["d"]
     assert month == dt.datetime(2024, 1, 5)
+
+
+def test_reviews_read_the_history_once_for_each_purpose(spark):
+    assert line_scans(load_all()["validate_combinations"][0](spark, SF_SMALL)) == 1     # the values are written before
+    assert line_scans(load_all()["adjustment_review_by_place"][0](spark, SF_SMALL)) == 0

@@ -3,8 +3,8 @@
 The product-location-channel hierarchy has seven fixed levels.  Every
 operator is a filter (pushed into the scan by Catalyst) followed by one
 ``groupBy`` with map-side partial aggregation, so a hot key costs one partial
-row per task, not a skewed shuffle.  ``rollup_all`` computes all levels in a
-single ``groupingSets`` pass (one scan, one shuffle).
+row per task, not a skewed shuffle.  ``rollup_all`` computes all levels from
+one scan and one shuffle of the rows.
 """
 
 from __future__ import annotations
@@ -113,21 +113,31 @@ def rollup_policy(df: DataFrame, level: str, weight: str = "total_demand_qty",
 def rollup_all(df: DataFrame, ds: str = DS) -> DataFrame:
     """all seven levels, labelled by level.
 
-    Rows are summed once to (brand, SKU, location, channel, day) -- decimals
-    stay decimals -- and only those sums are copied into the grouping sets."""
-    sets = [LEVELS[lv] + [ds] for lv in LEVELS]
+    Rows are shuffled once, by SKU, and summed to (brand, SKU, location,
+    channel, day) -- decimals stay decimals.  Every level reads that one
+    shuffle.  The levels of a SKU, which have nearly as many rows, are summed
+    where those sums lie; only the coarser ones, bounded by brands, places and
+    days, are shuffled again."""
     cols = ALL_DIMS + [ds]
     there = [c for c in ADDITIVE if c in df.columns]
-    df = df.groupBy(*cols).agg(*[F.sum(c).alias(c) for c in there], F.count(F.lit(1)).alias("record_count"))
-    gid = F.grouping_id(*cols)
-    label = None
-    for lv, dims in LEVELS.items():
-        bits = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols)
-                   if c not in dims and c != ds)
-        label = (F.when(gid == bits, F.lit(lv)) if label is None
-                 else label.when(gid == bits, F.lit(lv)))
-    return (df.groupingSets(sets, *cols)
-              .agg(*[_sum_double(c) for c in there], F.sum("record_count").alias("record_count"), label.alias("level")))
+    fine = (df.select(*cols, *there).repartition("sku_id").groupBy(*cols)
+              .agg(*[F.sum(c).alias(c) for c in there], F.count(F.lit(1)).alias("record_count")))
+    sums = [*[_sum_double(c) for c in there], F.sum("record_count").alias("record_count")]
+    out = [*cols, *there, "record_count", "level"]
+
+    def filled(x):
+        return x.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in cols if c not in x.columns}).select(*out)
+
+    of_sku = [filled(fine.groupBy(*dims, ds).agg(*sums, F.lit(lv).alias("level"))) for lv, dims in LEVELS.items() if "sku_id" in dims]
+    coarse = {lv: dims for lv, dims in LEVELS.items() if "sku_id" not in dims}
+    rest = [c for c in cols if c != "sku_id"]
+    gid = F.grouping_id(*rest)
+    label = F.lit(None).cast("string")
+    for lv, dims in coarse.items():
+        bits = sum(1 << (len(rest) - 1 - i) for i, c in enumerate(rest) if c not in [*dims, ds])
+        label = F.when(gid == bits, F.lit(lv)).otherwise(label)
+    high = fine.groupingSets([[*dims, ds] for dims in coarse.values()], *rest).agg(*sums, label.alias("level"))
+    return reduce(DataFrame.unionAll, [filled(high), *of_sku])
 
 
 def rollup_summary(agg: DataFrame, qty: str = "total_demand_qty", ds: str = DS,

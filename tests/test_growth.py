@@ -65,6 +65,21 @@ def test_date_forms_are_tried_on_text_of_their_shape(spark):
     assert month == dt.datetime(2024, 1, 5)
 
 
+def test_levels_share_one_shuffle_by_sku(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [(f"B{i % 2}", f"S{i % 5}" if i % 7 else None, f"L{i % 3}", f"C{i % 2}", day + dt.timedelta(days=i % 4), float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "brand string, sku_id string, location string, channel string, order_date date, total_demand_qty double")
+    out = cube.rollup_all(df)
+    assert plan(out).count("ENSURE_REQUIREMENTS") == 1      # the coarse levels'
+    assert out.columns == ["brand", "sku_id", "location", "channel", "order_date", "total_demand_qty", "record_count", "level"]
+    key = lambda r: tuple(str(v) for v in r)
+    for lv, dims in cube.LEVELS.items():
+        names = [*dims, "order_date", "total_demand_qty", "record_count"]
+        got = out.where(F.col("level") == lv)
+        assert sorted(map(key, got.select(*names).collect())) == sorted(map(key, cube.rollup(df, lv).select(*names).collect()))
+        assert got.where(" or ".join(f"{c} is not null" for c in cube.ALL_DIMS if c not in dims) or "false").count() == 0
+
+
 def test_reviews_read_the_history_once_for_each_purpose(spark):
     assert line_scans(load_all()["validate_combinations"][0](spark, SF_SMALL)) == 1     # the values are written before
     assert line_scans(load_all()["adjustment_review_by_place"][0](spark, SF_SMALL)) == 0

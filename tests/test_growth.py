@@ -83,3 +83,31 @@ def test_levels_share_one_shuffle_by_sku(spark):
 def test_reviews_read_the_history_once_for_each_purpose(spark):
     assert line_scans(load_all()["validate_combinations"][0](spark, SF_SMALL)) == 1     # the values are written before
     assert line_scans(load_all()["adjustment_review_by_place"][0](spark, SF_SMALL)) == 0
+
+
+def test_models_read_written_series(spark):
+    daily = written_series(spark, SF_SMALL)
+    assert line_scans(daily) == 0 and written_series(spark, SF_SMALL) is daily
+    assert daily.exceptAll(fx.daily_series(spark, SF_SMALL)).count() == 0
+    for name in ("score_range_rows", "scenario_model_forecast"):
+        assert line_scans(load_all()[name][0](spark, SF_SMALL)) == 0
+
+
+def test_a_round_evaluates_only_new_trees(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (800, 2))
+    df = spark.createDataFrame([(*map(float, r), float(y)) for r, y in zip(x, rng.poisson(np.exp(1 + 2 * x[:, 0] * x[:, 1])))], "a double, b double, label double")
+    seen, sums = [], bo.CountBooster.sums
+
+    def counted(self, df, name, carried=None, since=0):
+        seen.append(len(self.trees) - since)
+        return sums(self, df, name, carried, since)
+    monkeypatch.setattr(bo, "WRITE_EVERY", 3)
+    monkeypatch.setattr(bo.CountBooster, "sums", counted)
+    model = bo.train_boosted_counts(df, ["a", "b"], rounds=8, min_rows=20, patience=8, depth=3)
+    assert max(seen) <= 4 and len(model.losses) == 8
+    whole = bo.train_boosted_counts(df, ["a", "b"], rounds=1, min_rows=20, depth=3)
+    assert math.isclose(whole.losses[0], model.losses[0], rel_tol=1e-12)
+    monkeypatch.setattr(bo, "WRITE_EVERY", 100)
+    again = bo.train_boosted_counts(df, ["a", "b"], rounds=8, min_rows=20, patience=8, depth=3)
+    assert again.losses == model.losses

@@ -120,7 +120,9 @@ def rollup_all(df: DataFrame, ds: str = DS) -> DataFrame:
     days, are shuffled again."""
     cols = ALL_DIMS + [ds]
     there = [c for c in ADDITIVE if c in df.columns]
-    fine = (df.select(*cols, *there).repartition("sku_id").groupBy(*cols)
+    # as many parts as the session shuffles into, none merged: a task holds the sums of its part four times
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fine = (df.select(*cols, *there).repartition(n, "sku_id").groupBy(*cols)
               .agg(*[F.sum(c).alias(c) for c in there], F.count(F.lit(1)).alias("record_count")))
     sums = [*[_sum_double(c) for c in there], F.sum("record_count").alias("record_count")]
     out = [*cols, *there, "record_count", "level"]
